@@ -16,25 +16,39 @@ def strip_midnight(c: Column | str) -> Column:
 
 
 def parse_mdy(c: Column | str) -> Column:
-    return F.try_to_timestamp(strip_midnight(c), F.lit("M/d/yyyy")).cast("date")
+    """Month, day and year around slashes, with or without leading zeros.
+
+    Rearranged for the plain date cast, which yields NULL for text that is no date. The column
+    occurs once in the expression, so a filter on it does not evaluate its source repeatedly.
+    """
+    iso = F.regexp_replace(_col(c), r"^(\d{1,2})/(\d{1,2})/(\d{4})(?: .*)?$|^.*$", "$3-$1-$2")
+    return iso.try_cast("date")
 
 
 def parse_iso(c: Column | str) -> Column:
-    return F.try_to_timestamp(strip_midnight(c), F.lit("yyyy-MM-dd")).cast("date")
+    return _col(c).try_cast("date")
 
 
 def parse_any(c: Column | str) -> Column:
-    return F.coalesce(parse_mdy(c), parse_iso(c))
+    return F.regexp_replace(_col(c), r"^(\d{1,2})/(\d{1,2})/(\d{4})(?: .*)?$", "$3-$1-$2").try_cast("date")
+
+
+def first_day(c: Column | str) -> Column:
+    """Earliest ISO day. Dates aggregate in hash tables, text would need a sort."""
+    return F.min(parse_iso(c)).cast("string")
+
+
+def last_day(c: Column | str) -> Column:
+    return F.max(parse_iso(c)).cast("string")
 
 
 def month_key(d: Column | str) -> Column:
-    return F.date_format(_col(d), "yyyy-MM")
+    return F.substring(_col(d).cast("string"), 1, 7)
 
 
 def fiscal_year(d: Column | str) -> Column:
-    """The fiscal year starts on 1 July."""
-    d = _col(d)
-    return F.year(d) + F.when(F.month(d) >= 7, 1).otherwise(0)
+    """The fiscal year starts on 1 July, six months before the calendar year of its name."""
+    return F.year(F.add_months(_col(d), 6))
 
 
 def fiscal_window(

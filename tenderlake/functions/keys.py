@@ -69,33 +69,6 @@ def contained_either_way(a: Column | str, b: Column | str) -> Column:
     return a.contains(b) | b.contains(a)
 
 
-def substrings(c: Column | str, lengths: Column) -> Column:
-    """Distinct substrings of `c` with any of the given lengths (an array column)."""
-    c = _col(c)
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.filter(lengths, lambda n: n <= F.length(c)),
-                lambda n: F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))),
-                    lambda i: F.substr(c, i, n),
-                ),
-            )
-        )
-    )
-
-
-def grams(c: Column | str, n: int) -> Column:
-    """Distinct n-character pieces of `c`, none when it is shorter."""
-    return substrings(c, F.array(F.lit(n)))
-
-
-def prefixes(c: Column | str) -> Column:
-    """All leading parts of `c`, from '' to the whole text."""
-    c = _col(c)
-    return F.transform(F.sequence(F.lit(0), F.length(c)), lambda n: F.substr(c, F.lit(1), n))
-
-
 def longest_literal(pattern: Column | str) -> Column:
     """Longest piece of a LIKE pattern that holds no wildcard (the first one on a tie)."""
     pieces = F.split(_col(pattern), WILDCARDS)

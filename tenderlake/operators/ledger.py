@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tenderlake.functions.dates import first_day, last_day, parse_iso
 from tenderlake.functions.keys import contains_text
 from tenderlake.functions.money import amount, amount_value, billions, exact_sum
 from tenderlake.operators.ranking import top_per_group
@@ -63,8 +64,8 @@ def vendor_summary(ledger: DataFrame, name: str, fiscal_year: int | None = None)
     return rows.agg(
         F.count("*").alias("tx_count"),
         exact_sum("check_amount").alias("total"),
-        F.min("issue_date").alias("first_tx"),
-        F.max("issue_date").alias("last_tx"),
+        first_day("issue_date").alias("first_tx"),
+        last_day("issue_date").alias("last_tx"),
     )
 
 
@@ -81,8 +82,8 @@ def payee_by_year(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("payee_name", "fiscal_year").agg(
         F.count("*").alias("tx_count"),
         exact_sum("check_amount").alias("total"),
-        F.min("issue_date").alias("first_tx"),
-        F.max("issue_date").alias("last_tx"),
+        first_day("issue_date").alias("first_tx"),
+        last_day("issue_date").alias("last_tx"),
     )
 
 
@@ -129,25 +130,27 @@ def latest_months(monthly: DataFrame, n: int = 12) -> DataFrame:
 def contract_profiles(ledger: DataFrame) -> DataFrame:
     """First and last payment, total and most frequent agency and payee per contract id.
 
-    The mode counts (contract, value) pairs first, so no task holds a hot contract's values;
-    ties go to the smallest value.
+    One pass counts (contract, agency) and (contract, payee) groups, so no task holds a hot
+    contract's values; the mode is then the largest group, the smallest value on a tie.
     """
-    pairs = ledger.groupBy("contract_id", "agency", "payee_name").agg(
-        F.min("issue_date").alias("_first"), F.max("issue_date").alias("_last"),
-        F.sum(amount("check_amount")).alias("_amount"), F.count("*").alias("_n"),
-    )
-    totals = pairs.groupBy("contract_id").agg(
-        F.min("_first").alias("first_date"), F.max("_last").alias("last_date"),
-        F.sum("_amount").cast("double").alias("total"),
+    day, keys = parse_iso("issue_date"), ("contract_id", "agency", "payee_name")
+    sets = [[F.col("contract_id"), F.col("agency")], [F.col("contract_id"), F.col("payee_name")]]
+    groups = ledger.select(*keys, day.alias("_day"), amount("check_amount").alias("_amount")).groupingSets(sets, *keys).agg(
+        F.grouping("payee_name").alias("_by_agency"),
+        F.min("_day").alias("_first"), F.max("_day").alias("_last"),
+        F.sum("_amount").alias("_amount"), F.count("*").alias("_n"),
     )
+    by_agency = F.col("_by_agency") == 1
 
-    def mode(column: str) -> DataFrame:
-        counts = pairs.filter(F.col(column).isNotNull()).groupBy("contract_id", column).agg(F.sum("_n").alias("_n"))
-        return counts.groupBy("contract_id").agg(
-            F.min_by(column, F.struct(-F.col("_n"), F.col(column))).alias(f"main_{column}")
-        )
+    def mode(column: str, group: Column) -> Column:
+        size = F.when(group & F.col(column).isNotNull(), F.struct(-F.col("_n"), F.col(column)))
+        return F.min(size)[column].alias(f"main_{column}")
 
-    return totals.join(mode("agency"), "contract_id", "left").join(mode("payee_name"), "contract_id", "left")
+    return groups.groupBy("contract_id").agg(
+        F.min("_first").cast("string").alias("first_date"), F.max("_last").cast("string").alias("last_date"),
+        F.sum(F.when(by_agency, F.col("_amount"))).cast("double").alias("total"),
+        mode("agency", by_agency), mode("payee_name", ~by_agency),
+    )
 
 
 def latest_per_payee(ledger: DataFrame, n: int = 500) -> DataFrame:

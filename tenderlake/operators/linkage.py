@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderlake.functions.dates import fiscal_window, fiscal_year, parse_any, parse_mdy
+from tenderlake.functions.dates import fiscal_window, fiscal_year, parse_any, parse_iso, parse_mdy
 from tenderlake.functions.keys import (
     WILDCARDS,
     base_key,
@@ -22,8 +22,6 @@ from tenderlake.functions.keys import (
     leading_segment,
     like,
     longest_literal,
-    prefixes,
-    substrings,
 )
 from tenderlake.functions.money import amount, exact_sum
 from tenderlake.operators.ledger import contract_profiles, newest_first
@@ -43,6 +41,25 @@ def lookup(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
     return left.join(right, on, "left")
 
 
+def with_pieces(df: DataFrame, text: str, lengths: Column, piece: str) -> DataFrame:
+    """One row per piece of `text` that has one of the lengths (an array)."""
+    n, size = F.col("_n"), F.length(text)
+    cut = df.withColumn("_n", F.explode(lengths)).filter(n <= size)
+    starts = F.when(n == 0, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))))
+    return cut.withColumn("_i", F.explode(starts)).withColumn(piece, F.substr(text, F.col("_i"), n)).drop("_n", "_i")
+
+
+def with_prefixes(df: DataFrame, text: str, prefix: str) -> DataFrame:
+    """One row per leading part of `text`, from '' to the whole text."""
+    sizes = F.sequence(F.lit(0), F.length(text))
+    return df.withColumn("_n", F.explode(sizes)).withColumn(prefix, F.substr(text, F.lit(1), F.col("_n"))).drop("_n")
+
+
+def lengths_of(df: DataFrame, text: str) -> Column:
+    """The text lengths that occur in a column, as one small array."""
+    return df.agg(F.collect_set(F.length(text))).scalar()
+
+
 # ---- vendors and entities ----------------------------------------------------------------
 
 
@@ -141,10 +158,9 @@ def notices_by_segment(contracts: DataFrame, notices: DataFrame, key: Column | N
 def partial_links(notices: DataFrame, solicitations: DataFrame, length: int = GRAM) -> DataFrame:
     """Notices whose first 8 key characters occur in some solicitation key.
 
-    Only the distinct 8-character pieces take part. A whole piece meets the exploded 8-character
-    pieces of the solicitation keys; a shorter one the shorter pieces; one holding % or _ meets
-    the pieces by its longest literal part and is then checked as a pattern. The rows of a
-    notice are read again only by a semi join on the piece.
+    Only distinct pieces take part. They meet the exploded pieces of the solicitation keys, cut
+    to the lengths that occur; one holding % or _ meets them by its longest literal part and is
+    then checked as a pattern. The notices are read again only by a semi join on the piece.
     """
     piece = F.substring(hyphenless_upper("PIN"), 1, length)
     wanted = notices.select(piece.alias("_piece")).filter(F.col("_piece").isNotNull()).distinct().withColumn(
@@ -153,22 +169,17 @@ def partial_links(notices: DataFrame, solicitations: DataFrame, length: int = GR
     wild = F.col("_piece") != F.col("_literal")
     keys = solicitations.filter(F.col("normalized_epin").isNotNull()).select("normalized_epin").distinct()
 
-    def pieces(lengths: list[int]) -> DataFrame:
-        sizes = F.array(*[F.lit(n) for n in lengths])
-        return keys.select("normalized_epin", F.explode(substrings("normalized_epin", sizes)).alias("_literal"))
+    def pieces(of: DataFrame) -> DataFrame:
+        return with_pieces(keys, "normalized_epin", lengths_of(of, "_literal"), "_literal")
 
-    whole = wanted.filter(~wild & (F.length("_piece") == length)).join(
-        pieces([length]).select("_literal").distinct(), "_literal", "left_semi"
-    )
-    short = wanted.filter(~wild & (F.length("_piece") < length)).join(
-        pieces(list(range(length))).select("_literal").distinct(), "_literal", "left_semi"
-    )
-    w, p = wanted.filter(wild).alias("w"), pieces(list(range(length))).alias("p")
+    plain, patterned = wanted.filter(~wild), wanted.filter(wild)
+    equal = plain.join(pieces(plain).select("_literal"), "_literal", "left_semi")
+    w, p = patterned.alias("w"), pieces(patterned).alias("p")
     pattern = F.concat(F.lit("%"), F.col("w._piece"), F.lit("%"))
     patterns = w.join(
         p, (F.col("w._literal") == F.col("p._literal")) & like(F.col("p.normalized_epin"), pattern), "left_semi"
     )
-    linked = whole.unionByName(short).unionByName(patterns).select("_piece")
+    linked = equal.select("_piece").union(patterns.select("_piece"))
     return notices.withColumn("_piece", piece).join(linked, "_piece", "left_semi").drop("_piece")
 
 
@@ -210,7 +221,7 @@ def _prefix_rows(solicitations: DataFrame, per_key: DataFrame) -> DataFrame:
     s = solicitations.filter(F.col("normalized_epin").isNotNull()).select(
         F.col("normalized_epin").alias("_prefix"), "epin"
     )
-    pieces = per_key.withColumn("_prefix", F.explode(prefixes("normalized_epin")))
+    pieces = with_prefixes(per_key, "normalized_epin", "_prefix")
     return s.join(pieces, "_prefix")
 
 
@@ -223,9 +234,9 @@ def solicitation_contracts(solicitations: DataFrame, contracts: DataFrame) -> Da
     per_key = contracts.filter(F.col("normalized_epin").isNotNull()).groupBy("normalized_epin").agg(
         F.count("*").alias("_n"), F.sum(amount("award_amount")).alias("_amount")
     )
-    per_prefix = per_key.select(
-        F.explode(prefixes("normalized_epin")).alias("_prefix"), "_n", "_amount"
-    ).groupBy("_prefix").agg(F.sum("_n").alias("contract_count"), F.sum("_amount").alias("_amount"))
+    per_prefix = with_prefixes(
+        per_key.withColumnRenamed("_n", "_count"), "normalized_epin", "_prefix"
+    ).groupBy("_prefix").agg(F.sum("_count").alias("contract_count"), F.sum("_amount").alias("_amount"))
     return solicitations.join(per_prefix, solicitations["normalized_epin"] == per_prefix["_prefix"], "left").select(
         "epin", "agency", F.coalesce("contract_count", F.lit(0)).alias("contract_count"),
         F.coalesce(F.col("_amount").cast("double"), F.lit(0.0)).alias("total_awarded"),
@@ -283,9 +294,9 @@ def reconcile_contracts(contracts: DataFrame, ledger: DataFrame, vendors: DataFr
 
     A ledger id matches a contract of the same vendor by equal compact id, else by containment
     either way (the smallest contract id that fits), else it becomes a row of its own.
-    Containment is an equi join between the id of one side and the exploded pieces of the
-    other, cut only to lengths that the vendor's ids on the other side have. Pieces are reduced to
-    one row per (vendor, piece), so a hot vendor yields no pairs beyond its matches.
+    Containment is an equi join between the ids of one side and the exploded pieces of the
+    other, cut to the lengths that occur there. It is a semi join with one row per
+    (vendor, piece) after it, so a hot vendor never yields pairs of ids.
     """
     names = vendors.select(F.col("name").alias("_vendor")).distinct()
     listed = contracts.withColumnRenamed("vendor_name", "_vendor").join(names, "_vendor", "left_semi").withColumn(
@@ -294,8 +305,7 @@ def reconcile_contracts(contracts: DataFrame, ledger: DataFrame, vendors: DataFr
     own = listed.filter(F.col("_nid") != "").select("_vendor", "_nid").distinct()
     paid = (
         ledger.filter((F.col("contract_id") != "") & F.col("payee_name").isNotNull())
-        .groupBy(F.col("payee_name").alias("_vendor"), F.col("contract_id").alias("_raw"))
-        .agg(F.lit(1).alias("_one")).drop("_one")
+        .select(F.col("payee_name").alias("_vendor"), F.col("contract_id").alias("_raw")).distinct()
         .join(names, "_vendor", "left_semi")
         .withColumn("_nid", compact_key("_raw"))
     )
@@ -303,30 +313,24 @@ def reconcile_contracts(contracts: DataFrame, ledger: DataFrame, vendors: DataFr
     exact = paid_ids.join(own, ["_vendor", "_nid"], "left_semi")
     open_ids = paid_ids.join(own, ["_vendor", "_nid"], "left_anti")
 
-    def lengths(ids: DataFrame) -> DataFrame:
-        # At most one entry per id length that occurs.
-        return ids.groupBy("_vendor").agg(F.collect_set(F.length("_nid")).alias("_lengths"))
-
-    own_pieces = own.join(lengths(open_ids), "_vendor").select(
-        "_vendor", "_nid", F.explode(substrings("_nid", F.col("_lengths"))).alias("_piece")
-    ).groupBy("_vendor", "_piece").agg(F.min("_nid").alias("_hit"))
-    inside = open_ids.join(own_pieces, (open_ids["_vendor"] == own_pieces["_vendor"]) & (open_ids["_nid"] == own_pieces["_piece"])).select(
-        open_ids["_vendor"], open_ids["_nid"], "_hit"
+    inside = (
+        with_pieces(own, "_nid", lengths_of(open_ids, "_nid"), "_piece")
+        .join(open_ids.withColumnRenamed("_nid", "_piece"), ["_vendor", "_piece"], "left_semi")
+        .groupBy("_vendor", "_piece").agg(F.min("_nid").alias("_hit"))
+        .withColumnRenamed("_piece", "_nid")
     )
-    open_pieces = open_ids.join(lengths(own), "_vendor").select(
-        "_vendor", "_nid", F.explode(substrings("_nid", F.col("_lengths"))).alias("_hit")
+    around = (
+        with_pieces(open_ids, "_nid", lengths_of(own, "_nid"), "_hit")
+        .join(own.withColumnRenamed("_nid", "_hit"), ["_vendor", "_hit"], "left_semi")
     )
-    around = open_pieces.join(own.withColumnRenamed("_nid", "_hit"), ["_vendor", "_hit"], "left_semi")
-    contained = inside.select("_vendor", "_nid", "_hit").unionByName(around.select("_vendor", "_nid", "_hit")).groupBy(
-        "_vendor", "_nid"
-    ).agg(F.min("_hit").alias("_hit"))
+    contained = inside.unionByName(around).groupBy("_vendor", "_nid").agg(F.min("_hit").alias("_hit"))
 
     hits = exact.union(contained.select("_vendor", "_hit")).distinct().withColumn("_seen", F.lit(True))
     merged = listed.join(hits, ["_vendor", "_nid"], "left").select(
         "ctr_id", "contract_id", F.col("_vendor").alias("vendor_name"), "agency", "agency_id",
         F.col("award_amount").cast("double").alias("award_amount"),
-        F.date_format(parse_any("start_date"), "yyyy-MM-dd").alias("start_date"),
-        F.date_format(parse_any("end_date"), "yyyy-MM-dd").alias("end_date"),
+        parse_any("start_date").cast("string").alias("start_date"),
+        parse_any("end_date").cast("string").alias("end_date"),
         "status",
         F.when(F.col("_seen"), F.lit(IN_BOTH)).otherwise(F.lit(REGISTER_ONLY)).alias("source"),
     )
@@ -414,20 +418,18 @@ def names_containing(wanted: DataFrame, payees: DataFrame) -> DataFrame:
     names = wanted.select("name").distinct().withColumn("_text", longest_literal("name"))
     texts = payees.select("payee_name").filter(F.col("payee_name").isNotNull()).distinct()
     eight = F.array(F.lit(GRAM))
-    payee_grams = texts.select("payee_name", F.explode(substrings("payee_name", eight)).alias("_gram"))
-    frequency = payee_grams.groupBy("_gram").agg(F.count("*").alias("_n"))
+    payee_grams = with_pieces(texts, "payee_name", eight, "_gram").select("payee_name", "_gram")
+    frequency = payee_grams.groupBy("_gram").agg(F.count("*").alias("_count"))
     rarest = (
-        names.filter(F.length("_text") >= GRAM)
-        .select("name", F.explode(substrings("_text", eight)).alias("_gram"))
+        with_pieces(names.filter(F.length("_text") >= GRAM), "_text", eight, "_gram").select("name", "_gram")
         .join(frequency, "_gram", "left")
         .groupBy("name")
-        .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_r"))
+        .agg(F.min(F.struct(F.coalesce("_count", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_r"))
         .filter(F.col("_r.n") > 0)
         .select("name", F.col("_r.gram").alias("_gram"))
     )
-    shorter = F.array(*[F.lit(i) for i in range(GRAM)])
-    short_pieces = texts.select("payee_name", F.explode(substrings("payee_name", shorter)).alias("_gram"))
     short_names = names.filter(F.length("_text") < GRAM).select("name", F.col("_text").alias("_gram"))
+    short_pieces = with_pieces(texts, "payee_name", lengths_of(short_names, "_gram"), "_gram").select("payee_name", "_gram")
     pattern = F.concat(F.lit("%"), F.col("name"), F.lit("%"))
     found = rarest.join(payee_grams, "_gram").unionByName(short_names.join(short_pieces, "_gram"))
     return found.filter(like("payee_name", pattern)).select("name", "payee_name").distinct()
@@ -439,7 +441,7 @@ def vendor_payees(vendors: DataFrame, ledger: DataFrame) -> DataFrame:
     Works on one row per payee; ledger rows never reach a join.
     """
     payees = ledger.filter(F.col("payee_name").isNotNull()).groupBy("payee_name").agg(
-        F.count("*").alias("_n"), F.sum(amount("check_amount")).alias("_amount"), F.max("issue_date").alias("_last")
+        F.count("*").alias("_n"), F.sum(amount("check_amount")).alias("_amount"), F.max(parse_iso("issue_date")).alias("_last")
     )
     names = vendors.select("name").distinct()
     exact = names.join(payees, names["name"] == payees["payee_name"]).withColumn("tier", F.lit("exact"))
@@ -447,7 +449,7 @@ def vendor_payees(vendors: DataFrame, ledger: DataFrame) -> DataFrame:
     contains = names_containing(rest, payees).join(payees, "payee_name").withColumn("tier", F.lit("contains"))
     matched = exact.unionByName(contains).groupBy("name", "tier").agg(
         F.count("*").alias("payees"), F.sum("_n").alias("tx_count"),
-        F.sum("_amount").cast("double").alias("total"), F.max("_last").alias("last_date"),
+        F.sum("_amount").cast("double").alias("total"), F.max("_last").cast("string").alias("last_date"),
     )
     return lookup(vendors.select("passport_supplier_id", F.col("name").alias("_name")), matched, F.col("_name") == F.col("name")).select(
         "passport_supplier_id", F.col("_name").alias("vendor_name"), F.coalesce("tier", F.lit("none")).alias("tier"),
@@ -492,7 +494,7 @@ def award_years(vendors: DataFrame, records: DataFrame) -> DataFrame:
     rest = names.join(recorded, names["name"] == recorded["prime_vendor"], "left_anti").withColumn(
         "_pattern", fallback_pattern("name")
     ).filter(F.col("_pattern").isNotNull()).withColumn("_head", F.element_at(F.split("_pattern", WILDCARDS), 1))
-    heads = recorded.withColumn("_head", F.explode(prefixes("prime_vendor")))
+    heads = with_prefixes(recorded, "prime_vendor", "_head")
     wildcard = rest.join(heads, "_head").filter(like("prime_vendor", "_pattern")).select(
         "name", "prime_vendor", F.lit("wildcard").alias("tier")
     )

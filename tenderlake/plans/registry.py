@@ -38,7 +38,7 @@ def _view(build: Callable[[Views], DataFrame]) -> Query:
 
 def money_key_cleaning(v: Views) -> DataFrame:
     """Every word of the documents through the key and money rules."""
-    words = v.table("documents").select(F.explode(F.split("text", r"\s+")).alias("token")).filter(F.col("token") != "")
+    words = v.spread("documents", "doc_id").select(F.explode(F.split("text", r"\s+")).alias("token")).filter(F.col("token") != "")
     counted = words.groupBy("token").agg(F.count("*").alias("occurrences"))
     return counted.select(
         "token", "occurrences", normalized_key("token").alias("normalized_key"), clean_money("token").alias("money"),
@@ -90,7 +90,7 @@ def agency_dimension(v: Views) -> DataFrame:
 
 def numeric_aware_sort_key(v: Views) -> DataFrame:
     number, text = numeric_sort_key("check_amount")
-    cells = v.ledger(["check_amount"]).groupBy(F.col("check_amount").alias("cell")).agg(F.count("*").alias("cells"))
+    cells = v.ledger().groupBy(F.col("check_amount").alias("cell")).agg(F.count("*").alias("cells"))
     number, text = numeric_sort_key("cell")
     return cells.select("cell", number.alias("number_key"), text.alias("text_key"), "cells")
 
@@ -101,7 +101,7 @@ def numeric_aware_sort_key(v: Views) -> DataFrame:
 def parquet_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Ledger written per fiscal year, one year with an extra column, read back by name."""
     root = scratch_path(spark, "ledger")
-    rows = Views(spark, folder).ledger(["issue_date", "payee_name", "check_amount", "fiscal_year"])
+    rows = Views(spark, folder).ledger().select("issue_date", "payee_name", "check_amount", "fiscal_year")
     plain, extended = rows.filter("fiscal_year <> 2025"), rows.filter("fiscal_year = 2025")
     ledger_files.write_ledger(plain, root)
     ledger_files.write_ledger(extended.withColumn("department", F.lit("Parks")), root)
@@ -161,7 +161,7 @@ def csv_line_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def freshness_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """Progress files per fiscal year, half of the last year still to come."""
-    rows = Views(spark, folder).ledger(["fiscal_year", "issue_date"]).groupBy("fiscal_year").agg(
+    rows = Views(spark, folder).ledger().groupBy("fiscal_year").agg(
         F.count("*").alias("total_records"), F.max("issue_date").alias("last_updated")
     )
     done = F.when(F.col("fiscal_year") == CURRENT_FY, F.floor(F.col("total_records") / 2)).otherwise(F.col("total_records"))
@@ -173,7 +173,7 @@ def freshness_rollup(spark: SparkSession, folder: str) -> DataFrame:
 
 def _two_drops(spark: SparkSession, folder: str, columns: list[str], load: Callable[[str], None]) -> None:
     """Land the ledger in two drops and run the load after each, and once more with nothing new."""
-    rows = Views(spark, folder).ledger(columns)
+    rows = Views(spark, folder).ledger().select(*columns)
     drop = scratch_path(spark, "landing")
     for part in (0, 1):
         ledger_files.write_csv(rows.filter(F.col("fiscal_year") % 2 == part), drop)
@@ -276,12 +276,12 @@ VIEW_QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "solicitation_first_contracts": lambda v: linkage.solicitation_first_contracts(v.solicitations(), v.contracts()),
     "contract_solicitation_two_tier": lambda v: linkage.two_tier_solicitation(v.contracts(), v.solicitations()),
     "contract_ledger_reconcile": lambda v: linkage.reconcile_contracts(
-        v.contracts(), v.ledger(["contract_id", "payee_name", "agency", "issue_date", "check_amount"]), v.vendors()),
+        v.contracts(), v.ledger(), v.vendors()),
     "vendor_payee_match": lambda v: linkage.vendor_payees(
-        v.vendors(), v.ledger(["payee_name", "check_amount", "issue_date"])),
+        v.vendors(), v.ledger()),
     "vendor_latest_transactions": lambda v: linkage.vendor_transactions(v.vendors(), v.ledger(), 25),
     "contract_fy_spending": lambda v: linkage.contract_spending(
-        v.contracts(), v.ledger(["contract_id", "fiscal_year", "check_amount"]), _current_fy()),
+        v.contracts(), v.ledger(), _current_fy()),
     "contract_latest_transactions": lambda v: linkage.contract_transactions(v.contracts(), v.ledger(), _current_fy(), 5),
     "checkbook_details_link": lambda v: linkage.contract_metadata(v.contracts(), v.contract_records(), _current_fy()),
     "unique_contract_year_totals": lambda v: linkage.award_years(v.vendors(), v.contract_records()),
@@ -295,17 +295,17 @@ VIEW_QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "vendor_profile_children": lambda v: profiles.vendor_children(v.vendors(), v.children()),
     # ledger
     "ledger_contract_profiles": lambda v: led.contract_profiles(
-        v.ledger(["contract_id", "agency", "payee_name", "issue_date", "check_amount"])),
+        v.ledger()),
     "ledger_search": lambda v: led.ledger_page(v.ledger(), "econ", 2, 100),
     "ledger_recent_search": lambda v: led.search_transactions(v.ledger(), "corp", 500),
     "vendor_ledger_by_year": lambda v: led.payee_by_year(
-        v.ledger(["payee_name", "fiscal_year", "check_amount", "issue_date"])),
-    "vendor_ledger_summary": lambda v: led.vendor_summary(v.ledger(["payee_name", "check_amount", "issue_date"]), "corp"),
-    "vendor_ledger_years": lambda v: led.vendor_by_year(v.ledger(["payee_name", "fiscal_year", "check_amount"]), "corp"),
-    "ledger_by_year_agency": lambda v: led.by_year_and_agency(v.ledger(["fiscal_year", "agency", "check_amount"])),
-    "chart_spending_by_agency": lambda v: led.spending_by_agency(v.ledger(["fiscal_year", "agency", "check_amount"])),
-    "chart_spending_by_year": lambda v: led.spending_by_year(v.ledger(["fiscal_year", "check_amount"])),
-    "ledger_monthly_last12": lambda v: led.latest_months(led.monthly_totals(v.ledger(["issue_date", "check_amount"]))),
+        v.ledger()),
+    "vendor_ledger_summary": lambda v: led.vendor_summary(v.ledger(), "corp"),
+    "vendor_ledger_years": lambda v: led.vendor_by_year(v.ledger(), "corp"),
+    "ledger_by_year_agency": lambda v: led.by_year_and_agency(v.ledger()),
+    "chart_spending_by_agency": lambda v: led.spending_by_agency(v.ledger()),
+    "chart_spending_by_year": lambda v: led.spending_by_year(v.ledger()),
+    "ledger_monthly_last12": lambda v: led.latest_months(led.monthly_totals(v.ledger())),
     "ledger_latest_per_payee": lambda v: led.latest_per_payee(v.ledger(), 25),
     "numeric_aware_sort_key": numeric_aware_sort_key,
     # cleaning and text

@@ -5,15 +5,16 @@ Driver dates run 1995-2001; 24 years are added so that the year literals of the
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.functions.dates import fiscal_year, mdy_text
+from tenderlake.functions.dates import fiscal_year, mdy_text, parse_mdy
 from tenderlake.functions.keys import base_key, comparable_name, hyphenless, zero_pad
 from tenderlake.functions.money import MONEY
 from tenderlake.operators.rollups import FY_COLUMNS
+from tenderlake.session import scratch_path
 
 MONTHS_LATER = 24 * 12
 
@@ -34,15 +35,50 @@ def customer_name(k: Column) -> Column:
     return F.concat(F.lit("Customer#"), zero_pad(k, 9))
 
 
+# Tables written so far, by application, data folder and name.
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
 class Views:
-    """Lazily derived views of one data folder."""
+    """Domain tables of one data folder.
+
+    What one scan can derive is derived on the fly. The joined tables (contracts, ledger,
+    digital vendors, contract records) are loaded once per application into the shared scratch folder,
+    as a load job would, and read from there with column and partition pruning.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    def _stored(self, name: str, build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _STORED:
+            path = scratch_path(self.spark, name)
+            df = build()
+            if by:
+                # Rebalancing gives every partition value few files and still splits a large one.
+                df.hint("rebalance", by).write.partitionBy(by).parquet(path)
+            else:
+                df.write.parquet(path)
+            _STORED[key] = path
+        return self.spark.read.parquet(_STORED[key])
+
+    def load(self) -> None:
+        """Write all stored tables."""
+        for table in (self.contracts, self.ledger, self.digital, self.contract_records):
+            table()
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str, *keys: str) -> DataFrame:
+        """A table whose files make fewer tasks than there are cores is spread over the cores.
+
+        A large table has tasks enough and is read as it is.
+        """
+        df, cores = self.table(name), self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
     def agencies(self) -> DataFrame:
         return self.table("nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"))
 
@@ -92,6 +128,9 @@ class Views:
         )
 
     def contracts(self) -> DataFrame:
+        return self._stored("contracts", self._contracts)
+
+    def _contracts(self) -> DataFrame:
         k = F.col("o_orderkey")
         start = later("o_orderdate")
         end = F.date_add(start, (k % 2000).cast("int"))
@@ -101,7 +140,7 @@ class Views:
         nation = self.table("nation").select("n_nationkey", "n_name")
         customer = self.table("customer").select("c_custkey", "c_name", "c_mktsegment")
         return (
-            self.table("orders")
+            self.spread("orders", "o_orderkey")
             .join(customer, F.col("o_custkey") == F.col("c_custkey"))
             .join(nation, F.col("n_nationkey") == k % 25)
             .select(
@@ -135,48 +174,46 @@ class Views:
             k.cast("string").alias("RequestID"), F.col("p_type").alias("TypeOfNoticeDescription"), pin.alias("PIN")
         )
 
-    LEDGER = ("issue_date", "agency", "payee_name", "contract_id", "expense_category", "check_amount", "fiscal_year")
-
-    def ledger(self, columns: Sequence[str] = LEDGER) -> DataFrame:
-        """Payments from line items.
+    def ledger(self) -> DataFrame:
+        return self._stored("ledger", self._ledger, "fiscal_year")
 
-        Each of orders, customer, part, supplier and nation is read only when a wanted column
-        comes from it; every line item has exactly one row in each of them.
-        """
-        wanted = set(columns)
+    def _ledger(self) -> DataFrame:
+        """Payments: line items with their order, customer, part and supplier's nation."""
         k, d = F.col("l_orderkey"), later("l_shipdate")
-        df = self.table("lineitem")
-        exprs = {
-            "issue_date": F.date_format(d, "yyyy-MM-dd"),
-            "fiscal_year": fiscal_year(d),
-            "check_amount": F.when(k % 97 == 0, F.lit("N/A")).otherwise(
-                F.col("l_extendedprice").cast(MONEY).cast("string")
-            ),
-        }
-        if wanted & {"payee_name", "contract_id"}:
-            orders = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
-            df = df.join(orders, k == F.col("o_orderkey"))
-            exprs["contract_id"] = F.when(
-                F.col("l_linenumber") % 5 == 0, F.concat(F.lit("PO"), zero_pad(k, 8))
-            ).otherwise(hyphenless(self._contract_id()))
-        if "payee_name" in wanted:
-            customer = self.table("customer").select("c_custkey", "c_name")
-            df = df.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-            exprs["payee_name"] = F.concat("c_name", F.when(F.col("c_custkey") % 10 == 0, " CORP").otherwise(""))
-        if "expense_category" in wanted:
-            df = df.join(self.table("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-            exprs["expense_category"] = F.col("p_type")
-        if "agency" in wanted:
-            suppliers = self.table("supplier").select("s_suppkey", "s_nationkey").join(
-                self.table("nation").select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey")
+        orders = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+        customer = self.table("customer").select("c_custkey", "c_name")
+        part = self.table("part").select("p_partkey", "p_type")
+        nation = self.table("nation").select("n_nationkey", "n_name")
+        supplier = self.table("supplier").select("s_suppkey", "s_nationkey").join(
+            nation, F.col("s_nationkey") == F.col("n_nationkey")
+        )
+        contract = F.when(F.col("l_linenumber") % 5 == 0, F.concat(F.lit("PO"), zero_pad(k, 8))).otherwise(
+            hyphenless(self._contract_id())
+        )
+        paid = F.when(k % 97 == 0, F.lit("N/A")).otherwise(F.col("l_extendedprice").cast(MONEY).cast("string"))
+        return (
+            self.spread("lineitem", "l_orderkey", "l_linenumber")
+            .join(orders, k == F.col("o_orderkey"))
+            .join(customer, F.col("o_custkey") == F.col("c_custkey"))
+            .join(part, F.col("l_partkey") == F.col("p_partkey"))
+            .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+            .select(
+                d.cast("string").alias("issue_date"),
+                F.col("n_name").alias("agency"),
+                F.concat("c_name", F.when(F.col("c_custkey") % 10 == 0, " CORP").otherwise("")).alias("payee_name"),
+                contract.alias("contract_id"),
+                F.col("p_type").alias("expense_category"),
+                paid.alias("check_amount"),
+                fiscal_year(d).alias("fiscal_year"),
             )
-            df = df.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-            exprs["agency"] = F.col("n_name")
-        return df.select(*[exprs[c].alias(c) for c in columns])
+        )
 
     def digital(self) -> DataFrame:
+        return self._stored("digital", self._digital)
+
+    def _digital(self) -> DataFrame:
         """Vendors with payments under their exact name, classified, with yearly totals."""
-        paid = self.ledger(["payee_name", "fiscal_year", "check_amount"]).groupBy("payee_name").agg(*[
+        paid = self.ledger().groupBy("payee_name").agg(*[
             F.sum(F.when(F.col("fiscal_year") == int(c[2:]), F.col("check_amount").try_cast(MONEY))).cast("double").alias(c)
             for c in FY_COLUMNS
         ])
@@ -190,15 +227,18 @@ class Views:
         )
 
     def contract_records(self) -> DataFrame:
+        return self._stored("contract-records", self._contract_records, "fiscal_year")
+
+    def _contract_records(self) -> DataFrame:
         """Contract metadata per fiscal year: one record, a second one for even ids."""
         c = self.contracts()
-        start = F.to_date("start_date", "MM/dd/yyyy")
+        start = parse_mdy("start_date")
         k = F.col("ctr_id").cast("long")
         years = F.when(k % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
         return c.withColumn("_r", F.explode(years)).select(
             F.col("normalized_contract_id").alias("prime_contract_id"),
             F.col("vendor_name").alias("prime_vendor"),
-            F.date_format(start, "yyyy-MM-dd").alias("prime_contract_start_date"),
+            start.cast("string").alias("prime_contract_start_date"),
             (F.col("award_amount").cast(MONEY) * F.col("_r")).cast(MONEY).cast("string").alias("prime_contract_original_amount"),
             F.col("procurement_method").alias("prime_contract_award_method"),
             F.col("status").alias("prime_contract_expense_category"),
@@ -263,6 +303,6 @@ class Views:
     def counted(self) -> dict[str, DataFrame]:
         return {
             "agencies": self.agencies(), "vendors": self.vendors(), "contracts": self.contracts(),
-            "solicitations": self.solicitations(), "notices": self.notices(), "ledger": self.ledger(["fiscal_year"]),
+            "solicitations": self.solicitations(), "notices": self.notices(), "ledger": self.ledger(),
             "entities": self.entities(),
         }
