@@ -295,33 +295,38 @@ def reconcile_contracts(contracts: DataFrame, ledger: DataFrame, vendors: DataFr
     A ledger id matches a contract of the same vendor by equal compact id, else by containment
     either way (the smallest contract id that fits), else it becomes a row of its own.
     Containment is an equi join between the ids of one side and the exploded pieces of the
-    other, cut to the lengths that occur there. It is a semi join with one row per
-    (vendor, piece) after it, so a hot vendor never yields pairs of ids.
+    other, cut to the lengths that occur there. The join only keeps pieces that are ids, so a
+    hot vendor yields no pairs beyond its matches.
     """
     names = vendors.select(F.col("name").alias("_vendor")).distinct()
     listed = contracts.withColumnRenamed("vendor_name", "_vendor").join(names, "_vendor", "left_semi").withColumn(
         "_nid", compact_key("contract_id")
     )
-    own = listed.filter(F.col("_nid") != "").select("_vendor", "_nid").distinct()
     paid = (
         ledger.filter((F.col("contract_id") != "") & F.col("payee_name").isNotNull())
         .select(F.col("payee_name").alias("_vendor"), F.col("contract_id").alias("_raw")).distinct()
         .join(names, "_vendor", "left_semi")
         .withColumn("_nid", compact_key("_raw"))
     )
-    paid_ids = paid.select("_vendor", "_nid").distinct()
-    exact = paid_ids.join(own, ["_vendor", "_nid"], "left_semi")
-    open_ids = paid_ids.join(own, ["_vendor", "_nid"], "left_anti")
-
+    # Every id once, with the side it occurs on (1 register, 2 ledger, 3 both): one shuffle
+    # serves all steps below.
+    ids = (
+        listed.filter(F.col("_nid") != "").select("_vendor", "_nid", F.lit(1).alias("_side"))
+        .unionByName(paid.select("_vendor", "_nid", F.lit(2).alias("_side")))
+        .groupBy("_vendor", "_nid").agg(F.bit_or("_side").alias("_side"))
+    )
+    exact = ids.filter("_side = 3").select("_vendor", "_nid")
+    own = ids.filter("_side <> 2").select("_vendor", "_nid")
+    open_ids = ids.filter("_side = 2").select("_vendor", "_nid")
     inside = (
         with_pieces(own, "_nid", lengths_of(open_ids, "_nid"), "_piece")
         .join(open_ids.withColumnRenamed("_nid", "_piece"), ["_vendor", "_piece"], "left_semi")
-        .groupBy("_vendor", "_piece").agg(F.min("_nid").alias("_hit"))
-        .withColumnRenamed("_piece", "_nid")
+        .select("_vendor", F.col("_piece").alias("_nid"), F.col("_nid").alias("_hit"))
     )
     around = (
         with_pieces(open_ids, "_nid", lengths_of(own, "_nid"), "_hit")
         .join(own.withColumnRenamed("_nid", "_hit"), ["_vendor", "_hit"], "left_semi")
+        .select("_vendor", "_nid", "_hit")
     )
     contained = inside.unionByName(around).groupBy("_vendor", "_nid").agg(F.min("_hit").alias("_hit"))
 
@@ -334,7 +339,8 @@ def reconcile_contracts(contracts: DataFrame, ledger: DataFrame, vendors: DataFr
         "status",
         F.when(F.col("_seen"), F.lit(IN_BOTH)).otherwise(F.lit(REGISTER_ONLY)).alias("source"),
     )
-    left_over = paid.join(exact, ["_vendor", "_nid"], "left_anti").join(contained, ["_vendor", "_nid"], "left_anti")
+    unresolved = open_ids.join(contained, ["_vendor", "_nid"], "left_anti")
+    left_over = paid.join(unresolved, ["_vendor", "_nid"], "left_semi")
     stats = contract_profiles(ledger).drop("main_payee_name")
     ledger_rows = left_over.join(stats, left_over["_raw"] == stats["contract_id"], "left").select(
         F.col("_raw").alias("ctr_id"), F.col("_raw").alias("contract_id"), F.col("_vendor").alias("vendor_name"),
