@@ -42,17 +42,22 @@ def lookup(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
 
 
 def with_pieces(df: DataFrame, text: str, lengths: Column, piece: str) -> DataFrame:
-    """One row per piece of `text` that has one of the lengths (an array)."""
+    """One row per piece of `text` that has one of the lengths (an array).
+
+    The result is many times its source, which size estimates do not see: joins shuffle it and
+    never broadcast it.
+    """
     n, size = F.col("_n"), F.length(text)
     cut = df.withColumn("_n", F.explode(lengths)).filter(n <= size)
     starts = F.when(n == 0, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))))
-    return cut.withColumn("_i", F.explode(starts)).withColumn(piece, F.substr(text, F.col("_i"), n)).drop("_n", "_i")
+    return cut.withColumn("_i", F.explode(starts)).withColumn(piece, F.substr(text, F.col("_i"), n)).drop("_n", "_i").hint("merge")
 
 
-def with_prefixes(df: DataFrame, text: str, prefix: str) -> DataFrame:
-    """One row per leading part of `text`, from '' to the whole text."""
-    sizes = F.sequence(F.lit(0), F.length(text))
-    return df.withColumn("_n", F.explode(sizes)).withColumn(prefix, F.substr(text, F.lit(1), F.col("_n"))).drop("_n")
+def with_prefixes(df: DataFrame, text: str, lengths: Column, prefix: str) -> DataFrame:
+    """One row per leading part of `text` that has one of the lengths (an array)."""
+    n = F.col("_n")
+    cut = df.withColumn("_n", F.explode(lengths)).filter(n <= F.length(text))
+    return cut.withColumn(prefix, F.substr(text, F.lit(1), n)).drop("_n").hint("merge")
 
 
 def lengths_of(df: DataFrame, text: str) -> Column:
@@ -221,21 +226,21 @@ def _prefix_rows(solicitations: DataFrame, per_key: DataFrame) -> DataFrame:
     s = solicitations.filter(F.col("normalized_epin").isNotNull()).select(
         F.col("normalized_epin").alias("_prefix"), "epin"
     )
-    pieces = with_prefixes(per_key, "normalized_epin", "_prefix")
+    pieces = with_prefixes(per_key, "normalized_epin", lengths_of(s, "_prefix"), "_prefix")
     return s.join(pieces, "_prefix")
 
 
 def solicitation_contracts(solicitations: DataFrame, contracts: DataFrame) -> DataFrame:
     """Contracts whose key starts with the solicitation's key: count and total.
 
-    Contracts are summed by key, then by every prefix of the key, so that a prefix is one row
-    however many contracts share it.
+    Contracts are summed by key, then by the prefixes of the key that are as long as some
+    solicitation key, so that a prefix is one row however many contracts share it.
     """
     per_key = contracts.filter(F.col("normalized_epin").isNotNull()).groupBy("normalized_epin").agg(
         F.count("*").alias("_n"), F.sum(amount("award_amount")).alias("_amount")
     )
     per_prefix = with_prefixes(
-        per_key.withColumnRenamed("_n", "_count"), "normalized_epin", "_prefix"
+        per_key.withColumnRenamed("_n", "_count"), "normalized_epin", lengths_of(solicitations, "normalized_epin"), "_prefix"
     ).groupBy("_prefix").agg(F.sum("_count").alias("contract_count"), F.sum("_amount").alias("_amount"))
     return solicitations.join(per_prefix, solicitations["normalized_epin"] == per_prefix["_prefix"], "left").select(
         "epin", "agency", F.coalesce("contract_count", F.lit(0)).alias("contract_count"),
@@ -380,17 +385,24 @@ def contract_spending(contracts: DataFrame, ledger: DataFrame, current_fy: Colum
     ).select("ctr_id", F.coalesce(F.col("fiscal_year").cast("string"), F.lit("ALL")).alias("fiscal_year"), "total", "tx_count")
 
 
-def contract_transactions(contracts: DataFrame, ledger: DataFrame, current_fy: Column, n: int = 500) -> DataFrame:
+def contract_transactions(contracts: DataFrame, ledger: DataFrame, current_fy: Column, n: int = 500,
+                          few: bool = False) -> DataFrame:
     """Latest payments per contract.
 
-    The window becomes one row per (contract, year). For a few contracts these rows prune the
+    The window becomes one row per (contract, year). The ledger is cut to `n` rows per contract
+    id and year on the same keys before the join, so a hot contract stays small. For a `few`
+    contracts the cut is left out: their rows are found by the join, and the years prune the
     ledger's partitions at run time.
     """
     years = fiscal_windows(contracts, current_fy).select(
         "ctr_id", hyphenless("contract_id").alias("contract_id"),
         F.explode(F.sequence("first_fy", "last_fy")).alias("fiscal_year"),
     )
-    rows = years.join(ledger, ["contract_id", "fiscal_year"])
+    keys = ["contract_id", "fiscal_year"]
+    if not few:
+        years = years.hint("merge")
+        ledger = top_per_group(ledger, keys, newest_first(ledger.drop(*keys)), n).drop("rank")
+    rows = years.join(ledger, keys)
     return top_per_group(rows, ["ctr_id"], newest_first(rows.drop("ctr_id")), n)
 
 
@@ -464,8 +476,11 @@ def vendor_payees(vendors: DataFrame, ledger: DataFrame) -> DataFrame:
     )
 
 
-def vendor_transactions(vendors: DataFrame, ledger: DataFrame, n: int = 500) -> DataFrame:
-    """Latest payments of every vendor, by the best tier of its name."""
+def vendor_transactions(vendors: DataFrame, ledger: DataFrame, n: int = 500, few: bool = False) -> DataFrame:
+    """Latest payments of every vendor, by the best tier of its name.
+
+    For a `few` vendors only the rows of their payees are ranked.
+    """
     names = vendors.select("name").distinct()
     payees = ledger.filter(F.col("payee_name").isNotNull()).groupBy("payee_name").agg(F.count("*").alias("_n"))
     exact = names.join(payees, names["name"] == payees["payee_name"], "left_semi").select(
@@ -473,9 +488,10 @@ def vendor_transactions(vendors: DataFrame, ledger: DataFrame, n: int = 500) ->
     )
     rest = names.join(exact.select("name"), "name", "left_anti")
     pairs = exact.unionByName(names_containing(rest, payees))
-    # n per payee first: what a vendor shows is among them, and a hot payee shrinks before the join.
-    few = top_per_group(ledger, ["payee_name"], newest_first(ledger.drop("payee_name")), n).drop("rank")
-    rows = pairs.withColumnRenamed("name", "vendor_name").join(few, "payee_name")
+    if not few:
+        # n per payee first: what a vendor shows is among them, and a hot payee shrinks before the join.
+        ledger = top_per_group(ledger, ["payee_name"], newest_first(ledger.drop("payee_name")), n).drop("rank")
+    rows = pairs.withColumnRenamed("name", "vendor_name").join(ledger, "payee_name")
     return top_per_group(rows, ["vendor_name"], newest_first(rows.drop("vendor_name")), n)
 
 
@@ -500,7 +516,7 @@ def award_years(vendors: DataFrame, records: DataFrame) -> DataFrame:
     rest = names.join(recorded, names["name"] == recorded["prime_vendor"], "left_anti").withColumn(
         "_pattern", fallback_pattern("name")
     ).filter(F.col("_pattern").isNotNull()).withColumn("_head", F.element_at(F.split("_pattern", WILDCARDS), 1))
-    heads = with_prefixes(recorded, "prime_vendor", "_head")
+    heads = with_prefixes(recorded, "prime_vendor", lengths_of(rest, "_head"), "_head")
     wildcard = rest.join(heads, "_head").filter(like("prime_vendor", "_pattern")).select(
         "name", "prime_vendor", F.lit("wildcard").alias("tier")
     )

@@ -167,7 +167,7 @@ def vendor_detail(vendors: DataFrame, contracts: DataFrame, ledger: DataFrame, v
         "years": profiles.vendor_award_years(
             contracts.join(one.select(F.col("name").alias("vendor_name")), "vendor_name", "left_semi")
         ),
-        "transactions": linkage.vendor_transactions(one, ledger),
+        "transactions": linkage.vendor_transactions(one, ledger, few=True),
         "children": profiles.vendor_children(one, children),
     }
 
@@ -181,6 +181,6 @@ def contract_detail(contracts: DataFrame, solicitations: DataFrame, notices: Dat
         "notices": linkage.notices_by_segment(one, notices),
         "notices_by_key": linkage.notices_by_segment(one, notices, base_key("normalized_epin"), normalised=True),
         "spending": linkage.contract_spending(one, ledger, current_fy),
-        "transactions": linkage.contract_transactions(one, ledger, current_fy),
+        "transactions": linkage.contract_transactions(one, ledger, current_fy, few=True),
         "record": linkage.contract_metadata(one, records, current_fy),
     }
