@@ -77,6 +77,15 @@ def vendor_by_year(ledger: DataFrame, name: str, years=SUMMARY_YEARS) -> DataFra
     ).orderBy(F.desc("fiscal_year"))
 
 
+def payee_totals(ledger: DataFrame) -> DataFrame:
+    """One row per payee: what linking payees to vendors needs of the ledger."""
+    return ledger.filter(F.col("payee_name").isNotNull()).groupBy("payee_name").agg(
+        F.count("*").alias("tx_count"),
+        F.sum(amount("check_amount")).alias("amount"),
+        F.max(parse_iso("issue_date")).alias("last_day"),
+    )
+
+
 def payee_by_year(ledger: DataFrame) -> DataFrame:
     """The summary of every payee and year at once."""
     return ledger.groupBy("payee_name", "fiscal_year").agg(

@@ -24,8 +24,10 @@ from tenderlake.functions.keys import (
     longest_literal,
 )
 from tenderlake.functions.money import amount, exact_sum
+from tenderlake.functions.text import truncated
 from tenderlake.operators.ledger import contract_profiles, newest_first
 from tenderlake.operators.ranking import first_per_key, last_per_key, top_per_group
+from tenderlake.operators.search import filled
 
 # Source tags and statuses of a merged contract list.
 REGISTER_ONLY = "MOCS"
@@ -137,6 +139,19 @@ def solicitation_notices(notices: DataFrame, solicitations: DataFrame, normalise
     return solicitations.join(keys, on).select("epin", "agency", "notices")
 
 
+def sample_links(notices: DataFrame, solicitations: DataFrame, n: int = 5) -> DataFrame:
+    """A few linked rows to look at, in key order."""
+    rows = notices.withColumn("_key", hyphenless_upper("PIN")).join(solicitations, F.col("_key") == F.col("normalized_epin"))
+    return rows.orderBy("epin", "RequestID").limit(n).select(
+        "epin", truncated("procurement_name", 50).alias("title"), "RequestID", "TypeOfNoticeDescription"
+    )
+
+
+def sample_keys(df: DataFrame, column: str, n: int = 10) -> DataFrame:
+    """A few distinct non-empty keys, in order."""
+    return df.filter(filled(column)).select(column).distinct().orderBy(column).limit(n)
+
+
 def contract_notices(notices: DataFrame, contracts: DataFrame, normalised: bool) -> DataFrame:
     """Contract keys with notices: contracts and notices behind each key, never their pairs."""
     column = "normalized_epin" if normalised else "epin"
@@ -335,7 +350,11 @@ def reconcile_contracts(contracts: DataFrame, ledger: DataFrame, vendors: DataFr
     )
     contained = inside.unionByName(around).groupBy("_vendor", "_nid").agg(F.min("_hit").alias("_hit"))
 
-    hits = exact.union(contained.select("_vendor", "_hit")).distinct().withColumn("_seen", F.lit(True))
+    # Both outcomes read the same aggregate, which is computed once.
+    resolved = open_ids.join(contained, ["_vendor", "_nid"], "left")
+    hits = exact.union(resolved.filter("_hit is not null").select("_vendor", "_hit")).distinct().withColumn(
+        "_seen", F.lit(True)
+    )
     merged = listed.join(hits, ["_vendor", "_nid"], "left").select(
         "ctr_id", "contract_id", F.col("_vendor").alias("vendor_name"), "agency", "agency_id",
         F.col("award_amount").cast("double").alias("award_amount"),
@@ -344,8 +363,7 @@ def reconcile_contracts(contracts: DataFrame, ledger: DataFrame, vendors: DataFr
         "status",
         F.when(F.col("_seen"), F.lit(IN_BOTH)).otherwise(F.lit(REGISTER_ONLY)).alias("source"),
     )
-    unresolved = open_ids.join(contained, ["_vendor", "_nid"], "left_anti")
-    left_over = paid.join(unresolved, ["_vendor", "_nid"], "left_semi")
+    left_over = paid.join(resolved.filter("_hit is null").select("_vendor", "_nid"), ["_vendor", "_nid"], "left_semi")
     stats = contract_profiles(ledger).drop("main_payee_name")
     ledger_rows = left_over.join(stats, left_over["_raw"] == stats["contract_id"], "left").select(
         F.col("_raw").alias("ctr_id"), F.col("_raw").alias("contract_id"), F.col("_vendor").alias("vendor_name"),
@@ -453,40 +471,38 @@ def names_containing(wanted: DataFrame, payees: DataFrame) -> DataFrame:
     return found.filter(like("payee_name", pattern)).select("name", "payee_name").distinct()
 
 
-def vendor_payees(vendors: DataFrame, ledger: DataFrame) -> DataFrame:
+def vendor_payees(vendors: DataFrame, payees: DataFrame) -> DataFrame:
     """Payments of every vendor: payee of the same name, else payees that contain the name.
 
-    Works on one row per payee; ledger rows never reach a join.
+    `payees` has one row per payee (`payee_totals`); ledger rows never reach a join.
     """
-    payees = ledger.filter(F.col("payee_name").isNotNull()).groupBy("payee_name").agg(
-        F.count("*").alias("_n"), F.sum(amount("check_amount")).alias("_amount"), F.max(parse_iso("issue_date")).alias("_last")
-    )
     names = vendors.select("name").distinct()
     exact = names.join(payees, names["name"] == payees["payee_name"]).withColumn("tier", F.lit("exact"))
     rest = names.join(payees.select(F.col("payee_name").alias("name")), "name", "left_anti")
     contains = names_containing(rest, payees).join(payees, "payee_name").withColumn("tier", F.lit("contains"))
     matched = exact.unionByName(contains).groupBy("name", "tier").agg(
-        F.count("*").alias("payees"), F.sum("_n").alias("tx_count"),
-        F.sum("_amount").cast("double").alias("total"), F.max("_last").cast("string").alias("last_date"),
+        F.count("*").alias("payees"), F.sum("tx_count").alias("tx_count"),
+        F.sum("amount").cast("double").alias("total"), F.max("last_day").cast("string").alias("last_date"),
     )
-    return lookup(vendors.select("passport_supplier_id", F.col("name").alias("_name")), matched, F.col("_name") == F.col("name")).select(
-        "passport_supplier_id", F.col("_name").alias("vendor_name"), F.coalesce("tier", F.lit("none")).alias("tier"),
+    v = vendors.select("passport_supplier_id", F.col("name").alias("vendor_name"))
+    return lookup(v, matched, F.col("vendor_name") == F.col("name")).select(
+        "passport_supplier_id", "vendor_name", F.coalesce("tier", F.lit("none")).alias("tier"),
         F.coalesce("payees", F.lit(0)).alias("payees"), F.coalesce("tx_count", F.lit(0)).alias("tx_count"),
         "total", "last_date",
     )
 
 
-def vendor_transactions(vendors: DataFrame, ledger: DataFrame, n: int = 500, few: bool = False) -> DataFrame:
+def vendor_transactions(vendors: DataFrame, ledger: DataFrame, payees: DataFrame, n: int = 500,
+                        few: bool = False) -> DataFrame:
     """Latest payments of every vendor, by the best tier of its name.
 
-    For a `few` vendors only the rows of their payees are ranked.
+    `payees` has one row per payee. For a `few` vendors only the rows of their payees are ranked.
     """
     names = vendors.select("name").distinct()
-    payees = ledger.filter(F.col("payee_name").isNotNull()).groupBy("payee_name").agg(F.count("*").alias("_n"))
     exact = names.join(payees, names["name"] == payees["payee_name"], "left_semi").select(
         "name", F.col("name").alias("payee_name")
     )
-    rest = names.join(exact.select("name"), "name", "left_anti")
+    rest = names.join(payees.select(F.col("payee_name").alias("name")), "name", "left_anti")
     pairs = exact.unionByName(names_containing(rest, payees))
     if not few:
         # n per payee first: what a vendor shows is among them, and a hot payee shrinks before the join.

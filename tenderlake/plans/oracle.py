@@ -302,6 +302,10 @@ SELECT n.* FROM notices n WHERE EXISTS (SELECT 1 FROM solicitations s
     "notice_links_contract_prefix": f"""
 SELECT ctr_id, base_epin AS link_key, n.c AS notices FROM contracts
 JOIN (SELECT {EPIN_KEY} AS k, count(*) AS c FROM notices GROUP BY 1) n ON n.k = base_epin""",
+    "linkage_sample": f"""
+SELECT epin, substr(procurement_name, 1, 50) AS title, RequestID, TypeOfNoticeDescription
+FROM notices JOIN solicitations ON {EPIN_KEY} = normalized_epin ORDER BY epin, RequestID LIMIT 5""",
+    "notice_key_sample": "SELECT DISTINCT PIN FROM notices WHERE PIN <> '' ORDER BY PIN LIMIT 10",
     "linkage_quality": f"""
 SELECT 'solicitations' AS linked_to, 'exact' AS kind, count(DISTINCT epin) AS linked FROM solicitations JOIN notices ON PIN = epin
 UNION ALL SELECT 'solicitations', 'normalised', count(DISTINCT epin) FROM solicitations JOIN notices ON {EPIN_KEY} = normalized_epin

@@ -269,6 +269,8 @@ VIEW_QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "notice_links_partial": lambda v: linkage.partial_links(v.notices(), v.solicitations()),
     "notice_links_contract_prefix": lambda v: linkage.notices_by_segment(
         v.contracts(), v.notices(), F.col("base_epin"), normalised=True),
+    "linkage_sample": lambda v: linkage.sample_links(v.notices(), v.solicitations()),
+    "notice_key_sample": lambda v: linkage.sample_keys(v.notices(), "PIN"),
     "linkage_quality": lambda v: linkage.linkage_quality(v.notices(), v.solicitations(), v.contracts()),
     "notice_key_valid": lambda v: v.notices().select("RequestID", "PIN", quality.valid_notice_key().alias("valid")),
     "load_verification": lambda v: quality.load_verification(v.notices(), v.solicitations()),
@@ -277,9 +279,8 @@ VIEW_QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "contract_solicitation_two_tier": lambda v: linkage.two_tier_solicitation(v.contracts(), v.solicitations()),
     "contract_ledger_reconcile": lambda v: linkage.reconcile_contracts(
         v.contracts(), v.ledger(), v.vendors()),
-    "vendor_payee_match": lambda v: linkage.vendor_payees(
-        v.vendors(), v.ledger()),
-    "vendor_latest_transactions": lambda v: linkage.vendor_transactions(v.vendors(), v.ledger(), 25),
+    "vendor_payee_match": lambda v: linkage.vendor_payees(v.vendors(), v.payees()),
+    "vendor_latest_transactions": lambda v: linkage.vendor_transactions(v.vendors(), v.ledger(), v.payees(), 25),
     "contract_fy_spending": lambda v: linkage.contract_spending(
         v.contracts(), v.ledger(), _current_fy()),
     "contract_latest_transactions": lambda v: linkage.contract_transactions(v.contracts(), v.ledger(), _current_fy(), 5),

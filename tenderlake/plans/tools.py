@@ -11,7 +11,7 @@ from tenderlake.functions.dates import parse_any
 from tenderlake.functions.keys import base_key
 from tenderlake.functions.text import or_default
 from tenderlake.operators import ledger as led
-from tenderlake.operators import linkage, profiles, rollups
+from tenderlake.operators import linkage, pages, profiles, rollups
 from tenderlake.operators.search import all_of, capped, equals, matches_any, partial
 
 
@@ -100,6 +100,56 @@ def get_vendor_spending(ledger: DataFrame, vendor_name: str, fiscal_year: int |
     }
 
 
+def get_spending_by_year(ledger: DataFrame, fiscal_year: int) -> DataFrame:
+    """Total of a fiscal year with its ten leading agencies."""
+    return led.by_year_and_agency(led.in_years(ledger, fiscal_year))
+
+
+def search_transactions(ledger: DataFrame, query: str, limit: int = 50) -> DataFrame:
+    return led.search_transactions(ledger, query, limit)
+
+
+def get_vendor_stats(vendors: DataFrame) -> DataFrame:
+    return rollups.vendor_stats(vendors)
+
+
+def get_solicitation_stats(solicitations: DataFrame, agency: str | None = None) -> DataFrame:
+    return rollups.solicitation_stats(solicitations, agency)
+
+
+def get_yearly_trends(contracts: DataFrame, solicitations: DataFrame) -> DataFrame:
+    return rollups.yearly_trends(contracts, solicitations)
+
+
+def get_database_overview(agencies: DataFrame, vendors: DataFrame, contracts: DataFrame,
+                          solicitations: DataFrame) -> dict[str, DataFrame]:
+    tables = {"agencies": agencies, "vendors": vendors, "contracts": contracts, "solicitations": solicitations}
+    return {"counts": rollups.table_counts(tables), "overview": rollups.overview(contracts, solicitations)}
+
+
+def tech_spending(digital: DataFrame) -> dict[str, DataFrame]:
+    return {
+        "classes": rollups.classification_stats(digital),
+        "top": rollups.class_top(digital),
+        "trend": rollups.fy_trend(digital).orderBy("year"),
+    }
+
+
+def digital_report(vendors: DataFrame, contracts: DataFrame, digital: DataFrame, records: DataFrame,
+                   as_of: Column | None = None) -> dict[str, DataFrame]:
+    return {
+        "vendors": pages.digital_vendors_page(vendors, digital, contracts),
+        "contracts": pages.digital_contracts_page(contracts, digital),
+        "expiring": pages.expiring_page(contracts, digital, as_of),
+        "expiring_by_year": rollups.expiring_by_year(contracts, digital),
+        "expiring_by_agency": rollups.expiring_by_agency(contracts, digital),
+        "summary": rollups.digital_summary(contracts, digital),
+        "trend": rollups.digital_trend(contracts, digital),
+        "by_agency": rollups.digital_by_agency(contracts, digital),
+        "characteristics": rollups.contract_characteristics(records, digital),
+    }
+
+
 def get_chart_data(contracts: DataFrame, ledger: DataFrame, data_type: str, fiscal_year: int = 2024,
                    limit: int = 10) -> DataFrame:
     """Label and value of one of four charts."""
@@ -167,7 +217,7 @@ def vendor_detail(vendors: DataFrame, contracts: DataFrame, ledger: DataFrame, v
         "years": profiles.vendor_award_years(
             contracts.join(one.select(F.col("name").alias("vendor_name")), "vendor_name", "left_semi")
         ),
-        "transactions": linkage.vendor_transactions(one, ledger, few=True),
+        "transactions": linkage.vendor_transactions(one, ledger, led.payee_totals(ledger), few=True),
         "children": profiles.vendor_children(one, children),
     }
 

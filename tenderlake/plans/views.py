@@ -9,10 +9,12 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tenderlake.functions.dates import fiscal_year, mdy_text, parse_mdy
 from tenderlake.functions.keys import base_key, comparable_name, hyphenless, zero_pad
 from tenderlake.functions.money import MONEY
+from tenderlake.operators.ledger import payee_totals
 from tenderlake.operators.rollups import FY_COLUMNS
 from tenderlake.session import scratch_path
 
@@ -35,14 +37,16 @@ def customer_name(k: Column) -> Column:
     return F.concat(F.lit("Customer#"), zero_pad(k, 9))
 
 
-# Tables written so far, by application, data folder and name.
-_STORED: dict[tuple[str, str, str], str] = {}
+# Tables read or written so far, by application, data folder and name. A known schema saves
+# the job that would look for it in the files again.
+_SCHEMAS: dict[tuple[str, str, str], T.StructType] = {}
+_STORED: dict[tuple[str, str, str], tuple[str, T.StructType]] = {}
 
 
 class Views:
     """Domain tables of one data folder.
 
-    What one scan can derive is derived on the fly. The joined tables (contracts, ledger,
+    What one scan can derive is derived on the fly. The joined tables (contracts, ledger, payee totals,
     digital vendors, contract records) are loaded once per application into the shared scratch folder,
     as a load job would, and read from there with column and partition pruning.
     """
@@ -50,26 +54,32 @@ class Views:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    def _key(self, name: str) -> tuple[str, str, str]:
+        return self.spark.sparkContext.applicationId, self.folder, name
+
     def _stored(self, name: str, build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        key = self._key(name)
         if key not in _STORED:
-            path = scratch_path(self.spark, name)
-            df = build()
+            path, df = scratch_path(self.spark, name), build()
             if by:
                 # Rebalancing gives every partition value few files and still splits a large one.
                 df.hint("rebalance", by).write.partitionBy(by).parquet(path)
             else:
                 df.write.parquet(path)
-            _STORED[key] = path
-        return self.spark.read.parquet(_STORED[key])
+            _STORED[key] = path, df.schema
+        path, schema = _STORED[key]
+        return self.spark.read.schema(schema).parquet(path)
 
     def load(self) -> None:
         """Write all stored tables."""
-        for table in (self.contracts, self.ledger, self.digital, self.contract_records):
+        for table in (self.contracts, self.ledger, self.payees, self.digital, self.contract_records):
             table()
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path, key = f"{self.folder}/{name}.parquet", self._key(name)
+        if key not in _SCHEMAS:
+            _SCHEMAS[key] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[key]).parquet(path)
 
     def spread(self, name: str, *keys: str) -> DataFrame:
         """A table whose files make fewer tasks than there are cores is spread over the cores.
@@ -208,6 +218,10 @@ class Views:
             )
         )
 
+    def payees(self) -> DataFrame:
+        """Totals per payee, a small rollup of the ledger."""
+        return self._stored("payees", lambda: payee_totals(self.ledger()))
+
     def digital(self) -> DataFrame:
         return self._stored("digital", self._digital)
 

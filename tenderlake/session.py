@@ -28,15 +28,21 @@ def build_session(app: str = "tenderlake", master: str | None = None, **extra: s
     return builder.getOrCreate()
 
 
+# Folder of a local session that names none, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder of `spark.checkpoint.dir`.
 
     Only a local session without that setting gets a folder of its own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="tenderlake-")
-        spark.conf.set("tenderlake.scratch.dir", root)
+        app = context.applicationId
+        root = _LOCAL.setdefault(app, "") or tempfile.mkdtemp(prefix="tenderlake-")
+        _LOCAL[app] = root
     return f"{root.rstrip('/')}/tenderlake/{label}-{uuid.uuid4().hex}"

@@ -33,6 +33,11 @@ def read_files(spark: SparkSession, paths: Sequence[str], root: str | None = Non
     return (reader.option("basePath", root) if root else reader).parquet(*paths)
 
 
+def read_contract_records(spark: SparkSession, root: str, fiscal_year: int | None = None) -> DataFrame:
+    """Contract metadata of one fiscal year, or of the recent ones."""
+    return read_ledger(spark, root, [fiscal_year] if fiscal_year else range(2020, 2026))
+
+
 def with_fiscal_year(df: DataFrame) -> DataFrame:
     """Fiscal year of the row: the given one, else the one of its issue date."""
     own = fiscal_year(parse_any("issue_date"))
@@ -49,5 +54,11 @@ def write_ledger(df: DataFrame, root: str, mode: str = "append") -> None:
     df.select(*text).write.mode(mode).option("compression", "snappy").partitionBy("fiscal_year").parquet(root)
 
 
+def load_chunk(spark: SparkSession, path: str, root: str) -> None:
+    """One CSV chunk of ledger rows appended to the ledger, all columns as text."""
+    rows = spark.read.schema(SCHEMA).option("header", True).option("escape", '"').csv(path)
+    write_ledger(with_fiscal_year(rows), root)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").csv(path)

@@ -1,8 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
 from tenderlake.plans import registry
-from tenderlake.sources import feeds, landing, ledger, posts, progress
+from tenderlake.sources import exports, feeds, landing, ledger, posts, progress
 
 
 def _write(path, text, encoding="utf-8"):
@@ -133,6 +134,40 @@ def test_csv_export_reads_back(spark, tmp_path):
     assert rows(back) == rows(df)
 
 
+def test_chunk_to_ledger_and_records(spark, tmp_path):
+    header = ",".join(ledger.FIELDS)
+    _write(tmp_path / "chunk.csv", f"{header}\nParks,a,5,,2024-08-01,,,,,,,,\nParks,b,x,2021,2024-08-01,,,,,,,,\n")
+    root = str(tmp_path / "ledger")
+    ledger.load_chunk(spark, str(tmp_path / "chunk.csv"), root)
+    assert rows(ledger.read_ledger(spark, root).select("payee_name", "check_amount", "fiscal_year")) == [("a", "5", 2025), ("b", "x", 2021)]
+    assert ledger.read_contract_records(spark, root).count() == 2
+    assert ledger.read_contract_records(spark, root, 2021).count() == 1
+
+
+def test_read_through(spark, tmp_path):
+    path, built = str(tmp_path / "stats"), []
+
+    def build():
+        built.append(1)
+        return spark.createDataFrame([("2024-01", 1.0)], "month string, total double")
+
+    for _ in range(2):
+        assert rows(exports.read_through(spark, path, build, "json")) == [("2024-01", 1.0)]
+    assert built == [1]
+
+
+def test_exports_and_listing(spark, tmp_path):
+    df = spark.createDataFrame([(i,) for i in range(1200)], "n int").coalesce(1)
+    exports.export_csv(df, str(tmp_path), "numbers.csv")
+    with pytest.raises(ValueError):
+        exports.export_csv(df, str(tmp_path), "numbers.db")
+    now = F.lit("2026-01-01 12:00:00").cast("timestamp_ntz")
+    listed = exports.dataset_info(spark, {"Numbers": str(tmp_path / "numbers.csv"), "None": str(tmp_path / "none.csv")}, now)
+    got = {r["name"]: (r["record_count"], r["last_updated"], r["next_update"]) for r in listed.collect()}
+    assert got["Numbers"][0] == "1,200" and got["Numbers"][2] == "2026-01-02 02:00:00"
+    assert got["None"][:2] == ("-", "Not Found")
+
+
 def test_feed_headers_are_complete():
     assert registry.feeds.CONTRACTS["Vendor"] == "vendor_name"
     assert [len(x) for x in (feeds.VENDORS, feeds.SOLICITATIONS, feeds.CONTRACTS, feeds.ENTITY_SUMMARY)] == [8, 13, 16, 12]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from tenderlake.operators import linkage, quality
+from tenderlake.operators.ledger import payee_totals
 from tenderlake.operators.profiles import tech_row, vendor_people
 
 
@@ -119,11 +120,11 @@ def test_vendor_payees_tiers(spark):
         [("Alpha Works", "1.00", "2024-01-01"), ("Alpha Works II", "9.00", "2024-01-01"),
          ("The Beta Builders", "2.00", "2024-02-01"), ("Beta Builders Co", "N/A", "2024-03-01")],
         "payee_name string, check_amount string, issue_date string")
-    got = {r[0]: tuple(r)[2:] for r in linkage.vendor_payees(vendors, ledger).collect()}
+    got = {r[0]: tuple(r)[2:] for r in linkage.vendor_payees(vendors, payee_totals(ledger)).collect()}
     assert got == {"1": ("exact", 1, 1, 1.0, "2024-01-01"), "2": ("contains", 2, 2, 2.0, "2024-03-01"),
                    "3": ("none", 0, 0, None, None)}
     for few in (True, False):
-        latest = linkage.vendor_transactions(vendors, ledger, 1, few)
+        latest = linkage.vendor_transactions(vendors, ledger, payee_totals(ledger), 1, few)
         assert rows(latest.select("vendor_name", "payee_name")) == [("Alpha Works", "Alpha Works"), ("Beta Builders", "Beta Builders Co")]
 
 

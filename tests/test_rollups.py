@@ -112,6 +112,15 @@ def test_tools(spark, views):
     ledger_id = views.ledger().filter("contract_id like 'PO%'").first()["contract_id"]
     assert tools.contract_or_ledger(c, views.ledger(), ledger_id).first()["status"] == "Checkbook Record"
     assert tools.contract_or_ledger(c, views.ledger(), one["ctr_id"]).first()["contract_id"] == one["contract_id"]
+    assert tools.get_spending_by_year(views.ledger(), 2024).count() == 10
+    assert tools.search_transactions(views.ledger(), "corp", 7).count() == 7
+    assert tools.get_vendor_stats(v).count() > 0 and tools.get_solicitation_stats(s, "nation_3").count() > 0
+    assert tools.get_yearly_trends(c, s).count() > 0
+    assert tools.get_database_overview(views.agencies(), v, c, s)["counts"].count() == 4
+    tech = tools.tech_spending(views.digital())
+    assert [r["year"] for r in tech["trend"].collect()] == [str(y) for y in range(2016, 2026)]
+    report = tools.digital_report(v, c, views.digital(), views.contract_records(), F.to_date(F.lit("2025-06-30")))
+    assert all(df.count() > 0 for df in report.values())
     detail = tools.agency_detail(c, s, v, "3")
     assert detail["stats"].count() == 1 and detail["vendors"].count() > 0
 
