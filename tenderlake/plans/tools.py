@@ -1,4 +1,4 @@
-"""The reference's tools and detail pages as DataFrame functions over domain tables."""
+"""Named tools and detail pages as functions over domain tables."""
 
 from __future__ import annotations
 

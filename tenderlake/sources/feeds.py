@@ -21,7 +21,8 @@ from tenderlake.operators.search import filled
 
 ORDER = "_order"
 
-# CSV header to column of every feed.
+# CSV header to column of every feed. A header that begins with a hyphen stands
+# for the one that ends so, whoever's prefix it carries.
 VENDORS = {
     "PASSPort Supplier-ID": "passport_supplier_id", "Vendor Name": "name", "FMS Vendor Code": "fms_vendor_code",
     "DUNS Number": "duns_number", "Certification Type": "certification_type", "Ethnicity": "ethnicity",
@@ -29,13 +30,13 @@ VENDORS = {
 }
 SOLICITATIONS = {
     "RFP-ID": "rfp_id", "BPM-ID": "bpm_id", "Program": "program", "Industry": "industry", "EPIN": "epin",
-    "Procurement Name": "procurement_name", "Agency": "agency", "wegov-org-id": "agency_id",
+    "Procurement Name": "procurement_name", "Agency": "agency", "-org-id": "agency_id",
     "RFx Status": "rfx_status", "Release Date": "release_date", "Due Date": "due_date",
     "Main Commodity": "main_commodity", "Procurement Method": "procurement_method",
 }
 CONTRACTS = {
     "CTR-ID": "ctr_id", "EPIN": "epin", "Contract ID": "contract_id", "Contract Title": "contract_title",
-    "Agency": "agency", "wegov-org-id": "agency_id", "Vendor": "vendor_name", "Program": "program",
+    "Agency": "agency", "-org-id": "agency_id", "Vendor": "vendor_name", "Program": "program",
     "Procurement Method": "procurement_method", "Contract Type": "contract_type", "Status": "status",
     "Award Amount": "award_amount", "Current Contract Amount": "current_amount",
     "Contract Start Date": "start_date", "Contract End Date": "end_date", "Industry": "industry",
@@ -78,9 +79,8 @@ NOTICES = {h: h for h in (
     "ContactName", "ContactPhone", "Email", "ContractAmount", "ContactFax", "AdditionalDescription1",
     "AdditionalDesctription2", "AdditionalDescription3", "OtherInfo1", "OtherInfo2", "OtherInfo3", "VendorName",
     "VendorAddress", "Printout1", "Printout2", "Printout3", "DocumentLinks", "EventDate", "EventBuildingName",
-    "EventStreetAddress1", "EventStreetAddress2", "EventCity", "EventStateCode", "EventZipCode", "wegov-org-name",
-    "wegov-org-id",
-)} | {"AdditionalDesctription2": "AdditionalDescription2", "wegov-org-name": "wegov_org_name", "wegov-org-id": "wegov_org_id"}
+    "EventStreetAddress1", "EventStreetAddress2", "EventCity", "EventStateCode", "EventZipCode",
+)} | {"AdditionalDesctription2": "AdditionalDescription2", "-org-name": "org_name", "-org-id": "org_id"}
 
 CHILD_FEEDS = {
     "entity_summary": ENTITY_SUMMARY, "other_names": OTHER_NAMES, "evaluations": EVALUATIONS,
@@ -108,6 +108,9 @@ def read_feed(spark: SparkSession, path: str, headers: Mapping[str, str], multi_
             raise
         return spark.createDataFrame([], text_schema([*wanted])).withColumn(ORDER, _no_order())
     present = {c.lstrip("\ufeff"): c for c in raw.columns}
+    for header in headers:
+        if header.startswith("-"):
+            present.update({header: c for h, c in list(present.items()) if h.endswith(header)})
     columns = [
         F.coalesce(F.col(f"`{present[h]}`"), F.lit("")).alias(c) if h in present else F.lit(None).cast("string").alias(c)
         for h, c in headers.items()

@@ -43,9 +43,9 @@ def test_contract_feed_keeps_duplicates(spark, tmp_path):
 
 def test_notice_feed(spark, tmp_path):
     path = _write(tmp_path / "n.csv", (
-        "RequestID,PIN,AdditionalDesctription2,wegov-org-id\n1, 85826Y1251 ,more,9\n2,SEE BELOW,,\n3,12345678,,\n3,87654321,,\n"
+        "RequestID,PIN,AdditionalDesctription2,any-org-id\n1, 85826Y1251 ,more,9\n2,SEE BELOW,,\n3,12345678,,\n3,87654321,,\n"
     ))
-    valid = feeds.read_notices(spark, path, only_valid=True).select("RequestID", "PIN", "AdditionalDescription2", "wegov_org_id")
+    valid = feeds.read_notices(spark, path, only_valid=True).select("RequestID", "PIN", "AdditionalDescription2", "org_id")
     assert rows(valid) == [("1", " 85826Y1251 ", "more", "9"), ("3", "12345678", "", "")]
     assert feeds.read_notices(spark, path).count() == 3
     assert len(feeds.NOTICES) == 39
