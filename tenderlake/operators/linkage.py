@@ -70,12 +70,18 @@ def lengths_of(df: DataFrame, text: str) -> Column:
 # ---- vendors and entities ----------------------------------------------------------------
 
 
-def match_entities(entities: DataFrame, vendors: DataFrame, match_blank: bool = False) -> DataFrame:
-    """Entity to vendor by equal normalised name, score 1.0; the last vendor of a name wins."""
-    named = vendors.select(comparable_name("name").alias("_name"), "passport_supplier_id")
+def match_entities(entities: DataFrame, vendors: DataFrame, match_blank: bool = False,
+                   order: str = "passport_supplier_id") -> DataFrame:
+    """Entity to vendor by equal normalised name, score 1.0; the last vendor of a name wins.
+
+    `order` says which is last: the id, or the input order that the feed reader can keep.
+    """
+    named = vendors.select(
+        comparable_name("name").alias("_name"), "passport_supplier_id", F.col(order).alias("_last")
+    )
     if not match_blank:
         named = named.filter(F.col("_name") != "")
-    ids = last_per_key(named, "_name", ["passport_supplier_id"])
+    ids = last_per_key(named, "_name", ["_last"])
     out = entities.withColumn("normalized_name", comparable_name("organization_name"))
     out = lookup(out, ids, out["normalized_name"] == ids["_name"])
     return out.select(
@@ -113,11 +119,10 @@ def with_contract_stats(vendors: DataFrame, contracts: DataFrame) -> DataFrame:
     return out.withColumn("contract_count", F.coalesce("_count", F.lit(0))).drop("_count", "vendor_name")
 
 
-def contract_vendor(contracts: DataFrame, vendors: DataFrame) -> DataFrame:
+def contract_vendor(contracts: DataFrame, vendors: DataFrame, order: str = "passport_supplier_id") -> DataFrame:
     """Contract to its vendor by exact name, the first vendor of a name."""
-    first = first_per_key(
-        vendors.select("name", "passport_supplier_id"), "name", [F.col("passport_supplier_id")], keep_null=False
-    )
+    named = vendors.select("name", "passport_supplier_id", F.col(order).alias("_first"))
+    first = first_per_key(named, "name", [F.col("_first")], keep_null=False).drop("_first")
     return lookup(contracts, first, contracts["vendor_name"] == first["name"]).drop("name").withColumnRenamed(
         "passport_supplier_id", "vendor_id"
     )

@@ -159,13 +159,14 @@ def agency_recent(contracts: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
-def agency_vendor_table(contracts: DataFrame, vendors: DataFrame) -> DataFrame:
+def agency_vendor_table(contracts: DataFrame, vendors: DataFrame, order: str = "passport_supplier_id") -> DataFrame:
     """Contracts and amount by agency and vendor, with the vendor's id where its name is known."""
     totals = contracts.filter(filled("vendor_name")).groupBy("agency_id", "vendor_name").agg(
         F.count("*").alias("contracts"),
         F.coalesce(exact_sum("award_amount"), F.lit(0.0)).alias("amount"),
     )
-    ids = last_per_key(vendors.select("name", "passport_supplier_id"), "name", ["passport_supplier_id"])
+    named = vendors.select("name", "passport_supplier_id", F.col(order).alias("_last"))
+    ids = last_per_key(named, "name", ["_last"])
     return totals.join(ids, totals["vendor_name"] == ids["name"], "left").select(
         "agency_id", "vendor_name", "contracts", "amount", F.col("passport_supplier_id").alias("vendor_id")
     )

@@ -125,12 +125,14 @@ def _no_order() -> Column:
     return F.struct(F.lit("").alias("file_path"), F.lit(0).cast("long").alias("file_block_start"), F.lit(0).cast("long").alias("row"))
 
 
-def _first(df: DataFrame, key: str) -> DataFrame:
-    return first_per_key(df, key, [F.col(ORDER)]).drop(ORDER)
+def _first(df: DataFrame, key: str, keep_order: bool = False) -> DataFrame:
+    first = first_per_key(df, key, [F.col(ORDER)])
+    return first if keep_order else first.drop(ORDER)
 
 
-def read_vendors(spark: SparkSession, path: str) -> DataFrame:
-    return _first(read_feed(spark, path, VENDORS), "passport_supplier_id")
+def read_vendors(spark: SparkSession, path: str, keep_order: bool = False) -> DataFrame:
+    """Vendors, first row per id; the kept input order decides between vendors of one name."""
+    return _first(read_feed(spark, path, VENDORS), "passport_supplier_id", keep_order)
 
 
 def solicitation_rows(spark: SparkSession, path: str) -> DataFrame:

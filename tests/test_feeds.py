@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from tenderlake.operators import linkage
 from tenderlake.plans import registry
 from tenderlake.sources import exports, feeds, landing, ledger, posts, progress
 
@@ -24,6 +25,14 @@ def test_vendor_feed(spark, tmp_path):
     assert rows(got) == [("", "first blank", "", None), ("1", 'Acme, "Best"\nInc', "", None)]
 
 
+def test_last_loaded_vendor_of_a_name_wins(spark, tmp_path):
+    path = _write(tmp_path / "v.csv", "PASSPort Supplier-ID,Vendor Name\n9,Acme\n2,ACME\n")
+    vendors = feeds.read_vendors(spark, path, keep_order=True)
+    entities = spark.createDataFrame([("acme",)], "organization_name string")
+    assert linkage.match_entities(entities, vendors, order=feeds.ORDER).first()["matched_vendor_id"] == "2"
+    assert linkage.match_entities(entities, vendors).first()["matched_vendor_id"] == "9"
+
+
 def test_input_order_spans_files(spark, tmp_path):
     _write(tmp_path / "a.csv", "EPIN,Procurement Name\nE1,from a\n")
     _write(tmp_path / "b.csv", "EPIN,Procurement Name\n" + "E1,from b\n" * 50 + "E2,first of b\nE2,second\n")
