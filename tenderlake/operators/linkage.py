@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderlake.functions.dates import fiscal_window, fiscal_year, parse_any, parse_iso, parse_mdy
+from tenderlake.functions.dates import fiscal_window, fiscal_year, parse_any, parse_mdy
 from tenderlake.functions.keys import (
     WILDCARDS,
     base_key,
@@ -36,6 +36,11 @@ LEDGER_ONLY = "Checkbook"
 LEDGER_STATUS = "Checkbook Only"
 
 GRAM = 8
+BUCKETS = 32
+
+
+# The right side of every semi and anti join is distinct: a key that holds many of its rows is
+# combined before the shuffle.
 
 
 def lookup(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
@@ -92,12 +97,12 @@ def match_entities(entities: DataFrame, vendors: DataFrame, match_blank: bool =
 
 
 def unmatched_vendors(vendors: DataFrame, matched: DataFrame) -> DataFrame:
-    ids = matched.select(F.col("matched_vendor_id").alias("passport_supplier_id"))
+    ids = matched.select(F.col("matched_vendor_id").alias("passport_supplier_id")).distinct()
     return vendors.join(ids, "passport_supplier_id", "left_anti")
 
 
 def matched_vendors(vendors: DataFrame, matched: DataFrame) -> DataFrame:
-    ids = matched.select(F.col("matched_vendor_id").alias("passport_supplier_id"))
+    ids = matched.select(F.col("matched_vendor_id").alias("passport_supplier_id")).distinct()
     return vendors.join(ids, "passport_supplier_id", "left_semi")
 
 
@@ -198,13 +203,15 @@ def partial_links(notices: DataFrame, solicitations: DataFrame, length: int = GR
         return with_pieces(keys, "normalized_epin", lengths_of(of, "_literal"), "_literal")
 
     plain, patterned = wanted.filter(~wild), wanted.filter(wild)
-    equal = plain.join(pieces(plain).select("_literal"), "_literal", "left_semi")
-    w, p = patterned.alias("w"), pieces(patterned).alias("p")
+    equal = plain.join(pieces(plain).select("_literal").distinct(), "_literal", "left_semi")
+    # A short literal part occurs in many keys: they are spread over buckets, and each of the
+    # few patterns asks every bucket.
+    w = patterned.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1)))).alias("w")
+    p = pieces(patterned).withColumn("_bucket", F.pmod(F.hash("normalized_epin"), F.lit(BUCKETS))).alias("p")
     pattern = F.concat(F.lit("%"), F.col("w._piece"), F.lit("%"))
-    patterns = w.join(
-        p, (F.col("w._literal") == F.col("p._literal")) & like(F.col("p.normalized_epin"), pattern), "left_semi"
-    )
-    linked = equal.select("_piece").union(patterns.select("_piece"))
+    same = (F.col("w._literal") == F.col("p._literal")) & (F.col("w._bucket") == F.col("p._bucket"))
+    patterns = w.join(p, same & like(F.col("p.normalized_epin"), pattern), "left_semi").select("_piece").distinct()
+    linked = equal.select("_piece").union(patterns)
     return notices.withColumn("_piece", piece).join(linked, "_piece", "left_semi").drop("_piece")
 
 
@@ -232,12 +239,12 @@ def linkage_quality(notices: DataFrame, solicitations: DataFrame, contracts: Dat
 
 
 def contracts_with_solicitation(contracts: DataFrame, solicitations: DataFrame) -> DataFrame:
-    keys = solicitations.select(F.col("normalized_epin").alias("base_epin"))
+    keys = solicitations.select(F.col("normalized_epin").alias("base_epin")).distinct()
     return contracts.join(keys, "base_epin", "left_semi")
 
 
 def solicitations_with_contract(solicitations: DataFrame, contracts: DataFrame) -> DataFrame:
-    keys = contracts.select(F.col("base_epin").alias("normalized_epin"))
+    keys = contracts.select(F.col("base_epin").alias("normalized_epin")).distinct()
     return solicitations.join(keys, "normalized_epin", "left_semi")
 
 

@@ -50,14 +50,16 @@ def vendors_page(vendors: DataFrame, contracts: DataFrame, entities: DataFrame,
     elif linked == "no":
         found = unmatched_vendors(found, entities)
     if allowed(tag, DIGITAL_CLASSES):
-        ids = digital.filter(F.col("classification") == tag).select(F.col("matched_passport_id").alias("passport_supplier_id"))
+        ids = digital.filter(F.col("classification") == tag).select(
+            F.col("matched_passport_id").alias("passport_supplier_id")
+        ).distinct()
         found = found.join(ids, "passport_supplier_id", "left_semi")
     found = found.distinct()
     columns = {"name": "name", "contracts": "contract_count", "amount": "total_awarded"}
     by = sort_order(columns, sort, "name", order, ["passport_supplier_id"])
     if columns.get(sort, "name") == "name":
         shown = page_rows(found, by, page, LIST_SIZE)
-        own = contracts.join(shown.select(F.col("name").alias("vendor_name")), "vendor_name", "left_semi")
+        own = contracts.join(shown.select(F.col("name").alias("vendor_name")).distinct(), "vendor_name", "left_semi")
         shown = with_contract_stats(shown, own)
     else:
         shown = page_rows(with_contract_stats(found, contracts), by, page, LIST_SIZE)

@@ -26,7 +26,7 @@ def valid_notice_key(column: str = "PIN") -> Column:
 def load_verification(notices: DataFrame, solicitations: DataFrame) -> DataFrame:
     """Rows, rows with a key, distinct keys, valid keys and distinct linked solicitations."""
     key = F.when(filled("PIN"), F.col("PIN"))
-    linked = solicitations.join(notices.select(F.col("PIN").alias("epin")), "epin", "left_semi").agg(
+    linked = solicitations.join(notices.select(F.col("PIN").alias("epin")).distinct(), "epin", "left_semi").agg(
         F.countDistinct("epin")
     )
     return notices.agg(

@@ -407,7 +407,7 @@ def contract_characteristics(records: DataFrame, digital: DataFrame) -> DataFram
         F.max_by(F.struct(*dims), F.struct("fiscal_year", *dims)).alias("_latest"),
         F.max(amount("prime_contract_original_amount")).alias("_amount"),
     )
-    names = _digital(digital).select(F.col("vendor_name").alias("prime_vendor"))
+    names = _digital(digital).select(F.col("vendor_name").alias("prime_vendor")).distinct()
     kept = contracts.join(names, "prime_vendor", "left_semi").select("_latest.*", "_amount")
     return _breakdowns(kept, dims, [F.count("*").alias("count"), F.sum("_amount").cast("double").alias("amount")])
 

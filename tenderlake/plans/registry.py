@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.functions.dates import month_key, parse_any, parse_mdy, fiscal_year
+from tenderlake.functions.dates import fiscal_year, parse_mdy
 from tenderlake.functions.keys import compact_key, hyphenless, normalized_key
-from tenderlake.functions.money import amount, clean_money, count_text, currency_text, exact_sum
+from tenderlake.functions.money import clean_money, count_text, currency_text, exact_sum
 from tenderlake.functions.text import excerpt, fy_label, key_label, or_default, plain_text, truncated
 from tenderlake.operators import ledger as led
 from tenderlake.operators import linkage, pages, profiles, quality, rollups
@@ -18,7 +18,7 @@ from tenderlake.operators.search import numeric_sort_key
 from tenderlake.plans import tools
 from tenderlake.plans.views import Views
 from tenderlake.session import scratch_path
-from tenderlake.sources import feeds, landing, ledger as ledger_files, posts, progress
+from tenderlake.sources import feeds, ledger as ledger_files, posts, progress
 from tenderlake.streaming import ledger_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,7 +89,6 @@ def agency_dimension(v: Views) -> DataFrame:
 
 
 def numeric_aware_sort_key(v: Views) -> DataFrame:
-    number, text = numeric_sort_key("check_amount")
     cells = v.ledger().groupBy(F.col("check_amount").alias("cell")).agg(F.count("*").alias("cells"))
     number, text = numeric_sort_key("cell")
     return cells.select("cell", number.alias("number_key"), text.alias("text_key"), "cells")

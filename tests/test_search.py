@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from tenderlake.operators import pages, search
-from tenderlake.operators.ranking import append, first_per_key, last_per_key, top_per_group
+from tenderlake.operators.ranking import append, first_per_key, last_per_key
 
 
 def test_first_and_last_wins(spark):
