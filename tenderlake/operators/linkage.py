@@ -360,10 +360,11 @@ def reconcile_contracts(contracts: DataFrame, ledger: DataFrame, vendors: DataFr
         .join(own.withColumnRenamed("_nid", "_hit"), ["_vendor", "_hit"], "left_semi")
         .select("_vendor", "_nid", "_hit")
     )
-    contained = inside.unionByName(around).groupBy("_vendor", "_nid").agg(F.min("_hit").alias("_hit"))
+    # Ids that fit nowhere stay with a NULL hit; both outcomes read this one aggregate.
+    resolved = inside.unionByName(around).unionByName(
+        open_ids.withColumn("_hit", F.lit(None).cast("string"))
+    ).groupBy("_vendor", "_nid").agg(F.min("_hit").alias("_hit"))
 
-    # Both outcomes read the same aggregate, which is computed once.
-    resolved = open_ids.join(contained, ["_vendor", "_nid"], "left")
     hits = exact.union(resolved.filter("_hit is not null").select("_vendor", "_hit")).distinct().withColumn(
         "_seen", F.lit(True)
     )
