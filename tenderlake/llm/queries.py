@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.llm import byte_bpe, decontamination, minhash_dedup, quality_rules, secret_scans, substring_dedup, toxicity
+from tenderlake.llm import (byte_bpe, decontamination, html_extraction, minhash_dedup, oracle, quality_rules, secret_scans, substring_dedup,
+                            suffix_dedup, toxicity, url_filters)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,19 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_candidates", "n_secrets", changed)
 
 
+def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.url_verdicts(table(spark, sf_dir, "pages"))
+
+
+def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_texts(table(spark, sf_dir, "pages"))
+
+
+def suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,6 +75,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": quality,
         "op2_decontamination": decontaminated,
         "op3_secret_scans": secrets,
+        "op4_url_filters": urls,
+        "op5_html_extraction": main_texts,
+        "op6_suffix_dedup": suffixes,
         "op7_toxicity": toxic,
         "op8_substring_dedup": chunked,
         "op9_byte_bpe": encoded,
@@ -69,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.QUERIES)
