@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from tenderlake.functions.keys import _col
 
-# Last fiscal year with ledger data.
-LAST_LEDGER_FY = 2025
-
 
 def strip_midnight(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), " 12:00:00 [AP]M$", "")
@@ -52,20 +49,17 @@ def fiscal_year(d: Column | str) -> Column:
 
 
 def fiscal_window(
-    start_fy: Column, end_fy: Column, current_fy: Column, fallback_years: int
+    start_fy: Column, end_fy: Column, current_fy: Column, fallback_years: int, last_fy: Column | None = None
 ) -> tuple[Column, Column]:
     """Fiscal years in which a contract can have records.
 
     One year before the start to two after the end (the current year without an end), never
-    beyond the last year with data. Without a start: the last `fallback_years` years and the
-    latest one.
+    beyond `last_fy`, by default the current year. Without a start: the last `fallback_years`
+    years and the latest one.
     """
-    last = F.lit(LAST_LEDGER_FY)
-    newest = F.least(current_fy, last)
+    newest = current_fy if last_fy is None else F.least(current_fy, last_fy)
     first_year = F.coalesce(start_fy - 1, newest - fallback_years)
-    last_year = F.when(
-        start_fy.isNotNull(), F.least(F.coalesce(end_fy + 2, current_fy), last)
-    ).otherwise(newest)
+    last_year = F.when(start_fy.isNotNull(), F.least(F.coalesce(end_fy + 2, newest), newest)).otherwise(newest)
     return first_year, last_year
 
 

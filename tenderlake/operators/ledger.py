@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +27,10 @@ PAGE_FIELDS = {
 }
 
 
-def in_years(ledger: DataFrame, fiscal_year: int | None = None, years=DEFAULT_YEARS) -> DataFrame:
-    """Literal filter on the partition column: other years are not read."""
-    return ledger.filter(F.col("fiscal_year").isin(*([fiscal_year] if fiscal_year else years)))
+def in_years(ledger: DataFrame, fiscal_year: int | None = None, years: Sequence[int] | None = None) -> DataFrame:
+    """Literal filter on the partition column: other years are not read. Neither given: all years."""
+    wanted = [fiscal_year] if fiscal_year else years
+    return ledger if wanted is None else ledger.filter(F.col("fiscal_year").isin(*wanted))
 
 
 def newest_first(df: DataFrame) -> list[Column]:
@@ -39,16 +42,15 @@ def ledger_page(ledger: DataFrame, q: str, page: int = 1, limit: int = 20) -> Da
     """Search over payee, agency, contract and expense category, with look-ahead paging."""
     size = allowed(limit, LEDGER_PAGE_SIZES, 20)
     found = ledger.filter(any_contains(["payee_name", "agency", "contract_id", "expense_category"], q))
-    present = [c for c in PAGE_FIELDS if c in ledger.columns]
     rows = found.select(*[
-        (amount_value(c) if c == "check_amount" else F.col(c)).alias(PAGE_FIELDS[c]) for c in present
+        (amount_value(c) if c == "check_amount" else F.col(c)).alias(name) for c, name in PAGE_FIELDS.items()
     ])
     return page_with_next(rows, newest_first(rows), page, size)
 
 
-def search_transactions(ledger: DataFrame, q: str, limit: int = 50) -> DataFrame:
-    """Latest matches of the recent years, with the sum over the rows shown."""
-    found = in_years(ledger).filter(any_contains(["payee_name", "agency", "contract_id"], q)).select(
+def search_transactions(ledger: DataFrame, q: str, limit: int = 50, years: Sequence[int] | None = None) -> DataFrame:
+    """Latest matches of the given years (all without), with the sum over the rows shown."""
+    found = in_years(ledger, years=years).filter(any_contains(["payee_name", "agency", "contract_id"], q)).select(
         "issue_date", "agency", "payee_name", "contract_id", "expense_category",
         amount_value("check_amount").alias("check_amount"),
     )

@@ -216,19 +216,18 @@ def partial_links(notices: DataFrame, solicitations: DataFrame, length: int = GR
 
 
 def linkage_quality(notices: DataFrame, solicitations: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Linked solicitations and contracts by link kind."""
+    """Linked solicitations and contracts by link kind, and notices linked by a part of their key."""
     parts = []
     for kind, normalised in (("exact", False), ("normalised", True)):
         s = solicitation_notices(notices, solicitations, normalised).agg(F.countDistinct("epin").alias("linked"))
         parts.append(s.select(F.lit("solicitations").alias("linked_to"), F.lit(kind).alias("kind"), "linked"))
         column = "normalized_epin" if normalised else "epin"
-        if column in contracts.columns:
-            keys = notice_keys(notices, normalised)
-            linked = contracts.join(keys, contracts[column] == keys["_key"], "left_semi")
-            c = linked.agg(F.countDistinct("contract_id").alias("linked"))
-            parts.append(c.select(F.lit("contracts").alias("linked_to"), F.lit(kind).alias("kind"), "linked"))
+        keys = notice_keys(notices, normalised)
+        linked = contracts.join(keys, contracts[column] == keys["_key"], "left_semi")
+        c = linked.agg(F.countDistinct("contract_id").alias("linked"))
+        parts.append(c.select(F.lit("contracts").alias("linked_to"), F.lit(kind).alias("kind"), "linked"))
     p = partial_links(notices, solicitations).agg(F.count("*").alias("linked"))
-    parts.append(p.select(F.lit("solicitations").alias("linked_to"), F.lit("partial").alias("kind"), "linked"))
+    parts.append(p.select(F.lit("notices").alias("linked_to"), F.lit("partial").alias("kind"), "linked"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -416,24 +415,21 @@ def contract_spending(contracts: DataFrame, ledger: DataFrame, current_fy: Colum
     ).select("ctr_id", F.coalesce(F.col("fiscal_year").cast("string"), F.lit("ALL")).alias("fiscal_year"), "total", "tx_count")
 
 
-def contract_transactions(contracts: DataFrame, ledger: DataFrame, current_fy: Column, n: int = 500,
-                          few: bool = False) -> DataFrame:
+def contract_transactions(contracts: DataFrame, ledger: DataFrame, current_fy: Column, n: int = 500) -> DataFrame:
     """Latest payments per contract.
 
     The window becomes one row per (contract, year). The ledger is cut to `n` rows per contract
-    id and year on the same keys before the join, so a hot contract stays small. For a `few`
-    contracts the cut is left out: their rows are found by the join, and the years prune the
-    ledger's partitions at run time.
+    id and year on the same keys before the join, so a hot contract stays small. Payments of
+    other contracts fall out by a semi join before they are ranked.
     """
     years = fiscal_windows(contracts, current_fy).select(
         "ctr_id", hyphenless("contract_id").alias("contract_id"),
         F.explode(F.sequence("first_fy", "last_fy")).alias("fiscal_year"),
     )
     keys = ["contract_id", "fiscal_year"]
-    if not few:
-        years = years.hint("merge")
-        ledger = top_per_group(ledger, keys, newest_first(ledger.drop(*keys)), n).drop("rank")
-    rows = years.join(ledger, keys)
+    wanted = ledger.join(years.select(*keys).distinct(), keys, "left_semi")
+    latest = top_per_group(wanted, keys, newest_first(ledger.drop(*keys)), n).drop("rank")
+    rows = years.hint("merge").join(latest, keys)
     return top_per_group(rows, ["ctr_id"], newest_first(rows.drop("ctr_id")), n)
 
 
@@ -479,8 +475,12 @@ def names_containing(wanted: DataFrame, payees: DataFrame) -> DataFrame:
     )
     short_names = names.filter(F.length("_text") < GRAM).select("name", F.col("_text").alias("_gram"))
     short_pieces = with_pieces(texts, "payee_name", lengths_of(short_names, "_gram"), "_gram").select("payee_name", "_gram")
+    # A name of few letters meets very many payees: they are spread over buckets, and each short name asks every bucket.
+    asked = short_names.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))))
+    spread = short_pieces.withColumn("_bucket", F.pmod(F.hash("payee_name"), F.lit(BUCKETS)))
+    short_found = asked.join(spread, ["_gram", "_bucket"]).select("_gram", "name", "payee_name")
     pattern = F.concat(F.lit("%"), F.col("name"), F.lit("%"))
-    found = rarest.join(payee_grams, "_gram").unionByName(short_names.join(short_pieces, "_gram"))
+    found = rarest.join(payee_grams, "_gram").unionByName(short_found)
     return found.filter(like("payee_name", pattern)).select("name", "payee_name").distinct()
 
 
@@ -505,11 +505,10 @@ def vendor_payees(vendors: DataFrame, payees: DataFrame) -> DataFrame:
     )
 
 
-def vendor_transactions(vendors: DataFrame, ledger: DataFrame, payees: DataFrame, n: int = 500,
-                        few: bool = False) -> DataFrame:
+def vendor_transactions(vendors: DataFrame, ledger: DataFrame, payees: DataFrame, n: int = 500) -> DataFrame:
     """Latest payments of every vendor, by the best tier of its name.
 
-    `payees` has one row per payee. For a `few` vendors only the rows of their payees are ranked.
+    `payees` has one row per payee. Only payments of the vendors' payees are ranked.
     """
     names = vendors.select("name").distinct()
     exact = names.join(payees, names["name"] == payees["payee_name"], "left_semi").select(
@@ -517,10 +516,10 @@ def vendor_transactions(vendors: DataFrame, ledger: DataFrame, payees: DataFrame
     )
     rest = names.join(payees.select(F.col("payee_name").alias("name")), "name", "left_anti")
     pairs = exact.unionByName(names_containing(rest, payees))
-    if not few:
-        # n per payee first: what a vendor shows is among them, and a hot payee shrinks before the join.
-        ledger = top_per_group(ledger, ["payee_name"], newest_first(ledger.drop("payee_name")), n).drop("rank")
-    rows = pairs.withColumnRenamed("name", "vendor_name").join(ledger, "payee_name")
+    # n per payee first: what a vendor shows is among them, and a hot payee shrinks before the join.
+    own = ledger.join(pairs.select("payee_name").distinct(), "payee_name", "left_semi")
+    latest = top_per_group(own, ["payee_name"], newest_first(ledger.drop("payee_name")), n).drop("rank")
+    rows = pairs.withColumnRenamed("name", "vendor_name").join(latest, "payee_name")
     return top_per_group(rows, ["vendor_name"], newest_first(rows.drop("vendor_name")), n)
 
 

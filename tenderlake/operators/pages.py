@@ -71,9 +71,8 @@ def contracts_page(contracts: DataFrame, solicitations: DataFrame, q: str | None
                    method: str | None = None, industry: str | None = None, connected: str | None = None,
                    page: int = 1) -> DataFrame:
     """Contract list, latest start first."""
-    text = [c for c in ("contract_id", "normalized_contract_id", "contract_title") if c in contracts.columns]
     found = contracts.filter(all_of([
-        matches_any(text, q), equals("status", status), equals("procurement_method", method), equals("industry", industry),
+        matches_any(["contract_id", "normalized_contract_id", "contract_title"], q), equals("status", status), equals("procurement_method", method), equals("industry", industry),
     ]))
     if connected == "solicitations":
         found = contracts_with_solicitation(found, solicitations)
@@ -124,11 +123,11 @@ def digital_contracts_page(contracts: DataFrame, digital: DataFrame, sort: str =
     return with_totals(page_rows(dated, by, page, REPORT_SIZE).drop("_start", "_end"), found, REPORT_SIZE)
 
 
-def expiring(contracts: DataFrame, digital: DataFrame, as_of: Column) -> DataFrame:
-    """Contracts of digital vendors that end on or after `as_of` and before 2030."""
+def expiring(contracts: DataFrame, digital: DataFrame, as_of: Column, before: int = 2030) -> DataFrame:
+    """Contracts of digital vendors that end on or after `as_of` and before the year `before`."""
     end = parse_mdy("end_date")
     kept = contracts.filter(
-        (F.length("end_date") == 10) & (end >= as_of) & (F.year(end) < 2030) & (F.col("award_amount") > 0)
+        (F.length("end_date") == 10) & (end >= as_of) & (F.year(end) < before) & (F.col("award_amount") > 0)
     )
     return _digital_contracts(kept, digital).select(
         "contract_id", "ctr_id", "vendor_name", "end_date", "award_amount", "classification", "matched_passport_id"
@@ -136,9 +135,9 @@ def expiring(contracts: DataFrame, digital: DataFrame, as_of: Column) -> DataFra
 
 
 def expiring_page(contracts: DataFrame, digital: DataFrame, as_of: Column | None = None, sort: str = "date",
-                  order: str = "asc", page: int = 1) -> DataFrame:
+                  order: str = "asc", page: int = 1, before: int = 2030) -> DataFrame:
     """Soonest end first unless sorted by amount; an unknown direction means upwards."""
-    found = expiring(contracts, digital, F.current_date() if as_of is None else as_of)
+    found = expiring(contracts, digital, F.current_date() if as_of is None else as_of, before)
     dated = found.withColumn("_end", parse_mdy("end_date"))
     by = sort_order({"date": "_end", "amount": "award_amount"}, sort, "date",
                     allowed(order, ("asc", "desc"), "asc"), ["ctr_id", "classification"])

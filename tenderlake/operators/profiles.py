@@ -17,6 +17,7 @@ from tenderlake.functions.money import amount, exact_sum
 from tenderlake.functions.text import json_map
 from tenderlake.operators.linkage import lookup
 from tenderlake.operators.ranking import first_per_key, top_per_group
+from tenderlake.operators.search import filled
 
 
 def recent_contracts(contracts: DataFrame, n: int = 5) -> DataFrame:
@@ -70,7 +71,8 @@ def vendor_people(vendors: DataFrame, matched: DataFrame, people: DataFrame) ->
     v = lookup(v, entity, v["passport_supplier_id"] == entity["matched_vendor_id"]).select(
         "passport_supplier_id", F.coalesce("normalized_name", comparable_name("name")).alias("normalized_org_name")
     )
-    return v.join(people, "normalized_org_name")
+    # Names without a letter or digit are blank and match nobody.
+    return v.filter(filled("normalized_org_name")).join(people.filter(filled("normalized_org_name")), "normalized_org_name")
 
 
 def registry_details(matches: DataFrame) -> DataFrame:

@@ -62,12 +62,12 @@ def agency_rollup(agencies: DataFrame, contracts: DataFrame, q: str | None = Non
     return out.orderBy(*sort_order(columns, sort, "amount", order, ["id"]))
 
 
-def award_by_start_year(contracts: DataFrame) -> DataFrame:
-    """Award total per start year within the years that the dashboard shows."""
+def award_by_start_year(contracts: DataFrame, first: int = FIRST_CHART_YEAR, end: int = END_CHART_YEAR) -> DataFrame:
+    """Award total per start year, from year `first` to before `end`; by default what the dashboard shows."""
     c = contracts.filter(F.length("start_date") == 10).select(
         F.substring("start_date", 7, 4).try_cast("int").alias("year"), "award_amount"
     )
-    return c.filter(F.col("year").between(FIRST_CHART_YEAR, END_CHART_YEAR - 1)).groupBy("year").agg(
+    return c.filter(F.col("year").between(first, end - 1)).groupBy("year").agg(
         exact_sum("award_amount").alias("total")
     )
 
@@ -329,31 +329,31 @@ def awarded_since(year: int = FIRST_CHART_YEAR) -> Column:
     return (F.col("award_amount") > 0) & (F.length("start_date") == 10) & (year_text("start_date") >= str(year))
 
 
-def digital_summary(contracts: DataFrame, digital: DataFrame) -> DataFrame:
-    out = digital_awards(contracts, digital, {}, awarded_since())
+def digital_summary(contracts: DataFrame, digital: DataFrame, since: int = FIRST_CHART_YEAR) -> DataFrame:
+    out = digital_awards(contracts, digital, {}, awarded_since(since))
     return out.select("count", F.coalesce("total", F.lit(0.0)).alias("total"))
 
 
-def digital_trend(contracts: DataFrame, digital: DataFrame) -> DataFrame:
-    return digital_awards(contracts, digital, {"year": year_text("start_date")}, awarded_since()).select("year", "total")
+def digital_trend(contracts: DataFrame, digital: DataFrame, since: int = FIRST_CHART_YEAR) -> DataFrame:
+    return digital_awards(contracts, digital, {"year": year_text("start_date")}, awarded_since(since)).select("year", "total")
 
 
-def digital_by_agency(contracts: DataFrame, digital: DataFrame, n: int = 8) -> DataFrame:
-    totals = digital_awards(contracts, digital, {"agency": F.col("agency")}, awarded_since())
+def digital_by_agency(contracts: DataFrame, digital: DataFrame, n: int = 8, since: int = FIRST_CHART_YEAR) -> DataFrame:
+    totals = digital_awards(contracts, digital, {"agency": F.col("agency")}, awarded_since(since))
     return totals.select("agency", "total").orderBy(F.desc("total"), "agency").limit(n)
 
 
-def expiring_by_year(contracts: DataFrame, digital: DataFrame) -> DataFrame:
-    return digital_awards(contracts, digital, {"year": year_text("end_date")}, _ends_soon()).select("year", "total")
+def expiring_by_year(contracts: DataFrame, digital: DataFrame, first: int = 2026, last: int = 2030) -> DataFrame:
+    return digital_awards(contracts, digital, {"year": year_text("end_date")}, _ends_in(first, last)).select("year", "total")
 
 
-def expiring_by_agency(contracts: DataFrame, digital: DataFrame, n: int = 8) -> DataFrame:
-    totals = digital_awards(contracts, digital, {"agency": F.col("agency")}, _ends_soon())
+def expiring_by_agency(contracts: DataFrame, digital: DataFrame, n: int = 8, first: int = 2026, last: int = 2030) -> DataFrame:
+    totals = digital_awards(contracts, digital, {"agency": F.col("agency")}, _ends_in(first, last))
     return totals.select("agency", "total").orderBy(F.desc("total"), "agency").limit(n)
 
 
-def _ends_soon() -> Column:
-    return (F.length("end_date") == 10) & year_text("end_date").between("2026", "2030")
+def _ends_in(first: int, last: int) -> Column:
+    return (F.length("end_date") == 10) & year_text("end_date").between(str(first), str(last))
 
 
 def classification_stats(digital: DataFrame) -> DataFrame:
@@ -412,8 +412,9 @@ def contract_characteristics(records: DataFrame, digital: DataFrame) -> DataFram
     return _breakdowns(kept, dims, [F.count("*").alias("count"), F.sum("_amount").cast("double").alias("amount")])
 
 
-def chart_series(top: DataFrame, key: Column, label: str, value: str, descending: bool = True) -> DataFrame:
-    """Rows of a finished top-k result as two parallel arrays, ordered by `key`."""
+def chart_series(top: DataFrame, key: Column, label: str, value: str, descending: bool = True, most: int = 100) -> DataFrame:
+    """The first `most` rows of a top-k result by `key`, as two parallel arrays."""
+    top = top.orderBy(key.desc() if descending else key.asc(), label).limit(most)
     rows = F.sort_array(F.collect_list(F.struct(key.alias("key"), F.col(label).alias("label"), F.col(value).alias("value"))), not descending)
     return top.agg(rows.alias("_rows")).select(
         F.col("_rows.label").alias("labels"), F.col("_rows.value").alias("data_values")

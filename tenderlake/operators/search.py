@@ -76,12 +76,31 @@ def page_rows(df: DataFrame, order: Sequence[Column], page: int, size: int) -> D
     return df.orderBy(*order).offset((max(page, 1) - 1) * size).limit(size)
 
 
+def rows_after(df: DataFrame, keys: Mapping[str, bool], last: Mapping[str, object] | None, size: int) -> DataFrame:
+    """The page behind the row `last`, without reading the pages before it into one task.
+
+    `keys` maps the sort columns to True for ascending; together they identify a row and hold no NULLs. `last`
+    holds their values in the last row seen, None for the first page.
+    """
+    found = df
+    if last is not None:
+        behind, same = F.lit(False), F.lit(True)
+        for column, ascending in keys.items():
+            value = F.lit(last[column])
+            behind = behind | (same & (F.col(column) > value if ascending else F.col(column) < value))
+            same = same & (F.col(column) == value)
+        found = df.filter(behind)
+    return found.orderBy(*[F.col(c).asc() if up else F.col(c).desc() for c, up in keys.items()]).limit(size)
+
+
 def with_totals(page: DataFrame, unpaged: DataFrame, size: int, counted: Column | None = None) -> DataFrame:
-    """Number of rows behind a page and number of pages."""
-    total = unpaged.agg(F.count("*") if counted is None else counted).scalar()
-    return page.withColumn("total_rows", total).withColumn(
-        "total_pages", F.ceil(F.col("total_rows") / F.lit(size)).cast("long")
-    )
+    """Number of rows behind a page and number of pages.
+
+    Both are columns of one projection: a second one above it would hide the page's sort from its limit.
+    """
+    rows = F.count("*") if counted is None else counted
+    pages = F.ceil(rows / F.lit(size)).cast("long")
+    return page.select("*", unpaged.agg(rows).scalar().alias("total_rows"), unpaged.agg(pages).scalar().alias("total_pages"))
 
 
 def page_with_next(df: DataFrame, order: Sequence[Column], page: int, size: int) -> DataFrame:

@@ -27,7 +27,7 @@ FROM entities e LEFT JOIN (
     "solicitations": """
 SELECT substr(k, 1, 5) || '-' || substr(k, 6) AS epin, k AS normalized_epin, p_name AS procurement_name,
        p_type AS main_commodity, p_brand AS procurement_method, CAST(p_partkey % 25 AS VARCHAR) AS agency_id,
-       n_name AS agency,
+       n_name AS agency, 'PROGRAM_' || p_partkey % 5 AS program, 'INDUSTRY_' || p_partkey % 6 AS industry,
        CASE p_partkey % 4 WHEN 0 THEN 'Released' WHEN 1 THEN 'Closed' WHEN 2 THEN 'Planned' ELSE 'Archived' END AS rfx_status,
        strftime(d, '%m/%d/%Y') || CASE WHEN p_partkey % 2 = 0 THEN ' 12:00:00 AM' ELSE '' END AS release_date, d AS release_day
 FROM (SELECT *, lpad(CAST(p_partkey AS VARCHAR), 9, '0') || 'Y' AS k,
@@ -35,6 +35,8 @@ FROM (SELECT *, lpad(CAST(p_partkey AS VARCHAR), 9, '0') || 'Y' AS k,
 JOIN nation ON n_nationkey = p_partkey % 25""",
     "contracts": """
 SELECT CAST(o_orderkey AS VARCHAR) AS ctr_id, cid AS contract_id, replace(cid, '-', '') AS normalized_contract_id,
+       substr(ne, 1, 5) || '-' || substr(ne, 6) AS epin, 'Services ' || o_orderpriority AS contract_title,
+       'PROGRAM_' || o_orderkey % 5 AS program, 'TYPE_' || o_orderkey % 4 AS contract_type, o_totalprice AS current_amount,
        ne AS normalized_epin, substr(ne, 1, 10) AS base_epin, c_name AS vendor_name,
        CAST(o_orderkey % 25 AS VARCHAR) AS agency_id, n_name AS agency, o_orderpriority AS procurement_method,
        o_orderstatus AS status, c_mktsegment AS industry, o_totalprice AS award_amount,
@@ -54,13 +56,17 @@ FROM (
     "notices": """
 SELECT CAST(p_partkey AS VARCHAR) AS RequestID, p_type AS TypeOfNoticeDescription,
   CASE p_partkey % 8 WHEN 0 THEN 'SEE BELOW' WHEN 1 THEN '00000000' WHEN 2 THEN substr(k, 1, 5) || '-' || substr(k, 6)
-    WHEN 3 THEN lower(k) WHEN 4 THEN 'line 17 below' WHEN 5 THEN '' WHEN 6 THEN '12345' ELSE substr(k, 2, 8) END AS PIN
+    WHEN 3 THEN lower(k) WHEN 4 THEN 'line 17 below' WHEN 5 THEN ''
+    WHEN 6 THEN CASE WHEN p_partkey % 16 = 14 THEN substr(k, 1, 4) || '_' || substr(k, 6, 3) ELSE '12345' END ELSE substr(k, 2, 8) END AS PIN
 FROM (SELECT *, lpad(CAST(p_partkey AS VARCHAR), 9, '0') || 'Y' AS k FROM part)""",
     "ledger": """
 SELECT strftime(d, '%Y-%m-%d') AS issue_date, n.n_name AS agency,
   c_name || CASE WHEN c_custkey % 10 = 0 THEN ' CORP' ELSE '' END AS payee_name,
-  CASE WHEN l_linenumber % 5 = 0 THEN 'PO' || lpad(CAST(l_orderkey AS VARCHAR), 8, '0') ELSE normalized_contract_id END AS contract_id,
-  p_type AS expense_category,
+  CASE WHEN l_linenumber % 5 = 0 THEN 'PO' || lpad(CAST(l_orderkey AS VARCHAR), 8, '0')
+    WHEN l_linenumber = 3 AND l_orderkey % 7 = 0 THEN normalized_contract_id || 'A' ELSE normalized_contract_id END AS contract_id,
+  p_type AS expense_category, c_mktsegment AS industry, l_linestatus AS spending_category, 'DEPT_' || l_suppkey % 10 AS department,
+  l_returnflag AS budget_code, CASE WHEN l_linenumber = 2 THEN s_name ELSE '' END AS sub_vendor,
+  CASE WHEN l_linenumber = 2 THEN c_name ELSE '' END AS associated_prime_vendor,
   CASE WHEN l_orderkey % 97 = 0 THEN 'N/A' ELSE CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) END AS check_amount,
   CASE WHEN l_orderkey % 97 = 0 THEN NULL ELSE CAST(l_extendedprice AS DECIMAL(18,2)) END AS amt,
   CAST(year(d) + CASE WHEN month(d) >= 7 THEN 1 ELSE 0 END AS INTEGER) AS fiscal_year
@@ -74,7 +80,8 @@ SELECT name AS vendor_name, CASE WHEN CAST(passport_supplier_id AS BIGINT) % 7 <
 FROM vendors JOIN ledger ON payee_name = name GROUP BY name, passport_supplier_id""",
     "tech": "SELECT * FROM digital WHERE classification IN ('Digital', 'Mixed')",
     "records": """
-SELECT normalized_contract_id AS prime_contract_id, vendor_name AS prime_vendor, start_day,
+SELECT normalized_contract_id AS prime_contract_id,
+  vendor_name || CASE WHEN CAST(substr(vendor_name, 10) AS BIGINT) % 11 = 0 THEN ' INC' ELSE '' END AS prime_vendor, start_day,
   strftime(start_day, '%Y-%m-%d') AS prime_contract_start_date, CAST(award * r AS DECIMAL(18,2)) AS amt,
   CAST(CAST(award * r AS DECIMAL(18,2)) AS VARCHAR) AS prime_contract_original_amount,
   procurement_method AS prime_contract_award_method, status AS prime_contract_expense_category,
@@ -224,8 +231,8 @@ SELECT passport_supplier_id, name, coalesce(nullif(certification_type, ''), 'Non
   coalesce(nullif(ethnicity, ''), 'N/A') AS ethnicity, coalesce(nullif(business_category, ''), 'N/A') AS category
 FROM vendors WHERE name ILIKE '%customer#%7%' ORDER BY name LIMIT 100""",
     "contract_search": """
-SELECT contract_id, vendor_name, agency, award_amount, status, start_date FROM contracts
-WHERE contract_id ILIKE '%ct1%' AND vendor_name ILIKE '%customer%' AND agency ILIKE '%nation_2%' AND status = 'O'
+SELECT contract_id, contract_title, vendor_name, agency, award_amount, status, start_date FROM contracts
+WHERE (contract_id ILIKE '%ct1%' OR contract_title ILIKE '%ct1%') AND vendor_name ILIKE '%customer%' AND agency ILIKE '%nation_2%' AND status = 'O'
 ORDER BY start_day DESC, ctr_id LIMIT 100""",
     "solicitation_search": """
 SELECT epin, procurement_name, agency, rfx_status, release_date, procurement_method FROM solicitations
@@ -234,19 +241,25 @@ ORDER BY release_day DESC, epin LIMIT 100""",
     "vendor_page": f"""
 WITH f AS (SELECT v.* FROM vendors v SEMI JOIN matched m ON v.passport_supplier_id = m.matched_vendor_id
   WHERE certification_type ILIKE '%WBE%' AND (name ILIKE '%customer%' OR passport_supplier_id ILIKE '%customer%' OR fms_vendor_code ILIKE '%customer%'))
-SELECT f.*, s.total AS total_awarded, coalesce(s.n, 0) AS contract_count, true AS in_entities,
+SELECT f.*, s.total AS total_awarded, coalesce(s.n, 0) AS contract_count, EXISTS (SELECT 1 FROM matched m WHERE m.matched_vendor_id = passport_supplier_id) AS in_entities,
   (SELECT count(*) FROM f) AS total_rows, CAST(ceil((SELECT count(*) FROM f) / 50.0) AS BIGINT) AS total_pages
 FROM f LEFT JOIN {VENDOR_STATS} s ON s.vendor_name = f.name ORDER BY s.total DESC NULLS LAST, passport_supplier_id LIMIT 50 OFFSET 50""",
+    "vendor_membership": """
+SELECT passport_supplier_id, EXISTS (SELECT 1 FROM matched m WHERE m.matched_vendor_id = passport_supplier_id) AS in_entities FROM vendors""",
+    "key_checks": """
+SELECT ctr_id, split_part(contract_id, '-', 1) AS segment, contains(normalized_epin, base_epin) OR contains(base_epin, normalized_epin) AS contained
+FROM contracts""",
+    "release_days": "SELECT epin, strftime(release_day, '%m/%d/%Y') AS released FROM solicitations",
     "vendors_unmatched": """
 SELECT v.* FROM vendors v ANTI JOIN matched m ON v.passport_supplier_id = m.matched_vendor_id""",
     "contracts_page": """
 SELECT * FROM (SELECT base_epin, ctr_id, contract_id, normalized_contract_id, normalized_epin, vendor_name, agency_id, agency,
-    procurement_method, status, industry, award_amount, start_date, end_date, count(*) OVER () AS total_rows,
+    epin, contract_title, program, contract_type, current_amount, procurement_method, status, industry, award_amount, start_date, end_date, count(*) OVER () AS total_rows,
     CAST(ceil(count(*) OVER () / 50.0) AS BIGINT) AS total_pages, start_day
   FROM contracts WHERE status = 'F' AND base_epin IN (SELECT normalized_epin FROM solicitations)
   ORDER BY start_day DESC, ctr_id LIMIT 50 OFFSET 50)""",
     "solicitations_page": """
-SELECT normalized_epin, epin, procurement_name, main_commodity, procurement_method, agency_id, agency, rfx_status, release_date,
+SELECT normalized_epin, epin, procurement_name, main_commodity, procurement_method, program, industry, agency_id, agency, rfx_status, release_date,
   '' AS due_date, count(*) OVER () AS total_rows, CAST(ceil(count(*) OVER () / 50.0) AS BIGINT) AS total_pages
 FROM solicitations WHERE normalized_epin IN (SELECT base_epin FROM contracts WHERE base_epin IS NOT NULL)
 ORDER BY release_day DESC, epin LIMIT 50""",
@@ -265,7 +278,7 @@ FROM vendors v JOIN tech d ON v.passport_supplier_id = d.matched_passport_id
 LEFT JOIN {VENDOR_STATS} s ON s.vendor_name = v.name ORDER BY contract_count DESC, passport_supplier_id LIMIT 10""",
     "digital_contract_table": """
 SELECT c.vendor_name, ctr_id, contract_id, normalized_contract_id, normalized_epin, base_epin, agency_id, agency,
-  procurement_method, status, industry, award_amount, start_date, end_date, d.classification, d.matched_passport_id,
+  epin, contract_title, program, contract_type, current_amount, procurement_method, status, industry, award_amount, start_date, end_date, d.classification, d.matched_passport_id,
   count(*) OVER () AS total_rows, CAST(ceil(count(*) OVER () / 10.0) AS BIGINT) AS total_pages
 FROM contracts c JOIN tech d ON c.vendor_name = d.vendor_name ORDER BY award_amount DESC, ctr_id LIMIT 10""",
     "expiring_contracts": """
@@ -309,8 +322,9 @@ FROM notices JOIN solicitations ON {EPIN_KEY} = normalized_epin ORDER BY epin, R
     "linkage_quality": f"""
 SELECT 'solicitations' AS linked_to, 'exact' AS kind, count(DISTINCT epin) AS linked FROM solicitations JOIN notices ON PIN = epin
 UNION ALL SELECT 'solicitations', 'normalised', count(DISTINCT epin) FROM solicitations JOIN notices ON {EPIN_KEY} = normalized_epin
+UNION ALL SELECT 'contracts', 'exact', count(DISTINCT contract_id) FROM contracts SEMI JOIN notices ON PIN = epin
 UNION ALL SELECT 'contracts', 'normalised', count(DISTINCT contract_id) FROM contracts SEMI JOIN notices ON {EPIN_KEY} = normalized_epin
-UNION ALL SELECT 'solicitations', 'partial', count(*) FROM notices WHERE EXISTS (SELECT 1 FROM solicitations s
+UNION ALL SELECT 'notices', 'partial', count(*) FROM notices WHERE EXISTS (SELECT 1 FROM solicitations s
   WHERE s.normalized_epin LIKE '%' || substr({EPIN_KEY}, 1, 8) || '%')""",
     "notice_key_valid": """
 SELECT RequestID, PIN, length(trim(PIN)) >= 8 AND upper(trim(PIN)) NOT IN ('NOPINFOUND', 'SEE BELOW', 'LINE 17 BELOW', 'SEE LINE 17 BELOW', 'LINE 17')
@@ -318,7 +332,8 @@ SELECT RequestID, PIN, length(trim(PIN)) >= 8 AND upper(trim(PIN)) NOT IN ('NOPI
 FROM notices""",
     "load_verification": """
 SELECT count(*) AS total, count(*) FILTER (PIN <> '') AS with_key, count(DISTINCT PIN) FILTER (PIN <> '') AS distinct_keys,
-  count(*) FILTER (length(PIN) >= 8 AND PIN NOT IN ('SEE BELOW', 'line 17 below', '00000000')) AS valid_keys,
+  count(*) FILTER (length(trim(PIN)) >= 8 AND upper(trim(PIN)) NOT IN ('NOPINFOUND', 'SEE BELOW', 'LINE 17 BELOW', 'SEE LINE 17 BELOW', 'LINE 17')
+    AND replace(replace(PIN, '0', ''), '.', '') <> '' AND NOT starts_with(lower(trim(PIN)), 'see ') AND NOT starts_with(lower(trim(PIN)), 'line ')) AS valid_keys,
   (SELECT count(DISTINCT epin) FROM solicitations JOIN notices ON PIN = epin) AS linked_solicitations FROM notices""",
     "solicitation_contracts": """
 WITH k AS (SELECT normalized_epin AS ne, count(*) AS n, sum(award) AS a FROM contracts WHERE normalized_epin IS NOT NULL GROUP BY 1)
@@ -364,31 +379,39 @@ z AS (SELECT name, tier, count(*) AS payees, sum(n) AS n, CAST(sum(a) AS DOUBLE)
 SELECT passport_supplier_id, v.name AS vendor_name, coalesce(tier, 'none') AS tier, coalesce(payees, 0) AS payees,
   CAST(coalesce(n, 0) AS BIGINT) AS tx_count, total, l AS last_date FROM vendors v LEFT JOIN z ON z.name = v.name""",
     "vendor_latest_transactions": """
-SELECT name AS vendor_name, payee_name, issue_date, agency, contract_id, expense_category, check_amount, fiscal_year, rank FROM (
-  SELECT *, CAST(row_number() OVER (PARTITION BY name ORDER BY issue_date DESC, payee_name, agency, contract_id, expense_category, check_amount, fiscal_year) AS INTEGER) AS rank
-  FROM vendors JOIN ledger ON payee_name = name OR payee_name = name || ' CORP') WHERE rank <= 25""",
+WITH p AS (SELECT DISTINCT payee_name FROM ledger),
+x AS (SELECT name, payee_name FROM vendors JOIN p ON payee_name = name),
+y AS (SELECT * FROM x UNION ALL SELECT name, payee_name FROM vendors JOIN p ON contains(payee_name, name) WHERE name NOT IN (SELECT name FROM x))
+SELECT name AS vendor_name, payee_name, issue_date, agency, contract_id, expense_category, check_amount, fiscal_year,
+  industry, spending_category, department, budget_code, sub_vendor, associated_prime_vendor, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY name ORDER BY issue_date DESC, payee_name, agency, contract_id, expense_category, check_amount,
+    industry, spending_category, department, budget_code, sub_vendor, associated_prime_vendor, fiscal_year) AS INTEGER) AS rank
+  FROM y JOIN ledger USING (payee_name)) WHERE rank <= 500""",
     "contract_fy_spending": """
 WITH r AS (SELECT ctr_id, l.fiscal_year, sum(amt) AS a, count(*) AS n FROM contracts c JOIN ledger l ON l.contract_id = c.normalized_contract_id
-  AND l.fiscal_year BETWEEN start_fy - 1 AND least(end_fy + 2, 2025) GROUP BY 1, 2)
+  AND l.fiscal_year BETWEEN start_fy - 1 AND least(end_fy + 2, 2026) GROUP BY 1, 2)
 SELECT ctr_id, CAST(fiscal_year AS VARCHAR) AS fiscal_year, CAST(a AS DOUBLE) AS total, n AS tx_count FROM r
 UNION ALL SELECT ctr_id, 'ALL', CAST(sum(a) AS DOUBLE), CAST(sum(n) AS BIGINT) FROM r GROUP BY 1""",
     "contract_latest_transactions": """
 SELECT * FROM (SELECT ctr_id, l.contract_id, l.fiscal_year, issue_date, l.agency, payee_name, expense_category, check_amount,
-  CAST(row_number() OVER (PARTITION BY ctr_id ORDER BY issue_date DESC, l.contract_id, l.fiscal_year, l.agency, payee_name, expense_category, check_amount) AS INTEGER) AS rank
+  l.industry, spending_category, department, budget_code, sub_vendor, associated_prime_vendor,
+  CAST(row_number() OVER (PARTITION BY ctr_id ORDER BY issue_date DESC, l.contract_id, l.fiscal_year, l.agency, payee_name, expense_category, check_amount,
+    l.industry, spending_category, department, budget_code, sub_vendor, associated_prime_vendor) AS INTEGER) AS rank
   FROM contracts c JOIN ledger l ON l.contract_id = c.normalized_contract_id
-  AND l.fiscal_year BETWEEN start_fy - 1 AND least(end_fy + 2, 2025)) WHERE rank <= 5""",
+  AND l.fiscal_year BETWEEN start_fy - 1 AND least(end_fy + 2, 2026)) WHERE rank <= 500""",
     "checkbook_details_link": """
 SELECT ctr_id, prime_contract_id, fiscal_year, prime_vendor, prime_contract_start_date, prime_contract_original_amount,
   prime_contract_award_method, prime_contract_expense_category, prime_contract_industry, prime_contract_type, prime_vendor_mwbe_category
 FROM contracts c JOIN records r ON r.prime_contract_id IN (c.normalized_contract_id, c.contract_id)
-  AND r.fiscal_year BETWEEN start_fy - 1 AND least(end_fy + 2, 2025)
+  AND r.fiscal_year BETWEEN start_fy - 1 AND least(end_fy + 2, 2026)
 QUALIFY row_number() OVER (PARTITION BY ctr_id ORDER BY fiscal_year, prime_contract_id) = 1""",
     "ledger_search": """
 WITH f AS (SELECT issue_date, agency AS agency_name, payee_name AS vendor_name, contract_id, expense_category,
-    CAST(amt AS DOUBLE) AS check_amount, fiscal_year FROM ledger
+    CAST(amt AS DOUBLE) AS check_amount, fiscal_year, industry, spending_category, department, budget_code, sub_vendor, associated_prime_vendor FROM ledger
   WHERE payee_name ILIKE '%econ%' OR agency ILIKE '%econ%' OR contract_id ILIKE '%econ%' OR expense_category ILIKE '%econ%')
 SELECT *, (SELECT count(*) FROM f) > 200 AS has_next FROM f
-ORDER BY issue_date DESC, agency_name, vendor_name, contract_id, expense_category, check_amount NULLS FIRST, fiscal_year LIMIT 100 OFFSET 100""",
+ORDER BY issue_date DESC, agency_name, vendor_name, contract_id, expense_category, check_amount NULLS FIRST, fiscal_year,
+  industry, spending_category, department, budget_code, sub_vendor, associated_prime_vendor LIMIT 100 OFFSET 100""",
     "ledger_recent_search": """
 WITH f AS (SELECT issue_date, agency, payee_name, contract_id, expense_category, CAST(amt AS DOUBLE) AS check_amount FROM ledger
   WHERE fiscal_year IN (2022, 2023, 2024) AND (payee_name ILIKE '%corp%' OR agency ILIKE '%corp%' OR contract_id ILIKE '%corp%')
@@ -443,7 +466,7 @@ ppl AS (SELECT upper(replace(vendor_name, '#', '')) AS org, n FROM sup),
 tid AS (SELECT matched_passport_id AS id, min(classification) AS c FROM digital WHERE matched_passport_id IS NOT NULL GROUP BY 1),
 tnm AS (SELECT vendor_name, min(classification) AS c FROM digital GROUP BY 1)
 SELECT v.id AS passport_supplier_id, v.name, coalesce(s.n, 0) AS contract_count, coalesce(s.total, 0.0) AS total_awarded,
-  CAST(1 AS BIGINT) AS other_names, coalesce(s.n, 0) AS evaluations, coalesce(sup.n, 0) AS principals, coalesce(rel.n, 0) AS related_entities,
+  (SELECT count(*) FROM customer o WHERE o.c_name = v.name) AS other_names, coalesce(s.n, 0) AS evaluations, coalesce(sup.n, 0) AS principals, coalesce(rel.n, 0) AS related_entities,
   coalesce(ppl.n, 0) AS people, es.city, es.revenue,
   CASE WHEN CAST(v.id AS BIGINT) % 5 <> 0 THEN lpad(v.id, CAST(greatest(8, length(v.id)) AS INTEGER), '0') END AS company_number,
   coalesce(tid.c, tnm.c) AS tech_class
@@ -465,8 +488,10 @@ FROM vendors LEFT JOIN r ON vendor_name = name GROUP BY 1, 2""",
 SELECT ctr_id, contract_id, c.vendor_name, v.passport_supplier_id AS vendor_id FROM contracts c LEFT JOIN vendors v ON v.name = c.vendor_name""",
     "ledger_latest_per_payee": """
 SELECT * FROM (SELECT payee_name, issue_date, agency, contract_id, expense_category, check_amount, fiscal_year,
-  CAST(row_number() OVER (PARTITION BY payee_name ORDER BY issue_date DESC, agency, contract_id, expense_category, check_amount, fiscal_year) AS INTEGER) AS rank
-  FROM ledger) WHERE rank <= 25""",
+  industry, spending_category, department, budget_code, sub_vendor, associated_prime_vendor,
+  CAST(row_number() OVER (PARTITION BY payee_name ORDER BY issue_date DESC, agency, contract_id, expense_category, check_amount,
+    industry, spending_category, department, budget_code, sub_vendor, associated_prime_vendor, fiscal_year) AS INTEGER) AS rank
+  FROM ledger) WHERE rank <= 500""",
     "first_wins_dedupe": """
 SELECT normalized_epin, ctr_id, contract_id, agency FROM contracts WHERE normalized_epin IS NULL
 UNION ALL SELECT normalized_epin, ctr_id, contract_id, agency FROM contracts WHERE normalized_epin IS NOT NULL
@@ -497,6 +522,80 @@ SELECT ctr_id, '$' || format('{:,.2f}', award_amount) AS amount_text, substr(con
   strftime(start_day, '%m/%d/%Y') AS start_text, coalesce(nullif(status, ''), 'N/A') AS status_text, 'FY' || start_fy AS fy_label,
   'Procurement Method' AS method_label, 'MOCS' AS source, format('{:,}', okey) AS count_text
 FROM contracts""",
+    "vendor_profile_tool": """
+WITH r AS (SELECT contract_id, award, row_number() OVER (ORDER BY start_day DESC, ctr_id) AS k FROM contracts WHERE vendor_name = 'Customer#000000007')
+SELECT passport_supplier_id, name, coalesce(nullif(certification_type, ''), 'None') AS certification, coalesce(nullif(ethnicity, ''), 'N/A') AS ethnicity,
+  coalesce(nullif(business_category, ''), 'N/A') AS category, (SELECT count(*) FROM r) AS contract_count,
+  coalesce((SELECT CAST(sum(award) AS DOUBLE) FROM r), 0.0) AS total_awarded, (SELECT string_agg(contract_id, ', ' ORDER BY k) FROM r WHERE k <= 5) AS recent
+FROM vendors WHERE passport_supplier_id = '7'""",
+    "contract_details": """
+SELECT c.ctr_id, c.contract_id, c.normalized_contract_id, c.epin, c.normalized_epin, c.base_epin, contract_title, program, contract_type, current_amount,
+  vendor_name, agency_id, agency, procurement_method, status, industry, award_amount, start_date, end_date, s.epin AS solicitation_epin,
+  CASE WHEN s.epin IS NULL THEN 'none' WHEN s.normalized_epin = c.normalized_epin THEN 'exact' ELSE 'base' END AS tier
+FROM contracts c LEFT JOIN (SELECT epin, normalized_epin FROM solicitations) s
+  ON s.normalized_epin = c.normalized_epin OR length(c.normalized_epin) > 10 AND s.normalized_epin = c.base_epin
+WHERE c.ctr_id = '15' OR c.contract_id = '15'""",
+    "solicitation_details": """
+SELECT s.epin, s.procurement_name, (SELECT count(*) FROM contracts WHERE starts_with(normalized_epin, '000000012Y')) AS contract_count,
+  (SELECT coalesce(CAST(sum(award) AS DOUBLE), 0.0) FROM contracts WHERE starts_with(normalized_epin, '000000012Y')) AS total_awarded
+FROM solicitations s WHERE s.epin = '00000-0012Y'""",
+    "agency_contracts_top_vendors": f"""
+SELECT vendor_name, count(*) AS count, {MSUM} AS total FROM contracts WHERE agency ILIKE '%nation_3%' GROUP BY 1 ORDER BY sum(award) DESC, 1 LIMIT 5""",
+    "agency_contracts_recent": """
+SELECT ctr_id, agency, vendor_name, start_date FROM contracts WHERE agency ILIKE '%nation_3%' ORDER BY start_day DESC, ctr_id LIMIT 10""",
+    "vendor_detail_transactions": """
+SELECT 'Customer#000000010' AS vendor_name, payee_name, issue_date, check_amount, CAST(row_number() OVER (ORDER BY issue_date DESC, payee_name, agency, contract_id,
+  expense_category, check_amount, industry, spending_category, department, budget_code, sub_vendor, associated_prime_vendor, fiscal_year) AS INTEGER) AS rank
+FROM ledger WHERE contains(payee_name, 'Customer#000000010') QUALIFY rank <= 500""",
+    "contract_detail_spending": """
+WITH r AS (SELECT ctr_id, l.fiscal_year, sum(amt) AS a, count(*) AS n FROM contracts c JOIN ledger l ON l.contract_id = c.normalized_contract_id
+  AND l.fiscal_year BETWEEN start_fy - 1 AND least(end_fy + 2, 2026) WHERE ctr_id = '15' GROUP BY 1, 2)
+SELECT ctr_id, CAST(fiscal_year AS VARCHAR) AS fiscal_year, CAST(a AS DOUBLE) AS total, n AS tx_count FROM r
+UNION ALL SELECT ctr_id, 'ALL', CAST(sum(a) AS DOUBLE), CAST(sum(n) AS BIGINT) FROM r GROUP BY 1""",
+    "contract_or_ledger": """
+SELECT ctr_id, contract_id, agency, vendor_name, award_amount, start_date, end_date, status FROM contracts WHERE ctr_id = '15'""",
+    "chart_contracts_by_agency": """
+SELECT substr(agency, 1, 25) AS label, count(*) AS value FROM contracts GROUP BY agency ORDER BY 2 DESC, agency LIMIT 10""",
+    "chart_contracts_by_status": """
+SELECT coalesce(nullif(status, ''), 'Unknown') AS label, count(*) AS value FROM contracts GROUP BY 1""",
+    "chart_series_industries": """
+SELECT string_agg(industry, '|' ORDER BY t DESC, industry) AS labels, CAST(count(*) AS INTEGER) AS n
+FROM (SELECT industry, sum(award) AS t FROM contracts WHERE industry <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6)""",
+    "contract_title_search": """
+SELECT ctr_id, contract_title, count(*) OVER () AS total_rows, CAST(ceil(count(*) OVER () / 50.0) AS BIGINT) AS total_pages FROM contracts
+WHERE contract_id ILIKE '%services 1%' OR normalized_contract_id ILIKE '%services 1%' OR contract_title ILIKE '%services 1%'
+ORDER BY start_day DESC, ctr_id LIMIT 50""",
+    "solicitation_industry_page": """
+SELECT epin, industry, count(*) OVER () AS total_rows, CAST(ceil(count(*) OVER () / 50.0) AS BIGINT) AS total_pages FROM solicitations
+WHERE industry = 'INDUSTRY_2' ORDER BY release_day DESC, epin LIMIT 50""",
+    "contracts_page_after": """
+SELECT ctr_id, award_amount, agency FROM contracts WHERE award_amount < 200000.0 OR award_amount = 200000.0 AND ctr_id > ''
+ORDER BY award_amount DESC, ctr_id LIMIT 50""",
+    "notice_links_segment": f"""
+SELECT ctr_id, base_epin AS link_key, n.c AS notices FROM contracts
+JOIN (SELECT {EPIN_KEY} AS k, count(*) AS c FROM notices GROUP BY 1) n ON n.k = base_epin""",
+    "contract_notice_links_exact": """
+SELECT epin, count(DISTINCT contract_id) AS contracts, count(DISTINCT RequestID) AS notices FROM contracts JOIN notices ON PIN = epin GROUP BY 1""",
+    "post_by_slug": r"""
+SELECT CAST(page_id AS VARCHAR) AS slug, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), E' \t\r\n') AS title,
+  strftime(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER), '%Y-%m-%d') AS date FROM pages WHERE page_id = 7""",
+    "csv_entities_roundtrip": """
+SELECT organization_name, regexp_replace(upper(organization_name), '[^A-Z0-9]', '', 'g') AS normalized_name FROM entities""",
+    "csv_people_roundtrip": """
+SELECT CAST(s_suppkey AS VARCHAR) AS mocs_peopleid, s_name AS last_name, 'CUSTOMER' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS normalized_org_name FROM supplier""",
+    "csv_notices_roundtrip": "SELECT RequestID, TypeOfNoticeDescription, PIN FROM notices",
+    "csv_contract_duplicates": """
+SELECT status, CAST(count(*) * CASE WHEN status = 'F' THEN 2 ELSE 1 END AS BIGINT) AS rows, count(*) AS contracts FROM contracts GROUP BY status""",
+    "csv_evaluations_roundtrip": """
+SELECT vendor_name, procurement_method AS rating, count(*) AS evaluations, max(contract_id) AS last_id FROM contracts GROUP BY 1, 2""",
+    "ledger_year_files": """
+SELECT fiscal_year, agency, count(*) AS tx_count, CAST(sum(amt) AS DOUBLE) AS total FROM ledger WHERE fiscal_year IN (2022, 2023) GROUP BY 1, 2""",
+    "contract_record_years": """
+SELECT fiscal_year, count(*) AS records, count(DISTINCT prime_vendor) AS vendors FROM records GROUP BY 1""",
+    "landing_json": """
+SELECT CAST(fiscal_year AS VARCHAR) AS fiscal_year, count(*) AS tx_count, CAST(sum(amt) AS DOUBLE) AS total FROM ledger GROUP BY 1""",
+    "export_roundtrip": """
+SELECT coalesce(nullif(status, ''), 'Unknown') AS status, count(*) AS count FROM contracts GROUP BY 1""",
     "parquet_sources": """
 SELECT fiscal_year, count(*) AS tx_count, CAST(sum(amt) AS DOUBLE) AS total,
   count(*) FILTER (fiscal_year = 2025) AS with_department FROM ledger GROUP BY 1""",
@@ -506,7 +605,9 @@ SELECT ctr_id, contract_id, normalized_contract_id, normalized_epin, base_epin,
     "csv_solicitations_roundtrip": """
 SELECT epin, normalized_epin, procurement_name, agency, rfx_status, release_date FROM solicitations""",
     "csv_valid_notices": """
-SELECT RequestID, PIN FROM notices WHERE length(PIN) >= 8 AND PIN NOT IN ('SEE BELOW', 'line 17 below', '00000000')""",
+SELECT RequestID, PIN FROM notices WHERE length(trim(PIN)) >= 8
+  AND upper(trim(PIN)) NOT IN ('NOPINFOUND', 'SEE BELOW', 'LINE 17 BELOW', 'SEE LINE 17 BELOW', 'LINE 17')
+  AND replace(replace(PIN, '0', ''), '.', '') <> '' AND NOT starts_with(lower(trim(PIN)), 'see ') AND NOT starts_with(lower(trim(PIN)), 'line ')""",
     "csv_line_counts": """
 SELECT 'vendors' AS dataset, count(*) AS record_count FROM vendors UNION ALL SELECT 'contracts', count(*) FROM contracts""",
     "freshness_rollup": """
@@ -521,6 +622,10 @@ SELECT fiscal_year, count(*) AS tx_count, CAST(sum(amt) AS DOUBLE) AS total, cou
 SELECT substr(issue_date, 1, 7) AS month, CAST(sum(amt) AS DOUBLE) AS total, count(*) AS tx_count FROM ledger GROUP BY 1""",
 }
 
+# One vendor's merged contracts are its rows of the merged contracts of all.
+QUERIES["vendor_detail_contracts"] = (
+    f"SELECT * FROM ({with_views(QUERIES['contract_ledger_reconcile'])}) WHERE vendor_name = 'Customer#000000007'")
+
 
 def oracle_sql() -> dict[str, str]:
     return {key: with_views(sql) for key, sql in QUERIES.items()}

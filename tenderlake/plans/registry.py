@@ -7,18 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.functions.dates import fiscal_year, parse_mdy
-from tenderlake.functions.keys import compact_key, hyphenless, normalized_key
+from tenderlake.functions.dates import fiscal_year, parse_mdy, strip_midnight
+from tenderlake.functions.keys import compact_key, contained_either_way, hyphenless, leading_segment, normalized_key
 from tenderlake.functions.money import clean_money, count_text, currency_text, exact_sum
 from tenderlake.functions.text import excerpt, fy_label, key_label, or_default, plain_text, truncated
 from tenderlake.operators import ledger as led
 from tenderlake.operators import linkage, pages, profiles, quality, rollups
 from tenderlake.operators.ranking import first_per_key
-from tenderlake.operators.search import numeric_sort_key
+from tenderlake.operators.search import numeric_sort_key, rows_after
 from tenderlake.plans import tools
-from tenderlake.plans.views import Views
+from tenderlake.plans.views import Views, customer_name
 from tenderlake.session import scratch_path
-from tenderlake.sources import feeds, ledger as ledger_files, posts, progress
+from tenderlake.sources import exports, feeds, landing, ledger as ledger_files, posts, progress
 from tenderlake.streaming import ledger_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,7 +38,7 @@ def _view(build: Callable[[Views], DataFrame]) -> Query:
 
 def money_key_cleaning(v: Views) -> DataFrame:
     """Every word of the documents through the key and money rules."""
-    words = v.spread("documents", "doc_id").select(F.explode(F.split("text", r"\s+")).alias("token")).filter(F.col("token") != "")
+    words = v.table("documents").select(F.explode(F.split("text", r"\s+")).alias("token")).filter(F.col("token") != "")
     counted = words.groupBy("token").agg(F.count("*").alias("occurrences"))
     return counted.select(
         "token", "occurrences", normalized_key("token").alias("normalized_key"), clean_money("token").alias("money"),
@@ -57,14 +57,17 @@ def post_excerpts(v: Views) -> DataFrame:
     )
 
 
-def posts_newest(v: Views) -> DataFrame:
-    """Pages written as posts with front matter, parsed back."""
+def _raw_posts(v: Views) -> DataFrame:
+    """Pages written as posts with front matter."""
     day = F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("page_id") % 366).cast("int"))
-    raw = v.table("pages").select(
+    return v.table("pages").select(
         F.col("page_id").cast("string").alias("slug"),
         F.concat(F.lit("Title: "), _title("html"), F.lit("\nDate: "), day.cast("string"), F.lit("\n\n"), "html").alias("raw"),
     )
-    return posts.newest(posts.parse_posts(raw), 3).select("slug", "title", "date")
+
+
+def posts_newest(v: Views) -> DataFrame:
+    return posts.newest(posts.parse_posts(_raw_posts(v)), 3).select("slug", "title", "date")
 
 
 def display_labels(v: Views) -> DataFrame:
@@ -170,6 +173,75 @@ def freshness_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return quality.freshness(state, F.lit("2026-01-01 12:00:00").cast("timestamp_ntz"), "dataset")
 
 
+def csv_entities_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    e = Views(spark, folder).entities()
+    path = _roundtrip(spark, e, feeds.ENTITIES, "entities")
+    return feeds.read_entities(spark, path).select("organization_name", "normalized_name")
+
+
+def csv_people_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    p = Views(spark, folder).table("supplier").select(
+        F.col("s_suppkey").cast("string").alias("mocs_peopleid"), customer_name(F.col("s_suppkey")).alias("organization_name"),
+        F.col("s_name").alias("last_name"))
+    return feeds.read_people(spark, _roundtrip(spark, p, feeds.PEOPLE, "people")).select("mocs_peopleid", "last_name", "normalized_org_name")
+
+
+def csv_notices_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """All notices, every one delivered twice: the first of a request stays."""
+    n = Views(spark, folder).notices()
+    path = _roundtrip(spark, n.unionByName(n), feeds.NOTICES, "all-notices")
+    return feeds.read_notices(spark, path).select("RequestID", "TypeOfNoticeDescription", "PIN")
+
+
+def csv_contract_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Contracts have no key: rows delivered twice stay twice."""
+    c = Views(spark, folder).contracts().withColumn("epin", F.col("normalized_epin"))
+    path = _roundtrip(spark, c.unionByName(c.filter("status = 'F'")), feeds.CONTRACTS, "twice")
+    return feeds.read_contracts(spark, path).groupBy("status").agg(F.count("*").alias("rows"), F.countDistinct("ctr_id").alias("contracts"))
+
+
+def csv_evaluations_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    e = Views(spark, folder).evaluations()
+    back = feeds.read_child(spark, _roundtrip(spark, e, feeds.EVALUATIONS, "evaluations"), "evaluations")
+    return back.groupBy("vendor_name", "rating").agg(F.count("*").alias("evaluations"), F.max("contract_id").alias("last_id"))
+
+
+def ledger_year_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Two years of a ledger read as an explicit list of folders."""
+    root = scratch_path(spark, "ledger-files")
+    ledger_files.write_ledger(Views(spark, folder).ledger().select("agency", "check_amount", "fiscal_year"), root)
+    rows = ledger_files.read_files(spark, [f"{root}/fiscal_year={y}" for y in (2022, 2023)], root)
+    return rows.groupBy("fiscal_year", "agency").agg(F.count("*").alias("tx_count"), exact_sum("check_amount").alias("total"))
+
+
+def contract_record_years(spark: SparkSession, folder: str) -> DataFrame:
+    root = scratch_path(spark, "records")
+    ledger_files.write_ledger(Views(spark, folder).contract_records(), root)
+    rows = ledger_files.read_contract_records(spark, root)
+    return rows.groupBy("fiscal_year").agg(F.count("*").alias("records"), F.countDistinct("prime_vendor").alias("vendors"))
+
+
+def landing_json(spark: SparkSession, folder: str) -> DataFrame:
+    """Ledger rows landed as JSON."""
+    path = scratch_path(spark, "landing-json")
+    Views(spark, folder).ledger().select("payee_name", "check_amount", F.col("fiscal_year").cast("string")).write.json(path)
+    rows = landing.read_landing(spark, path, "json", feeds.text_schema(["payee_name", "check_amount", "fiscal_year"]))
+    return rows.groupBy("fiscal_year").agg(F.count("*").alias("tx_count"), exact_sum("check_amount").alias("total"))
+
+
+def export_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """A result stored on first use, then exported as CSV and read back."""
+    v, path = Views(spark, folder), scratch_path(spark, "export")
+    kept = exports.read_through(spark, f"{path}/totals", lambda: rollups.status_breakdown(v.contracts()))
+    exports.export_csv(kept, path, "totals.csv")
+    back = spark.read.option("header", True).csv(f"{path}/totals.csv")
+    return back.select("status", F.col("count").cast("long").alias("count"))
+
+
+def post_by_slug(v: Views) -> DataFrame:
+    return posts.by_slug(posts.parse_posts(_raw_posts(v)), "7").select("slug", "title", "date")
+
+
 def _two_drops(spark: SparkSession, folder: str, columns: list[str], load: Callable[[str], None]) -> None:
     """Land the ledger in two drops and run the load after each, and once more with nothing new."""
     rows = Views(spark, folder).ledger().select(*columns)
@@ -230,12 +302,48 @@ VIEW_QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "solicitation_stats_breakdown": lambda v: rollups.solicitation_stats(v.solicitations()),
     "yearly_trends": lambda v: rollups.yearly_trends(v.contracts(), v.solicitations()),
     # search and pages
+    # one record and what belongs to it
+    "vendor_profile_tool": lambda v: tools.get_vendor_profile(v.vendors(), v.contracts(), "7").withColumn(
+        "recent", F.array_join("recent", ", ")),
+    "contract_details": lambda v: tools.get_contract_details(v.contracts(), v.solicitations(), "15"),
+    "solicitation_details": lambda v: tools.get_solicitation_details(v.solicitations(), v.contracts(), "00000-0012Y").select(
+        "epin", "procurement_name", "contract_count", "total_awarded"),
+    "agency_contracts_top_vendors": lambda v: tools.get_agency_contracts(v.contracts(), "nation_3")["top_vendors"],
+    "agency_contracts_recent": lambda v: tools.get_agency_contracts(v.contracts(), "nation_3")["recent"].select(
+        "ctr_id", "agency", "vendor_name", "start_date"),
+    "vendor_detail_contracts": lambda v: tools.vendor_detail(
+        v.vendors(), v.contracts(), v.ledger(), "7", v.children())["contracts"],
+    "vendor_detail_transactions": lambda v: tools.vendor_detail(
+        v.vendors(), v.contracts(), v.ledger(), "10", v.children())["transactions"].select("vendor_name", "payee_name", "issue_date", "check_amount", "rank"),
+    "contract_detail_spending": lambda v: tools.contract_detail(
+        v.contracts(), v.solicitations(), v.notices(), v.ledger(), v.contract_records(), "15", _current_fy())["spending"],
+    "contract_or_ledger": lambda v: tools.contract_or_ledger(v.contracts(), v.ledger(), "15"),
+    "chart_contracts_by_agency": lambda v: tools.get_chart_data(v.contracts(), v.ledger(), "contracts_by_agency"),
+    "chart_contracts_by_status": lambda v: tools.get_chart_data(v.contracts(), v.ledger(), "contracts_by_status"),
+    "chart_series_industries": lambda v: rollups.chart_series(
+        rollups.top_by_award(v.contracts(), "industry", 6, allow_blank=False), F.col("total"), "industry", "total").select(
+            F.array_join("labels", "|").alias("labels"), F.size("data_values").alias("n")),
+    "contract_title_search": lambda v: pages.contracts_page(v.contracts(), v.solicitations(), q="services 1").select(
+        "ctr_id", "contract_title", "total_rows", "total_pages"),
+    "solicitation_industry_page": lambda v: pages.solicitations_page(v.solicitations(), v.contracts(), industry="INDUSTRY_2").select(
+        "epin", "industry", "total_rows", "total_pages"),
+    "contracts_page_after": lambda v: rows_after(
+        v.contracts().select("ctr_id", "award_amount", "agency"), {"award_amount": False, "ctr_id": True},
+        {"award_amount": 200000.0, "ctr_id": ""}, 50),
+    "notice_links_segment": lambda v: linkage.notices_by_segment(
+        v.contracts().withColumn("contract_id", F.concat("base_epin", F.lit("-"), "contract_id")), v.notices(), normalised=True),
+    "contract_notice_links_exact": lambda v: linkage.contract_notices(v.notices(), v.contracts(), False),
+    "post_by_slug": post_by_slug,
     "vendor_search": lambda v: tools.search_vendors(v.vendors(), "customer#%7", 100),
     "contract_search": lambda v: tools.search_contracts(v.contracts(), "ct1", "customer", "nation_2", "O", 100),
     "solicitation_search": lambda v: tools.search_solicitations(v.solicitations(), "ring", "Closed", "nation", 100),
     "vendor_page": lambda v: pages.vendors_page(
         v.vendors(), v.contracts(), _matched(v), v.digital(), q="customer", linked="yes", mwbe="WBE",
         sort="amount", order="desc", page=2),
+    "vendor_membership": lambda v: linkage.with_membership(v.vendors(), _matched(v)).select("passport_supplier_id", "in_entities"),
+    "key_checks": lambda v: v.contracts().select(
+        "ctr_id", leading_segment("contract_id").alias("segment"), contained_either_way("normalized_epin", "base_epin").alias("contained")),
+    "release_days": lambda v: v.solicitations().select("epin", strip_midnight("release_date").alias("released")),
     "vendors_unmatched": lambda v: linkage.unmatched_vendors(v.vendors(), _matched(v)),
     "contracts_page": lambda v: pages.contracts_page(
         v.contracts(), v.solicitations(), status="F", connected="solicitations", page=2
@@ -279,10 +387,10 @@ VIEW_QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "contract_ledger_reconcile": lambda v: linkage.reconcile_contracts(
         v.contracts(), v.ledger(), v.vendors()),
     "vendor_payee_match": lambda v: linkage.vendor_payees(v.vendors(), v.payees()),
-    "vendor_latest_transactions": lambda v: linkage.vendor_transactions(v.vendors(), v.ledger(), v.payees(), 25),
+    "vendor_latest_transactions": lambda v: linkage.vendor_transactions(v.vendors(), v.ledger(), v.payees()),
     "contract_fy_spending": lambda v: linkage.contract_spending(
         v.contracts(), v.ledger(), _current_fy()),
-    "contract_latest_transactions": lambda v: linkage.contract_transactions(v.contracts(), v.ledger(), _current_fy(), 5),
+    "contract_latest_transactions": lambda v: linkage.contract_transactions(v.contracts(), v.ledger(), _current_fy()),
     "checkbook_details_link": lambda v: linkage.contract_metadata(v.contracts(), v.contract_records(), _current_fy()),
     "unique_contract_year_totals": lambda v: linkage.award_years(v.vendors(), v.contract_records()),
     "vendor_award_years": lambda v: profiles.vendor_award_years(v.contracts()),
@@ -297,7 +405,7 @@ VIEW_QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "ledger_contract_profiles": lambda v: led.contract_profiles(
         v.ledger()),
     "ledger_search": lambda v: led.ledger_page(v.ledger(), "econ", 2, 100),
-    "ledger_recent_search": lambda v: led.search_transactions(v.ledger(), "corp", 500),
+    "ledger_recent_search": lambda v: led.search_transactions(v.ledger(), "corp", 500, led.DEFAULT_YEARS),
     "vendor_ledger_by_year": lambda v: led.payee_by_year(
         v.ledger()),
     "vendor_ledger_summary": lambda v: led.vendor_summary(v.ledger(), "corp"),
@@ -306,7 +414,7 @@ VIEW_QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "chart_spending_by_agency": lambda v: led.spending_by_agency(v.ledger()),
     "chart_spending_by_year": lambda v: led.spending_by_year(v.ledger()),
     "ledger_monthly_last12": lambda v: led.latest_months(led.monthly_totals(v.ledger())),
-    "ledger_latest_per_payee": lambda v: led.latest_per_payee(v.ledger(), 25),
+    "ledger_latest_per_payee": lambda v: led.latest_per_payee(v.ledger()),
     "numeric_aware_sort_key": numeric_aware_sort_key,
     # cleaning and text
     "first_wins_dedupe": first_wins_dedupe,
@@ -324,6 +432,15 @@ FILE_QUERIES: dict[str, Query] = {
     "csv_solicitations_roundtrip": csv_solicitations_roundtrip,
     "csv_valid_notices": csv_valid_notices,
     "csv_line_counts": csv_line_counts,
+    "csv_entities_roundtrip": csv_entities_roundtrip,
+    "csv_people_roundtrip": csv_people_roundtrip,
+    "csv_notices_roundtrip": csv_notices_roundtrip,
+    "csv_contract_duplicates": csv_contract_duplicates,
+    "csv_evaluations_roundtrip": csv_evaluations_roundtrip,
+    "ledger_year_files": ledger_year_files,
+    "contract_record_years": contract_record_years,
+    "landing_json": landing_json,
+    "export_roundtrip": export_roundtrip,
     "freshness_rollup": freshness_rollup,
     "ledger_stream_ingest": ledger_stream_ingest,
     "ledger_stream_monthly": ledger_stream_monthly,

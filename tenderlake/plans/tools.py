@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,10 +13,7 @@ from tenderlake.functions.text import or_default
 from tenderlake.operators import ledger as led
 from tenderlake.operators import linkage, pages, profiles, rollups
 from tenderlake.operators.search import all_of, capped, equals, matches_any, partial
-
-
-def _present(df: DataFrame, *columns: str) -> list[str]:
-    return [c for c in columns if c in df.columns]
+from tenderlake.sources.posts import newest
 
 
 def search_vendors(vendors: DataFrame, query: str, limit: int = 20) -> DataFrame:
@@ -30,13 +27,11 @@ def search_contracts(contracts: DataFrame, query: str | None = None, vendor: str
                      agency: str | None = None, status: str | None = None, limit: int = 20) -> DataFrame:
     """Latest contracts that meet all given conditions."""
     found = contracts.filter(all_of([
-        matches_any(_present(contracts, "contract_id", "contract_title"), query),
+        matches_any(["contract_id", "contract_title"], query),
         partial("vendor_name", vendor), partial("agency", agency), equals("status", status),
     ]))
     latest = found.orderBy(parse_any("start_date").desc_nulls_last(), "ctr_id").limit(capped(limit, 100))
-    return latest.select(*_present(
-        contracts, "contract_id", "contract_title", "vendor_name", "agency", "award_amount", "status", "start_date"
-    ))
+    return latest.select("contract_id", "contract_title", "vendor_name", "agency", "award_amount", "status", "start_date")
 
 
 def search_solicitations(solicitations: DataFrame, query: str | None = None, status: str | None = None,
@@ -105,8 +100,9 @@ def get_spending_by_year(ledger: DataFrame, fiscal_year: int) -> DataFrame:
     return led.by_year_and_agency(led.in_years(ledger, fiscal_year))
 
 
-def search_transactions(ledger: DataFrame, query: str, limit: int = 50) -> DataFrame:
-    return led.search_transactions(ledger, query, limit)
+def search_transactions(ledger: DataFrame, query: str, limit: int = 50, years: Sequence[int] | None = led.DEFAULT_YEARS) -> DataFrame:
+    """Latest matches of the named years; `None` searches all."""
+    return led.search_transactions(ledger, query, limit, years)
 
 
 def get_vendor_stats(vendors: DataFrame) -> DataFrame:
@@ -165,8 +161,9 @@ def get_chart_data(contracts: DataFrame, ledger: DataFrame, data_type: str, fisc
     raise ValueError(f"unknown data type: {data_type}")
 
 
-def dashboard(contracts: DataFrame, solicitations: DataFrame, vendors: DataFrame) -> dict[str, DataFrame]:
-    return {
+def dashboard(contracts: DataFrame, solicitations: DataFrame, vendors: DataFrame, posts: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The parts of the front page; `posts` are parsed posts, of which the newest three are shown."""
+    return ({} if posts is None else {"posts": newest(posts, 3)}) | {
         "counts": rollups.table_counts({"vendors": vendors, "contracts": contracts, "solicitations": solicitations}),
         "agencies": rollups.distinct_agencies(contracts, solicitations),
         "spending": rollups.total_award(contracts),
@@ -217,7 +214,7 @@ def vendor_detail(vendors: DataFrame, contracts: DataFrame, ledger: DataFrame, v
         "years": profiles.vendor_award_years(
             contracts.join(one.select(F.col("name").alias("vendor_name")), "vendor_name", "left_semi")
         ),
-        "transactions": linkage.vendor_transactions(one, ledger, led.payee_totals(ledger), few=True),
+        "transactions": linkage.vendor_transactions(one, ledger, led.payee_totals(ledger)),
         "children": profiles.vendor_children(one, children),
     }
 
@@ -231,6 +228,6 @@ def contract_detail(contracts: DataFrame, solicitations: DataFrame, notices: Dat
         "notices": linkage.notices_by_segment(one, notices),
         "notices_by_key": linkage.notices_by_segment(one, notices, base_key("normalized_epin"), normalised=True),
         "spending": linkage.contract_spending(one, ledger, current_fy),
-        "transactions": linkage.contract_transactions(one, ledger, current_fy, few=True),
+        "transactions": linkage.contract_transactions(one, ledger, current_fy),
         "record": linkage.contract_metadata(one, records, current_fy),
     }

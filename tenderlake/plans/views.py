@@ -16,7 +16,7 @@ from tenderlake.functions.keys import base_key, comparable_name, hyphenless, zer
 from tenderlake.functions.money import MONEY
 from tenderlake.operators.ledger import payee_totals
 from tenderlake.operators.rollups import FY_COLUMNS
-from tenderlake.session import scratch_path
+from tenderlake.session import folder_state, scratch_path
 
 MONTHS_LATER = 24 * 12
 
@@ -37,8 +37,8 @@ def customer_name(k: Column) -> Column:
     return F.concat(F.lit("Customer#"), zero_pad(k, 9))
 
 
-# Tables read or written so far, by application, data folder and name. A known schema saves
-# the job that would look for it in the files again.
+# Tables read or written so far, by application, data folder with the state of its files, and name. A
+# known schema saves the job that would look for it in the files again.
 _SCHEMAS: dict[tuple[str, str, str], T.StructType] = {}
 _STORED: dict[tuple[str, str, str], tuple[str, T.StructType]] = {}
 
@@ -53,9 +53,11 @@ class Views:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        # Replaced source files make other keys, so nothing stored from the old ones is read again.
+        self.state = folder_state(spark, folder)
 
     def _key(self, name: str) -> tuple[str, str, str]:
-        return self.spark.sparkContext.applicationId, self.folder, name
+        return self.spark.sparkContext.applicationId, self.state, name
 
     def _stored(self, name: str, build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
         key = self._key(name)
@@ -81,14 +83,6 @@ class Views:
             _SCHEMAS[key] = self.spark.read.parquet(path).schema
         return self.spark.read.schema(_SCHEMAS[key]).parquet(path)
 
-    def spread(self, name: str, *keys: str) -> DataFrame:
-        """A table whose files make fewer tasks than there are cores is spread over the cores.
-
-        A large table has tasks enough and is read as it is.
-        """
-        df, cores = self.table(name), self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
     def agencies(self) -> DataFrame:
         return self.table("nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"))
 
@@ -122,6 +116,8 @@ class Views:
             F.col("p_name").alias("procurement_name"),
             F.col("p_type").alias("main_commodity"),
             F.col("p_brand").alias("procurement_method"),
+            F.concat(F.lit("PROGRAM_"), (k % 5).cast("string")).alias("program"),
+            F.concat(F.lit("INDUSTRY_"), (k % 6).cast("string")).alias("industry"),
             (k % 25).cast("string").alias("agency_id"),
             F.col("n_name").alias("agency"),
             F.get(states, (k % 4).cast("int")).alias("rfx_status"),
@@ -150,15 +146,20 @@ class Views:
         nation = self.table("nation").select("n_nationkey", "n_name")
         customer = self.table("customer").select("c_custkey", "c_name", "c_mktsegment")
         return (
-            self.spread("orders", "o_orderkey")
+            self.table("orders")
             .join(customer, F.col("o_custkey") == F.col("c_custkey"))
             .join(nation, F.col("n_nationkey") == k % 25)
             .select(
                 k.cast("string").alias("ctr_id"),
                 self._contract_id().alias("contract_id"),
                 hyphenless(self._contract_id()).alias("normalized_contract_id"),
+                hyphenated(epin).alias("epin"),
                 epin.alias("normalized_epin"),
                 base_key(epin).alias("base_epin"),
+                F.concat(F.lit("Services "), "o_orderpriority").alias("contract_title"),
+                F.concat(F.lit("PROGRAM_"), (k % 5).cast("string")).alias("program"),
+                F.concat(F.lit("TYPE_"), (k % 4).cast("string")).alias("contract_type"),
+                F.col("o_totalprice").alias("current_amount"),
                 F.col("c_name").alias("vendor_name"),
                 (k % 25).cast("string").alias("agency_id"),
                 F.col("n_name").alias("agency"),
@@ -178,6 +179,7 @@ class Views:
         pin = (
             F.when(kind == 0, "SEE BELOW").when(kind == 1, "00000000").when(kind == 2, hyphenated(key))
             .when(kind == 3, F.lower(key)).when(kind == 4, "line 17 below").when(kind == 5, "")
+            .when(k % 16 == 14, F.concat(F.substring(key, 1, 4), F.lit("_"), F.substring(key, 6, 3)))
             .when(kind == 6, "12345").otherwise(F.substring(key, 2, 8))
         )
         return self.table("part").select(
@@ -191,18 +193,21 @@ class Views:
         """Payments: line items with their order, customer, part and supplier's nation."""
         k, d = F.col("l_orderkey"), later("l_shipdate")
         orders = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
-        customer = self.table("customer").select("c_custkey", "c_name")
+        customer = self.table("customer").select("c_custkey", "c_name", "c_mktsegment")
         part = self.table("part").select("p_partkey", "p_type")
         nation = self.table("nation").select("n_nationkey", "n_name")
-        supplier = self.table("supplier").select("s_suppkey", "s_nationkey").join(
+        supplier = self.table("supplier").select("s_suppkey", "s_name", "s_nationkey").join(
             nation, F.col("s_nationkey") == F.col("n_nationkey")
         )
-        contract = F.when(F.col("l_linenumber") % 5 == 0, F.concat(F.lit("PO"), zero_pad(k, 8))).otherwise(
-            hyphenless(self._contract_id())
+        # Some ids are no contract's, some hold a contract's id and more.
+        contract = (
+            F.when(F.col("l_linenumber") % 5 == 0, F.concat(F.lit("PO"), zero_pad(k, 8)))
+            .when((F.col("l_linenumber") == 3) & (k % 7 == 0), F.concat(hyphenless(self._contract_id()), F.lit("A")))
+            .otherwise(hyphenless(self._contract_id()))
         )
         paid = F.when(k % 97 == 0, F.lit("N/A")).otherwise(F.col("l_extendedprice").cast(MONEY).cast("string"))
         return (
-            self.spread("lineitem", "l_orderkey", "l_linenumber")
+            self.table("lineitem")
             .join(orders, k == F.col("o_orderkey"))
             .join(customer, F.col("o_custkey") == F.col("c_custkey"))
             .join(part, F.col("l_partkey") == F.col("p_partkey"))
@@ -214,6 +219,12 @@ class Views:
                 contract.alias("contract_id"),
                 F.col("p_type").alias("expense_category"),
                 paid.alias("check_amount"),
+                F.col("c_mktsegment").alias("industry"),
+                F.col("l_linestatus").alias("spending_category"),
+                F.concat(F.lit("DEPT_"), (F.col("l_suppkey") % 10).cast("string")).alias("department"),
+                F.col("l_returnflag").alias("budget_code"),
+                F.when(F.col("l_linenumber") == 2, F.col("s_name")).otherwise("").alias("sub_vendor"),
+                F.when(F.col("l_linenumber") == 2, F.col("c_name")).otherwise("").alias("associated_prime_vendor"),
                 fiscal_year(d).alias("fiscal_year"),
             )
         )
@@ -251,7 +262,9 @@ class Views:
         years = F.when(k % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
         return c.withColumn("_r", F.explode(years)).select(
             F.col("normalized_contract_id").alias("prime_contract_id"),
-            F.col("vendor_name").alias("prime_vendor"),
+            # Every eleventh vendor is recorded under a longer name only.
+            F.when(F.substring("vendor_name", 10, 20).cast("long") % 11 == 0, F.concat("vendor_name", F.lit(" INC")))
+            .otherwise(F.col("vendor_name")).alias("prime_vendor"),
             start.cast("string").alias("prime_contract_start_date"),
             (F.col("award_amount").cast(MONEY) * F.col("_r")).cast(MONEY).cast("string").alias("prime_contract_original_amount"),
             F.col("procurement_method").alias("prime_contract_award_method"),

@@ -28,6 +28,14 @@ def build_session(app: str = "tenderlake", master: str | None = None, **extra: s
     return builder.getOrCreate()
 
 
+def folder_state(spark: SparkSession, folder: str) -> str:
+    """A folder with size and time of its entries: another text once a table in it is replaced."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    entries = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    found = sorted(f"{e.getPath().getName()} {e.getLen()} {e.getModificationTime()}" for e in entries)
+    return "\n".join([folder, *found])
+
+
 # Folder of a local session that names none, by application.
 _LOCAL: dict[str, str] = {}
 

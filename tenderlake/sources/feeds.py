@@ -97,10 +97,12 @@ def read_feed(spark: SparkSession, path: str, headers: Mapping[str, str], multi_
 
     Columns are found by header name, an absent header gives NULL. `multi_line` allows line
     breaks inside quotes but reads every file in one task: large feeds should come as many
-    files, or set it off when their cells hold no line breaks.
+    files, or set it off when their cells hold no line breaks. All files of a feed must have the
+    same header: one that differs fails. Files of another header are a read of their own,
+    joined by `unionByName`.
     """
     wanted = list(headers.values())
-    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("enforceSchema", False)
     try:
         raw = reader.option("encoding", "UTF-8").csv(path)
     except AnalysisException as e:
@@ -110,7 +112,10 @@ def read_feed(spark: SparkSession, path: str, headers: Mapping[str, str], multi_
     present = {c.lstrip("\ufeff"): c for c in raw.columns}
     for header in headers:
         if header.startswith("-"):
-            present.update({header: c for h, c in list(present.items()) if h.endswith(header)})
+            alike = [c for h, c in present.items() if h.endswith(header) and h != header]
+            if len(alike) > 1:
+                raise ValueError(f"several headers end with {header}: {alike}; name the wanted one in `headers`")
+            present.update({header: c for c in alike})
     columns = [
         F.coalesce(F.col(f"`{present[h]}`"), F.lit("")).alias(c) if h in present else F.lit(None).cast("string").alias(c)
         for h, c in headers.items()
@@ -130,21 +135,21 @@ def _first(df: DataFrame, key: str, keep_order: bool = False) -> DataFrame:
     return first if keep_order else first.drop(ORDER)
 
 
-def read_vendors(spark: SparkSession, path: str, keep_order: bool = False) -> DataFrame:
+def read_vendors(spark: SparkSession, path: str, keep_order: bool = False, multi_line: bool = True) -> DataFrame:
     """Vendors, first row per id; the kept input order decides between vendors of one name."""
-    return _first(read_feed(spark, path, VENDORS), "passport_supplier_id", keep_order)
+    return _first(read_feed(spark, path, VENDORS, multi_line), "passport_supplier_id", keep_order)
 
 
-def solicitation_rows(spark: SparkSession, path: str) -> DataFrame:
-    return read_feed(spark, path, SOLICITATIONS).withColumn("normalized_epin", normalized_key("epin"))
+def solicitation_rows(spark: SparkSession, path: str, headers: Mapping[str, str] = SOLICITATIONS, multi_line: bool = True) -> DataFrame:
+    return read_feed(spark, path, headers, multi_line).withColumn("normalized_epin", normalized_key("epin"))
 
 
-def read_solicitations(spark: SparkSession, path: str) -> DataFrame:
-    return _first(solicitation_rows(spark, path), "epin")
+def read_solicitations(spark: SparkSession, path: str, headers: Mapping[str, str] = SOLICITATIONS, multi_line: bool = True) -> DataFrame:
+    return _first(solicitation_rows(spark, path, headers, multi_line), "epin")
 
 
-def contract_rows(spark: SparkSession, path: str) -> DataFrame:
-    df = read_feed(spark, path, CONTRACTS)
+def contract_rows(spark: SparkSession, path: str, headers: Mapping[str, str] = CONTRACTS, multi_line: bool = True) -> DataFrame:
+    df = read_feed(spark, path, headers, multi_line)
     return (
         df.withColumn("award_amount", clean_money("award_amount"))
         .withColumn("current_amount", clean_money("current_amount"))
@@ -154,26 +159,27 @@ def contract_rows(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_contracts(spark: SparkSession, path: str) -> DataFrame:
+def read_contracts(spark: SparkSession, path: str, headers: Mapping[str, str] = CONTRACTS, multi_line: bool = True) -> DataFrame:
     """Contracts have no key: repeated rows stay."""
-    return contract_rows(spark, path).drop(ORDER)
+    return contract_rows(spark, path, headers, multi_line).drop(ORDER)
 
 
-def read_entities(spark: SparkSession, path: str) -> DataFrame:
-    return read_feed(spark, path, ENTITIES).withColumn("normalized_name", comparable_name("organization_name")).drop(ORDER)
+def read_entities(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return read_feed(spark, path, ENTITIES, multi_line).withColumn("normalized_name", comparable_name("organization_name")).drop(ORDER)
 
 
-def read_people(spark: SparkSession, path: str) -> DataFrame:
-    return read_feed(spark, path, PEOPLE).withColumn("normalized_org_name", comparable_name("organization_name")).drop(ORDER)
+def read_people(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return read_feed(spark, path, PEOPLE, multi_line).withColumn("normalized_org_name", comparable_name("organization_name")).drop(ORDER)
 
 
-def read_child(spark: SparkSession, path: str, feed: str) -> DataFrame:
-    return read_feed(spark, path, CHILD_FEEDS[feed]).drop(ORDER)
+def read_child(spark: SparkSession, path: str, feed: str, multi_line: bool = True) -> DataFrame:
+    return read_feed(spark, path, CHILD_FEEDS[feed], multi_line).drop(ORDER)
 
 
-def read_notices(spark: SparkSession, path: str, only_valid: bool = False) -> DataFrame:
+def read_notices(spark: SparkSession, path: str, only_valid: bool = False, headers: Mapping[str, str] = NOTICES,
+                 multi_line: bool = True) -> DataFrame:
     """Notices, first row per request; optionally only those whose key can be linked."""
-    rows = read_feed(spark, path, NOTICES)
+    rows = read_feed(spark, path, headers, multi_line)
     return _first(rows.filter(valid_notice_key()) if only_valid else rows, "RequestID")
 
 

@@ -33,9 +33,9 @@ def read_files(spark: SparkSession, paths: Sequence[str], root: str | None = Non
     return (reader.option("basePath", root) if root else reader).parquet(*paths)
 
 
-def read_contract_records(spark: SparkSession, root: str, fiscal_year: int | None = None) -> DataFrame:
-    """Contract metadata of one fiscal year, or of the recent ones."""
-    return read_ledger(spark, root, [fiscal_year] if fiscal_year else range(2020, 2026))
+def read_contract_records(spark: SparkSession, root: str, years: int | Sequence[int] | None = None) -> DataFrame:
+    """Contract metadata of one fiscal year, of some, or of all."""
+    return read_ledger(spark, root, [years] if isinstance(years, int) else years)
 
 
 def with_fiscal_year(df: DataFrame) -> DataFrame:

@@ -31,6 +31,11 @@ def parse_posts(raw: DataFrame) -> DataFrame:
     )
 
 
+def by_slug(posts: DataFrame, slug: str) -> DataFrame:
+    """The post of a slug, the newest should several files have it."""
+    return newest(posts.filter(F.col("slug") == slug), 1)
+
+
 def newest(posts: DataFrame, n: int | None = None) -> DataFrame:
     ordered = posts.orderBy(F.desc("date"), "slug")
     return ordered if n is None else ordered.limit(n)

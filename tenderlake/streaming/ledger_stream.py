@@ -6,41 +6,75 @@ batch leaves the state as it was and is repeated.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderlake.functions.money import amount
 from tenderlake.sources.landing import stream_landing
-from tenderlake.sources.ledger import SCHEMA, with_fiscal_year
+from tenderlake.sources.ledger import SCHEMA, with_fiscal_year, write_ledger
 
 NO_YEAR = 0
 
 
 def ingest(spark: SparkSession, landing: str, target: str, checkpoint: str, fmt: str = "csv",
            schema=SCHEMA, timeout: int | None = None) -> bool:
-    """Append all new rows to the ledger, by the fiscal year of the row."""
+    """Append all new rows to the ledger, by the fiscal year of the row.
+
+    A batch is written beside the ledger and its files are then moved into the year folders under names that begin
+    with query and batch. A repeated batch first removes the files of its name, so nothing is counted twice, and
+    the ledger stays a plain tree that bulk loads may append to as well.
+    """
     rows = with_fiscal_year(stream_landing(spark, landing, fmt, schema))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        prefix = f"{_query_id(spark, checkpoint)}-{batch_id:06d}-"
+        # Readers skip names that begin with an underscore; the same file system lets files be moved.
+        staged = f"{target.rstrip('/')}/_staged/{prefix}"
+        write_ledger(batch, staged, "overwrite")
+        _move_files(spark, staged, target, prefix)
+
     query = (
-        rows.withColumn("fiscal_year", F.coalesce("fiscal_year", F.lit(NO_YEAR)))
-        .writeStream.format("parquet").option("path", target).option("compression", "snappy")
-        .option("checkpointLocation", checkpoint).partitionBy("fiscal_year").outputMode("append")
-        .trigger(availableNow=True).start()
+        rows.withColumn("fiscal_year", F.coalesce("fiscal_year", F.lit(NO_YEAR))).writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     return _finish(query, timeout)
 
 
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the query that owns a checkpoint; another checkpoint has another one."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
+
+
+def _move_files(spark: SparkSession, staged: str, target: str, prefix: str) -> None:
+    """Move the part files of partition folders, after removing those of an earlier try with the same prefix."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    goal = path(target)
+    files = goal.getFileSystem(spark._jsc.hadoopConfiguration())
+    for old in files.globStatus(path(goal, f"*=*/{prefix}*")) or []:
+        files.delete(old.getPath(), False)
+    for part in files.globStatus(path(f"{staged}/*=*/part-*")) or []:
+        folder = path(goal, part.getPath().getParent().getName())
+        files.mkdirs(folder)
+        if not files.rename(part.getPath(), path(folder, prefix + part.getPath().getName())):
+            raise OSError(f"cannot move {part.getPath()} to {folder}")
+    files.delete(path(staged), True)
+
+
 def maintain_monthly(spark: SparkSession, landing: str, rollup: str, checkpoint: str, fmt: str = "csv",
                      schema=SCHEMA, timeout: int | None = None) -> bool:
     """Keep monthly totals current.
 
-    Every batch writes its own few month rows under its batch number. A repeated batch
-    overwrites them, so nothing is counted twice, and no state has to be kept.
+    Every batch writes its own few month rows under its query and batch number. A repeated batch
+    overwrites them, so nothing is counted twice, and no state has to be kept. Another
+    checkpoint is another query and adds its own batches.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.groupBy(F.substring("issue_date", 1, 7).alias("month")).agg(
             F.sum(amount("check_amount")).alias("amount"), F.count("*").alias("tx_count")
-        ).write.mode("overwrite").parquet(f"{rollup}/batch={batch_id}")
+        ).write.mode("overwrite").parquet(f"{rollup}/query={_query_id(spark, checkpoint)}/batch={batch_id}")
 
     query = (
         stream_landing(spark, landing, fmt, schema).writeStream.foreachBatch(write)

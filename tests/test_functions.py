@@ -58,10 +58,12 @@ def test_dates(values):
 
 def test_fiscal_window(spark):
     df = spark.createDataFrame([(2019, 2022), (2024, 2030), (2024, None), (None, None)], "s int, e int")
-    first, last = dates.fiscal_window(F.col("s"), F.col("e"), F.lit(2026), 5)
+    first, last = dates.fiscal_window(F.col("s"), F.col("e"), F.lit(2026), 5, F.lit(2025))
     assert [tuple(r) for r in df.select(first, last).collect()] == [(2018, 2024), (2023, 2025), (2023, 2025), (2020, 2025)]
-    first, last = dates.fiscal_window(F.col("s"), F.col("e"), F.lit(2026), 0)
+    first, last = dates.fiscal_window(F.col("s"), F.col("e"), F.lit(2026), 0, F.lit(2025))
     assert tuple(df.filter("s is null").select(first, last).first()) == (2025, 2025)
+    first, last = dates.fiscal_window(F.col("s"), F.col("e"), F.lit(2026), 5)
+    assert [tuple(r) for r in df.select(first, last).collect()] == [(2018, 2024), (2023, 2026), (2023, 2026), (2021, 2026)]
 
 
 def test_next_daily_run(values):

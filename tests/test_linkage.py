@@ -123,9 +123,8 @@ def test_vendor_payees_tiers(spark):
     got = {r[0]: tuple(r)[2:] for r in linkage.vendor_payees(vendors, payee_totals(ledger)).collect()}
     assert got == {"1": ("exact", 1, 1, 1.0, "2024-01-01"), "2": ("contains", 2, 2, 2.0, "2024-03-01"),
                    "3": ("none", 0, 0, None, None)}
-    for few in (True, False):
-        latest = linkage.vendor_transactions(vendors, ledger, payee_totals(ledger), 1, few)
-        assert rows(latest.select("vendor_name", "payee_name")) == [("Alpha Works", "Alpha Works"), ("Beta Builders", "Beta Builders Co")]
+    latest = linkage.vendor_transactions(vendors, ledger, payee_totals(ledger), 1)
+    assert rows(latest.select("vendor_name", "payee_name")) == [("Alpha Works", "Alpha Works"), ("Beta Builders", "Beta Builders Co")]
 
 
 def test_award_years_fall_back_to_the_wildcard(spark):
@@ -148,9 +147,8 @@ def test_contract_spending_window_and_total(spark):
     assert rows(linkage.contract_spending(contracts, ledger, F.lit(2026))) == [
         ("1", "2020", 2.0, 1), ("1", "2024", 4.0, 2), ("1", "ALL", 6.0, 3)]
     payments = ledger.withColumn("issue_date", F.concat(F.col("fiscal_year").cast("string"), F.lit("-01-01")))
-    for few in (True, False):
-        latest = linkage.contract_transactions(contracts, payments, F.lit(2026), 2, few)
-        assert rows(latest.select("fiscal_year", "check_amount")) == [(2024, "4.00"), (2024, "N/A")]
+    latest = linkage.contract_transactions(contracts, payments, F.lit(2026), 2)
+    assert rows(latest.select("fiscal_year", "check_amount")) == [(2024, "4.00"), (2024, "N/A")]
 
 
 def test_notice_key_validity(spark):

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tenderlake.operators import linkage, rollups
+from tenderlake.operators import linkage, pages, rollups
 from tenderlake.operators import ledger as led
 from tenderlake.plans import registry
 
@@ -29,13 +29,13 @@ def test_no_pairwise_join_and_no_python(spark, no_broadcast, name):
 
 
 def test_year_filter_prunes_partitions(views):
-    text = plan(led.in_years(views.ledger()).groupBy("agency").count())
+    text = plan(led.in_years(views.ledger(), years=led.DEFAULT_YEARS).groupBy("agency").count())
     assert "PartitionFilters: [isnotnull(fiscal_year" in text or "PartitionFilters: [fiscal_year" in text
 
 
 def test_contract_window_prunes_at_run_time(spark, views):
     one = views.contracts().filter("ctr_id = '7'")
-    assert "dynamicpruning" in plan(linkage.contract_transactions(one, views.ledger(), F.lit(2026), few=True))
+    assert "dynamicpruning" in plan(linkage.contract_transactions(one, views.ledger(), F.lit(2026)))
 
 
 def test_columns_are_pruned(views):
@@ -48,6 +48,23 @@ def test_groups_are_limited_before_the_shuffle(views):
     assert text.count("WindowGroupLimit") == 2
 
 
+def test_long_lists_are_ranked_in_parts_first(views):
+    text = plan(led.latest_per_payee(views.ledger()))
+    assert text.count("row_number()") >= 2 and "_part" in text
+
+
 def test_pages_are_top_k(views):
     text = plan(views.contracts().orderBy("ctr_id").offset(50).limit(50))
     assert "TakeOrderedAndProject" in text
+
+
+@pytest.mark.parametrize("page", [1, 2])
+def test_every_page_of_a_list_is_top_k(views, page):
+    c, s, d = views.contracts(), views.solicitations(), views.digital()
+    lists = [
+        pages.contracts_page(c, s, page=page), pages.solicitations_page(s, c, page=page), pages.digital_contracts_page(c, d, page=page),
+        pages.expiring_page(c, d, F.to_date(F.lit("2025-06-30")), page=page), pages.digital_vendors_page(views.vendors(), d, c, page=page),
+    ]
+    for shown in lists:
+        text = plan(shown)
+        assert "TakeOrderedAndProject" in text and "rangepartitioning" not in text
