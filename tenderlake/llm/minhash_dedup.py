@@ -5,10 +5,13 @@
 2. Sketches with similarity s share about s * k values. With at least `SHARED` of a sketch's size shared, two sketches have
    a value in common among all but their SHARED * size - 1 most frequent values, so only these (rarest first) go into
    the inverted lists. Frequent passages stay out of them.
-3. A list is not paired with itself. Its smallest member (the pivot) is compared with the others, by the union of the
-   sketches first, by the whole sets then, and leaves the list. Jaccard distance is a metric: members near the pivot and
-   members far from it cannot be linked, so the list falls into a near and a far list, and lists within one
-   component end. What is left after some rounds is paired in full, so no link is lost for the number of rounds.
+3. A list is not paired with itself. One member (the pivot, which has most in common with other documents) is compared
+   with the others, by the union of the sketches first, by the whole sets then, and leaves the list. Jaccard distance is a
+   metric: members near the pivot and members far from it cannot be linked, so the list falls into a near and a far
+   list, and lists within one component end.
+4. Documents in lists that are left after some rounds are joined by their whole sets: of two linked sets the smaller one has
+   a value in common with the larger among its rarest seventh, and the places of that value bound how much they can
+   share. Altered copies of one text that are no near-duplicates of each other meet in next to no list then.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ WORDS, K = 5, 64
 SHARED = 0.45
 # Smallest estimate that is verified: again over 4 deviations below 0.75.
 ESTIMATE = 0.5
-ROUNDS = 3
+ROUNDS = 2
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                  0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], "u8")
 
@@ -73,19 +76,18 @@ def sketches(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
         run, "doc_id long, n_shingles long, digest binary, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Per row: id, digest, shingles (all hashes of the set)."""
+def full_sets(wanted: DataFrame, words: int = WORDS) -> DataFrame:
+    """(id, shingles) of rows (doc_id, digest, text): all hashes of the sets that have the digest."""
 
     def run(batches):
         for batch in batches:
             found = [shingle_set(raw, words) for raw in text_bytes(batch, "text")]
-            digests = [set_digest(s) for s in found]
+            own = [i for i, (s, d) in enumerate(zip(found, batch.column(1).to_pylist())) if set_digest(s) == d]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
-                names=["id", "digest", "shingles"])
+                [batch.column(0).take(pa.array(own, pa.int64())), pa.array([found[i] for i in own], pa.list_(pa.int64()))],
+                names=["id", "shingles"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(
-        run, "id long, digest binary, shingles array<long>")
+    return wanted.select("doc_id", "digest", "text").mapInArrow(run, "id long, shingles array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -107,14 +109,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _lists(reps: DataFrame) -> DataFrame:
-    """(list, id): the inverted lists of the rarer sketch values, lists of one left out."""
+    """(list, id, weight): the inverted lists of the rarer sketch values, lists of one left out.
+
+    The weight tells how much of a document occurs elsewhere: a text that others were copied from has more of it than
+    its altered copies.
+    """
     values = reps.select("id", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     ranked = values.join(often, "v").groupBy("id", "s").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     # Values of one document only come first in the order and find nobody.
     least = F.ceil(F.col("s") * F.lit(SHARED)).cast("int")
-    kept = ranked.withColumn("n", F.size("vs") - least + 1).where("n > 0")
-    return kept.select(F.explode(F.slice("vs", 1, F.col("n"))).alias("x"), "id").select(F.col("x.v").alias("list"), "id")
+    # Bits of frequency: a line that everybody has weighs little more than one of a few hundred copies.
+    weight = F.aggregate("vs", F.lit(0).cast("long"), lambda total, x: total + F.round(F.log2(x["df"]) * 16).cast("long"))
+    kept = ranked.withColumn("n", F.size("vs") - least + 1).where("n > 0").withColumn("weight", weight)
+    return kept.select(F.explode(F.slice("vs", 1, F.col("n"))).alias("x"), "id", "weight").select(F.col("x.v").alias("list"), "id", "weight")
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
@@ -135,6 +143,34 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("i", shared).where(F.expr(f"100 * i >= {percent} * (na + nb - i)")).select("a", "b")
 
 
+def _sets_of(docs: DataFrame, reps: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) of some representatives; a repeated row of a document is read once."""
+    wanted = reps.join(ids.distinct(), "id", "left_semi").select(F.col("id").alias("doc_id"), "digest")
+    texts = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
+    return full_sets(texts.join(wanted, "doc_id").dropDuplicates(["doc_id", "text"]), words)
+
+
+def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb): pairs of different components c that may be linked, by the rarest values of the whole sets.
+
+    With the values of all sets in one order, rarest first, the smaller set a and the larger b of a linked pair have
+    their first common value at places i and j with at most min(na - i, nb - j) common values behind it.
+    """
+    need = 2 * percent / (100 + percent)
+    values = sets.select("id", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("v"))
+    often = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = values.join(often, "v").groupBy("id", "c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    # Values of one set only come first in the order.
+    at = ranked.withColumn("single", F.col("n") - F.size("vs")).select("id", "c", "n", "single", F.posexplode("vs").alias("k", "x"))
+    placed = at.select("id", "c", "n", (F.col("single") + F.col("k")).alias("i"), F.col("x.v").alias("v"))
+    probing = placed.where(f"i <= n - ceil({percent / 100} * n - 1e-9)")
+    small = probing.where(f"i <= n - ceil({need} * n - 1e-9)").toDF("a", "ca", "na", "i", "v")
+    large = probing.toDF("b", "cb", "nb", "j", "v")
+    fits = (f"ca <> cb and (na < nb or (na = nb and a < b)) and 100 * na >= {percent} * nb "
+            f"and least(na - i, nb - j) >= ceil({percent} * (na + nb) / {100 + percent} - 1e-9)")
+    return small.join(large, "v").where(fits).select("a", "b", "na", "nb").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = K, words: int = WORDS, percent: int = 75, rounds: int = ROUNDS) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
@@ -147,50 +183,54 @@ def near_duplicates(docs: DataFrame, k: int = K, words: int = WORDS, percent: in
     named = table.where("doc_id is not null and n_shingles > 0")
     documents = stored(named.groupBy("doc_id").agg(F.min("digest").alias("digest")), "texts")
     classes = stored(documents.groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
+    first = classes.select("id", F.col("digest").alias("own"))
     reps = stored(
-        named.withColumnRenamed("doc_id", "id").join(classes, ["id", "digest"])
-        .select("id", "digest", "n_shingles", "sketch").dropDuplicates(["id"]), "representatives")
-    lists = stored(_lists(reps), "lists")
+        named.withColumnRenamed("doc_id", "id").join(first, "id").where("digest = own").drop("own").dropDuplicates(["id"]),
+        "representatives")
+    lists = stored(_lists(reps).withColumn("c", F.col("id")).withColumn("done", F.lit(None).cast("long")), "lists")
+    # Only documents in some list go on.
+    reps = stored(reps.join(lists.select("id").distinct(), "id", "left_semi"), "listed")
     edges = tested = comp = None
-    for number in range(rounds + 1):
-        if number < rounds:
-            pivots = lists.groupBy("list").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-            members = stored(lists.join(pivots.select("list", "a"), "list").where("id <> a").withColumnRenamed("id", "b"), "members")
-            pairs = members.select("a", "b").distinct()
-        else:
-            # All that is left: pairs of different components within a list.
-            other = lists.select("list", F.col("id").alias("b"), F.col("c").alias("d"))
-            pairs = lists.withColumnRenamed("id", "a").join(other, "list").where("a < b and c <> d").select("a", "b").distinct()
+    for number in range(rounds):
+        # The pivot is outside the component of the pivot before, if any: two of one component need no comparison.
+        order = F.struct((F.col("c") != F.coalesce("done", F.lit(-1))).alias("fresh"), "weight", (-F.col("id")).alias("low"))
+        pivots = lists.groupBy("list").agg(F.max(order).alias("p")).select("list", (-F.col("p.low")).alias("a"))
+        members = stored(lists.join(pivots, "list").where("id <> a").withColumnRenamed("id", "b"), "members")
+        # A pair is one, whichever of the two was the pivot.
+        pairs = members.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         estimates = stored(_estimated(pairs, reps, k), "estimates")
         close = estimates.where(f"j >= {ESTIMATE} and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        if tested is not None:
-            close = close.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         if comp is not None:
             labels = comp.select("id", "component")
             close = (close.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left")
                      .where("coalesce(ca, a) <> coalesce(cb, b)").drop("ca", "cb"))
         close = stored(close, "close")
-        wanted = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
-        texts = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
-        # A repeated row must not double its pairs.
-        sets = full_sets(texts.join(wanted, "doc_id", "left_semi"), words).join(reps.select("id", "digest"), ["id", "digest"])
-        sets = stored(sets.dropDuplicates(["id"]), "sets")
+        sets = stored(_sets_of(docs, reps, close.select(F.col("a").alias("id")).union(close.select("b")), words), "sets")
         found = _verified(close, sets, percent)
         edges = stored(found if edges is None else edges.unionByName(found), "edges")
         comp = components(edges)
-        if number == rounds:
-            break
-        tested = estimates if tested is None else tested.unionByName(estimates)
+        tested = estimates if tested is None else stored(tested.unionByName(estimates), "tested")
         # |d(a, x) - d(a, y)| <= d(x, y): beyond 0.25 and an allowance of 0.2 for the estimates no link is possible.
-        gone = members.join(estimates.select("a", "b", (1 - F.col("j")).alias("far")), ["a", "b"]).select("list", F.col("b").alias("id"), "far")
-        near = gone.where("far <= 0.62").select(F.xxhash64("list", F.lit("near")).alias("list"), "id")
-        beyond = gone.where("far > 0.17").select(F.xxhash64("list", F.lit("far")).alias("list"), "id")
-        left = near.unionByName(beyond).join(comp, "id", "left").select("list", "id", F.coalesce("component", "id").alias("c"))
+        far = tested.select(F.col("a").alias("lo"), F.col("b").alias("hi"), (1 - F.col("j")).alias("far"))
+        gone = (members.drop("c").withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b")).join(far, ["lo", "hi"])
+                .select("list", F.col("b").alias("id"), "weight", "far", "a"))
+        near = gone.where("far <= 0.62").withColumn("list", F.xxhash64("list", F.lit("near")))
+        beyond = gone.where("far > 0.17").withColumn("list", F.xxhash64("list", F.lit("far")))
+        labels = comp.select("id", "component")
+        left = (near.unionByName(beyond).join(labels, "id", "left").join(labels.toDF("a", "ca"), "a", "left")
+                .select("list", "id", "weight", F.coalesce("component", "id").alias("c"), F.coalesce("ca", "a").alias("done")))
         mixed = left.groupBy("list").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("list")
         lists = stored(left.join(mixed, "list", "left_semi"), "lists")
         if not lists.limit(1).count():
             break
+    else:
+        open_ids = stored(lists.groupBy("id").agg(F.min("c").alias("c")), "open")
+        sets = stored(_sets_of(docs, reps, open_ids.select("id"), words), "open-sets")
+        found = _verified(stored(_prefix_pairs(sets.join(open_ids, "id"), percent), "pairs"), sets, percent)
+        edges = stored(found if edges is None else edges.unionByName(found), "edges")
+        comp = components(edges)
     groups = classes.join(comp, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     found = documents.join(groups, "digest").select("doc_id", "component")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
