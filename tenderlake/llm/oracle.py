@@ -47,8 +47,9 @@ p0 AS (SELECT host, path, count(*) AS n, count(*) FILTER (ruled = 'allow') AS go
 {"".join(_LEVEL.format(k=k, j=k - 1) for k in (1, 2, 3))}
 t AS (SELECT host, path, good, bad, t3 || CASE WHEN len(s) > 3 THEN '/**' ELSE '' END AS template FROM p3),
 o AS (SELECT host, template, regexp_replace(template, '^/[^/]+', '/*') AS branch, sum(good) AS g, sum(bad) AS b FROM t GROUP BY ALL),
-q AS (SELECT *, sum(g) OVER (PARTITION BY host, branch) AS ag, sum(b) OVER (PARTITION BY host, branch) AS ab FROM o),
-z AS (SELECT *, CASE WHEN g + b > 0 THEN abs(CAST(g AS DOUBLE) / (g + b) - CAST(ag AS DOUBLE) / (ag + ab))
+q AS (SELECT *, sum(g) OVER (PARTITION BY host, branch) AS ag, sum(b) OVER (PARTITION BY host, branch) AS ab,
+    count(*) OVER (PARTITION BY host, branch) AS branches FROM o),
+z AS (SELECT *, CASE WHEN g + b > 0 AND branches > 1 THEN abs(CAST(g AS DOUBLE) / (g + b) - CAST(ag AS DOUBLE) / (ag + ab))
     <= 1.96 * sqrt(CAST(ag AS DOUBLE) / (ag + ab) * (1 - CAST(ag AS DOUBLE) / (ag + ab)) / (g + b)) ELSE false END AS alike FROM q),
 m AS (SELECT *, CASE WHEN alike THEN branch ELSE template END AS merged FROM z),
 v AS (SELECT host, template, merged, (sum(g) OVER w + 2.5::DOUBLE) / (sum(g) OVER w + sum(b) OVER w + 5) < 0.25 AS blocked

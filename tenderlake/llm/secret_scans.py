@@ -31,8 +31,9 @@ FEATURES = ("length", "digits", "capitals", "hexadecimal", "distinct", "transiti
 
 def dictionary(docs: DataFrame, sample: int = DICTIONARY_DOCS) -> DataFrame:
     """(code, n): letter triples of the words of a bounded sample of documents, 26 ** 3 rows at most."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = docs.join(F.broadcast(ids), F.col("doc_id").cast("long") == F.col("id")).select(F.lower(F.col("text").cast("string")).alias("t"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t")).where("id is not null")
+    ids = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
+    texts = rows.join(F.broadcast(ids), "id").select(F.lower("t").alias("t"))
     words = texts.select(F.explode(F.regexp_extract_all("t", F.lit("[a-z]{3,}"), F.lit(0))).alias("w"))
     triples = words.select(F.explode(triple_codes(F.col("w"))).alias("code"))
     return triples.where("code is not null").groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") >= DICTIONARY_COUNT)

@@ -78,10 +78,10 @@ def judged_templates(paths: DataFrame) -> DataFrame:
     own = paths.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     branch = F.regexp_replace("template", "^/[^/]+", "/*")
     own = stored(own.withColumn("branch", branch), "templates")
-    siblings = own.groupBy("host", "branch").agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
+    siblings = own.groupBy("host", "branch").agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"), F.count("*").alias("branches"))
     p = F.col("all_good") / (F.col("all_good") + F.col("all_bad"))
     n = F.col("good") + F.col("bad")
-    alike = F.when(n > 0, F.abs(F.col("good") / n - p) <= SIGMAS * F.sqrt(p * (1 - p) / n)).otherwise(False)
+    alike = F.when((n > 0) & (F.col("branches") > 1), F.abs(F.col("good") / n - p) <= SIGMAS * F.sqrt(p * (1 - p) / n)).otherwise(False)
     named = own.join(siblings, ["host", "branch"]).withColumn("merged", F.when(alike, F.col("branch")).otherwise(F.col("template")))
     # A branch that is `/*` itself and stands alone must not meet the merged ones.
     named = named.withColumn("alike", alike)
