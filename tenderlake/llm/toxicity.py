@@ -66,23 +66,20 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, rows: int = TRAI
     """Weights (index, value) learned from labelled rows that are not held out.
 
     `labels` has doc_id and toxic (0/1; null: not used). `held_out` is a condition on doc_id. The sample's ids, bounded by
-    `rows`, are broadcast; one task learns from the sample's buckets in a fixed order, so results repeat.
+    `rows`, are broadcast; one task learns from the sample's texts in a fixed order, so results repeat.
     """
     chosen = (labels.selectExpr("cast(doc_id as bigint) doc_id", "cast(toxic as int) toxic")
               .where(F.col("toxic").isin(0, 1) & ~held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
 
-    def extract(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([features(t, bits).astype("i4") for t in text_bytes(batch, "text")], pa.list_(pa.int32()))],
-                names=["doc_id", "toxic", "at"])
-
     def learn(batches):
-        ftrl, sample = Ftrl(1 << bits), []
+        ftrl, sample, last = Ftrl(1 << bits), [], None
         for batch in batches:
-            for label, at in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sample.append((label, at.values.to_numpy()))
+            for doc_id, label, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch, "text")):
+                # Repeated rows stand next to each other and count once.
+                if (doc_id, raw) != last:
+                    sample.append((label, features(raw, bits).astype("i4")))
+                last = doc_id, raw
         # With balanced weights each class is seen equally often: the rarer one is repeated.
         toxic = sum(label for label, _ in sample)
         often = max(1, min(20, round((len(sample) - toxic) / max(1, toxic))))
@@ -94,9 +91,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, rows: int = TRAI
         yield pa.RecordBatch.from_arrays([pa.array(index, pa.int64()), pa.array(value, pa.float64())], names=["index", "value"])
 
     texts = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(
-        extract, "doc_id long, toxic int, at array<int>").distinct()
-    ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "at").select("toxic", "at")
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     fitted = ordered.mapInArrow(learn, "index long, value double").toPandas()
     return fitted["index"].to_numpy("i8"), fitted["value"].to_numpy("f8")
 
