@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import gc
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,8 +26,15 @@ def white_words(text: Column) -> Column:
     return F.filter(F.split(spaced, " "), lambda w: w != "")
 
 
-def stored(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """Write a step into the shared scratch folder and read it back: cuts the lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, label)
-    (df.hint("rebalance", *by) if by else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, label: str, release: bool = False) -> DataFrame:
+    """Write a step into the shared scratch folder and read it back: cuts the lineage, survives lost executors.
+
+    `release` asks the driver's JVM to collect its garbage, upon which Spark removes the step's shuffle files.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    if release:
+        gc.collect()
+        spark._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
