@@ -60,7 +60,10 @@ def repeat_words(words: Column, n: Column, windows: Column) -> Column:
 def _measured(docs: DataFrame) -> DataFrame:
     """`docs` as a struct column doc, with words (array) and the base measures."""
     text = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    split = text.withColumn("words", white_words(F.col("text"))).withColumn("n_words", F.size("words").cast("long"))
+    # Not deterministic for the optimizer: a filter on the measures stays above the lists and does not build them anew
+    # for every element that it looks at.
+    once = F.monotonically_increasing_id() >= 0
+    split = text.withColumn("words", F.when(once, white_words(F.col("text")))).withColumn("n_words", F.size("words").cast("long"))
     first = F.slice("words", 1, F.greatest(F.size("words") - 2, F.lit(0)))
     windows = F.transform(first, lambda w, i: F.shiftright(
         F.xxhash64(w, F.get(F.col("words"), i + 1), F.get(F.col("words"), i + 2)), 1))
@@ -68,7 +71,7 @@ def _measured(docs: DataFrame) -> DataFrame:
     bare = F.col("text")
     for symbol in SYMBOLS:
         bare = F.replace(bare, F.lit(symbol), F.lit(""))
-    listed = split.withColumn("windows", windows).withColumn("lines", lines)
+    listed = split.withColumns({"windows": F.when(once, windows), "lines": F.when(once, lines)})
     return listed.select(
         "doc", "words", "n_words", F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(bare)).cast("long").alias("n_symbols"),
