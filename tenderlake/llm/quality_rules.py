@@ -12,8 +12,9 @@ BUCKETS = 1 << 16
 # The trusted multinomial is fitted on this many labelled rows at most (smallest hash of doc_id). The corpus multinomial and
 # the verdicts cover every document.
 TRUSTED_ROWS = 20_000
-# Pseudo counts that draw a bucket's trusted share to its share in the corpus.
-SMOOTHING = 1.0
+# Pseudo counts that draw a bucket's trusted share to its share in the corpus, so that the words that only one clean
+# document has do not count against it where few rows are trusted.
+SMOOTHING = 10.0
 # Verdict: mean log-likelihood ratio of an n-gram, in nats.
 THRESHOLD = -0.12
 # Weights are whole millionths of a nat, so that sums do not depend on the order of addition.

@@ -53,7 +53,8 @@ def test_quality_ratios(spark):
     corpus = Counter(b for g in grams.values() for b in g)
     clean = Counter(b for d, g in grams.items() if d in trusted for b in g)
     all_c, all_t = sum(corpus.values()), sum(clean.values())
-    weight = {b: 1e6 * math.log((clean[b] + 1) / (all_t * c / all_c + 1)) for b, c in corpus.items()}
+    smooth = quality_rules.SMOOTHING
+    weight = {b: 1e6 * math.log((clean[b] + smooth) / (all_t * c / all_c + smooth)) for b, c in corpus.items()}
     for r in queries.quality(spark, SMALL).collect():
         total = sum(weight[b] for b in grams[r.doc_id])
         assert r.n_grams == len(grams[r.doc_id]) and abs(r.ratio_sum - total) <= r.n_grams + 1
