@@ -136,7 +136,8 @@ def _with_places(docs: DataFrame, findings: DataFrame | None, threshold: float)
     verdicts = verdicts.select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key"), "n_candidates", "places")
     whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     whole = whole.withColumn("key", F.xxhash64("text"))
-    return whole.join(verdicts, F.col("id").eqNullSafe(F.col("found_id")) & F.col("key").eqNullSafe(F.col("found_key")), "left")
+    # One plan at every size: the findings grow with the documents.
+    return whole.join(verdicts.hint("merge"), F.col("id").eqNullSafe(F.col("found_id")) & F.col("key").eqNullSafe(F.col("found_key")), "left")
 
 
 def _marked(text: Column, places: Column) -> Column:
