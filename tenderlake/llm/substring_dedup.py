@@ -48,8 +48,21 @@ def boundaries(raw: bytes, minimum: int = MINIMUM, bits: int = MASK_BITS, maximu
     return np.array(ends, "i8")
 
 
+def compared(raw: bytes, minimum: int = MINIMUM, bits: int = MASK_BITS, maximum: int = MAXIMUM) -> list[tuple[int, int]]:
+    """Spans (start, end) of a text that are looked for in other texts; together they cover all of its bytes.
+
+    These are its chunks. Only the last one may have less than `minimum` bytes: a few bytes alone would be found anywhere, so
+    it counts together with the chunk before it, which is looked for by itself too. A text of one short chunk counts whole.
+    """
+    ends = boundaries(raw, minimum, bits, maximum).tolist()
+    spans = list(zip([0, *ends], ends))
+    if len(spans) > 1 and spans[-1][1] - spans[-1][0] < minimum:
+        spans[-1] = spans[-2][0], len(raw)
+    return spans
+
+
 def chunks(docs: DataFrame, minimum: int = MINIMUM, bits: int = MASK_BITS, maximum: int = MAXIMUM) -> DataFrame:
-    """Per chunk of at least `minimum` bytes: hi and lo (128-bit digest), doc_id, start, n (bytes)."""
+    """Per compared span: hi and lo (128-bit digest), doc_id, start, n (bytes)."""
 
     def run(batches):
         for batch in batches:
@@ -59,14 +72,11 @@ def chunks(docs: DataFrame, minimum: int = MINIMUM, bits: int = MASK_BITS, maxim
                 for doc_id, raw in zip(ids[lo:lo + 64], texts[lo:lo + 64]):
                     if doc_id is None or not raw:
                         continue
-                    start = 0
-                    for end in boundaries(raw, minimum, bits, maximum).tolist():
-                        if end - start >= minimum:
-                            digests.append(hashlib.blake2b(raw[start:end], digest_size=16).digest())
-                            owners.append(doc_id)
-                            starts.append(start)
-                            sizes.append(end - start)
-                        start = end
+                    for start, end in compared(raw, minimum, bits, maximum):
+                        digests.append(hashlib.blake2b(raw[start:end], digest_size=16).digest())
+                        owners.append(doc_id)
+                        starts.append(start)
+                        sizes.append(end - start)
                 halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1])),
@@ -92,8 +102,9 @@ def repeated_chunks(docs: DataFrame, **sizes: int) -> DataFrame:
 def substring_dedup(docs: DataFrame, **sizes: int) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), text (what is left), duplicated (n_removed > 0).
 
-    A chunk goes when a document with a smaller doc_id has it too, the first document keeps it. Chunks end on any
-    byte, so a removed run is widened to whole code points first. A null text stays null and has no bytes; rows without
+    A chunk goes when a document with a smaller doc_id has it too, the first document keeps it. A last chunk of less than
+    `minimum` bytes goes with the chunk before it, a shorter text as a whole (see `compared`): exact copies lose all
+    their bytes. Chunks end on any byte, so a removed run is widened to whole code points first. A null text stays null and has no bytes; rows without
     a doc_id are left as they are; repeated rows of a doc_id
     are one document, each is returned and loses the chunks that it has itself. Extra columns are
     not read. An empty table gives an empty table.

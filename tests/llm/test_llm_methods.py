@@ -225,6 +225,42 @@ def test_chunk_dedup_equals_brute_force(spark):
         assert (r.text, r.n_removed, r.n_spans, r.duplicated) == (kept.decode(), removed, spans, removed > 0)
 
 
+def test_every_byte_is_compared(spark):
+    """Exact copies lose all their bytes, also short texts and short last chunks; only whole spans are removed."""
+    rng = random.Random(9)
+    docs = {2 * i: "".join(rng.choice("abcdefgh ") for _ in range(n)) for i, n in enumerate([*range(1, 60), 300, 700, 1501, 4000])}
+    for d in list(docs):
+        docs[1000 + d] = docs[d]
+    last = substring_dedup.boundaries(docs[124].encode()).tolist()[-2]
+    docs |= {5000: docs[124][:last] + "another end", 5001: docs[124] + "!", 6000: ". ", 6001: "That it.", 6002: "That it."}
+    for raw in map(str.encode, docs.values()):
+        spans = substring_dedup.compared(raw)
+        assert set().union(*(range(a, b) for a, b in spans)) == set(range(len(raw)))
+        assert len(raw) < substring_dedup.MINIMUM or min(b - a for a, b in spans) >= substring_dedup.MINIMUM
+    seen, want = set(), {}
+    for d in sorted(docs):
+        raw = docs[d].encode()
+        spans = substring_dedup.compared(raw)
+        gone = set().union(*(range(a, b) for a, b in spans if raw[a:b] in seen))
+        seen |= {raw[a:b] for a, b in spans}
+        want[d] = bytes(c for i, c in enumerate(raw) if i not in gone).decode()
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert {d: r.text for d, r in got.items()} == want
+    firsts = {t: d for d, t in sorted(docs.items(), reverse=True)}
+    assert all(r.text == "" and r.duplicated for d, r in got.items() if firsts[docs[d]] < d)
+    assert got[6001].text == "That it." and got[6000].text == ". " and got[5000].n_removed >= last
+
+
+def test_exact_copies_of_the_given_table_go_whole(spark):
+    docs = texts(spark, MIDDLE)
+    first = {}
+    for d in sorted(docs):
+        first.setdefault(docs[d], d)
+    copies = {d for d in docs if docs[d] and first[docs[d]] < d}
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(spark.read.parquet(f"{MIDDLE}/documents.parquet")).collect()}
+    assert len(copies) > 40 and all(got[d].text == "" and got[d].duplicated for d in copies)
+
+
 # --- 9 byte-level BPE
 
 def test_pieces_encode_as_the_whole(spark):
