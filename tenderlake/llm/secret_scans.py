@@ -12,9 +12,28 @@ from pyspark.sql import functions as F
 
 from tenderlake.llm.common import stored
 
-# A run of 16 or more characters of keys and tokens, with the name it is assigned to.
+# A bare candidate: a run of 16 or more characters of keys and tokens, with the name it is assigned to.
 VALUE = "[A-Za-z0-9+/_-]{16,}"
-CANDIDATE = f"(?<![A-Za-z0-9+/_-])(?:[A-Za-z_]++ ?[:=] ?[\"']?)?{VALUE}"
+ASSIGNED = "[A-Za-z_]++ ?[:=] ?[\"']?"
+# A name that ends like a credential's (token, db_password, apiKey2, secret-key_prod) with the sign of an assignment behind it.
+_ENDING = ("(?i:token|secret|passw(?:or[dt]|d)?|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credential|bearer)"
+           "s?(?:[_-]?(?i:key))?(?:[_-][A-Za-z0-9]{1,16})?[0-9]{0,4}")
+NAMED = (f"[A-Za-z0-9+/_-]++(?=[\"']?\\]?[ \\t]{{0,3}}[:=])(?<={_ENDING})[\"']?\\]?[ \\t]{{0,3}}(?:=>|:=|==?|:(?!:))[ \\t]{{0,3}}"
+         "(?:(?i:bearer|basic|token) )?")
+# user: of user:password@host, in a url or alone; mail addresses are none.
+IN_URL = "[A-Za-z][A-Za-z0-9+-]*+://[^\\s/:\"'<>]*+:"
+IN_LOGIN = "(?<![^\\s\"'`(<=,])(?!(?i:mailto|e-?mail|mail|from|to|cc|bcc|contact|sips?|xmpp|acct):)[A-Za-z0-9._%+-]++:"
+HOST = "(?=@[A-Za-z0-9\\[])"
+# The value behind a credential's name has any length and any signs, up to the closing quote or white space. A quoted
+# text of several words counts whole unless one of them is a candidate itself.
+_QUOTED = "|".join(f"{q}(?:(?:[^{q}\\\\\\s]++|\\\\\\S)++|(?![^{q}\\n]*{VALUE})[^{q}\\n]+)(?={q})" for q in "\"'")
+CREDENTIAL_VALUE = f"(?:{_QUOTED}|[\"'`]?[^\\s\"'`]+)"
+URL_VALUE = f"(?:[^\\s/\"'<>]+|(?![0-9]{{1,5}}/)[^\\s@\"'<>]+){HOST}"
+CANDIDATE = (f"(?<![A-Za-z0-9+/_-])(?:{IN_URL}{URL_VALUE}|{NAMED}{CREDENTIAL_VALUE}|{IN_LOGIN}[^\\s/\"'<>]+{HOST}|(?:{ASSIGNED})?{VALUE})")
+# What stands before the value of a candidate.
+PREFIX = f"^(?:{IN_URL}(?=.)|{NAMED}[\"'`]?(?=.)|{ASSIGNED}(?={VALUE}$)|{IN_LOGIN}(?=.)|)"
+# Stands for a value that is filled in elsewhere.
+PLACEHOLDER = "^(\\$\\{[A-Za-z_][^}]*\\}|\\$[A-Z_]+|<[^<>]*>|\\{\\{.*\\}\\}|%\\([a-z_]+\\)s|[*.]+)$"
 # Names and neighbouring words of credentials.
 CREDENTIAL = "(?i)(token|secret|passw|pwd|api_?key|access_?key|private_?key|auth|credential|bearer)"
 # Fixed formats of well-known issuers.
@@ -54,7 +73,15 @@ def candidates(docs: DataFrame) -> DataFrame:
     parts = matched.withColumn("p", F.transform(F.split("t", CANDIDATE), lambda x: F.struct(F.left(x, F.lit(40)).alias("l"), F.right(x, F.lit(40)).alias("r"))))
     at = parts.select("doc_id", "text_key", F.posexplode(F.transform("m", lambda m, i: F.struct(
         m.alias("found"), F.get(F.col("p.r"), i).alias("before"), F.get(F.col("p.l"), i + 1).alias("after")))).alias("place", "c"))
-    return at.select("doc_id", "text_key", "place", "c.found", F.regexp_extract("c.found", f"({VALUE})$", 1).alias("value"), "c.before", "c.after")
+    return at.select("doc_id", "text_key", "place", "c.found", _value("c.found").alias("value"), "c.before", "c.after")
+
+
+def _prefix(found: Column | str) -> Column:
+    return F.regexp_extract(found, PREFIX, 0)
+
+
+def _value(found: str) -> Column:
+    return F.right(F.col(found), F.length(found) - F.length(_prefix(found)))
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -62,7 +89,10 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def described(found: DataFrame, words: DataFrame) -> DataFrame:
-    """Candidates with the numbers that the forest looks at, and what the fixed rules say (label; null: open)."""
+    """Candidates with the numbers that the forest looks at, and what the fixed rules say (label; null: open).
+
+    `placed` is a clear value in a credential's place that no bare string of 20 or more characters is: there the place decides.
+    """
     spark, v, name = found.sparkSession, F.col("value"), F.col("name")
     filled = spark.range(LETTERS ** 3).join(F.broadcast(words), F.col("id") == F.col("code"), "left")
     known = filled.agg(F.sort_array(F.collect_list(F.struct("id", F.col("n").isNotNull().cast("int").alias("k")))).alias("d")).select(F.col("d.k")).scalar()
@@ -86,9 +116,16 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
         "near_words": coverage(F.regexp_replace(F.concat(close, following), "[^A-Za-z]", "")),
     }
     mixed = v.rlike("[0-9]") & v.rlike("[A-Za-z]")
-    label = (F.when(v.rlike(KNOWN) | (name.rlike(CREDENTIAL) & mixed & (length >= 20)), 1)
-             .when(~mixed, 0))
-    return named.select("doc_id", "text_key", "place", "value", *[x.cast("double").alias(k) for k, x in numbers.items()], label.alias("label"))
+    bare, in_url = v.rlike(f"^{VALUE}$"), name.rlike(f"^{IN_URL}$")
+    in_place = name.rlike(f"^{NAMED}[\"'`]?$") | (name.rlike(f"^{IN_LOGIN}$") & ~bare)
+    # Signs at the end may belong to the sentence. Words with a hyphen, a stop or an apostrophe are open.
+    inner = F.regexp_replace(v, "[.,;:!?)\\]}>]+$", "")
+    varied = (inner.rlike("[0-9]") & inner.rlike("[A-Za-z]")) | (inner.rlike("[A-Za-z0-9]") & inner.rlike("[!@#$%^&*=+~|?\\\\]"))
+    placed = (in_url | (in_place & varied & ~v.rlike("\\s") & (~bare | (length < 20)))) & ~v.rlike(PLACEHOLDER)
+    label = (F.when(v.rlike(KNOWN) | (name.rlike(CREDENTIAL) & mixed & bare & (length >= 20)) | placed, 1)
+             .when(~mixed & bare, 0))
+    return named.select("doc_id", "text_key", "place", "value", *[x.cast("double").alias(k) for k, x in numbers.items()],
+                        label.alias("label"), placed.alias("placed"))
 
 
 def fit(found: DataFrame, findings: int = FINDINGS, seed: int = 7) -> RandomForestClassificationModel | None:
@@ -111,8 +148,10 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
     """(doc_id, text_key, place, value, probability, secret): every candidate and the forest's verdict.
 
     `findings` (value, label 0/1) are labelled findings; without them the fixed rules label the clear cases: known
-    formats and mixed strings assigned to a credential's name are secrets, strings without a digit or without a letter
-    are none. The forest decides all the rest and may overrule. With findings of one kind only no forest can be fitted:
+    formats and mixed strings assigned to a credential's name are secrets, bare strings without a digit or without a letter
+    are none. The forest decides all the rest and may overrule. It knows little of short and punctuated values, so without
+    `findings` it does not overrule passwords in urls, and short or punctuated values of letters with digits or signs behind
+    a credential's name or in user:value@host. With findings of one kind only no forest can be fitted:
     the labels decide and open candidates are no secrets. Null and empty texts have no candidates.
     """
     every = stored(described(candidates(docs), dictionary(docs)), "candidates")
@@ -126,6 +165,8 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
     else:
         vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(every)
         judged = model.transform(vectors).withColumn("probability", vector_to_array("probability")[1])
+    if findings is None:
+        judged = judged.withColumn("probability", F.when(F.col("placed"), 1.0).otherwise(F.col("probability")))
     return judged.select("doc_id", "text_key", "place", "value", "probability", (F.col("probability") >= threshold).alias("secret"))
 
 
@@ -144,7 +185,7 @@ def _marked(text: Column, places: Column) -> Column:
     """The text with the values at the given places replaced by the marker; names before them stay."""
     found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     parts = F.transform(F.split(text, CANDIDATE), lambda part, i: F.concat(part, F.coalesce(
-        F.when(F.array_contains(places, i), F.regexp_replace(F.get(found, i), f"{VALUE}$", F.lit(MARKER.replace("$", "\\$"))))
+        F.when(F.array_contains(places, i), F.concat(_prefix(F.get(found, i)), F.lit(MARKER)))
         .otherwise(F.get(found, i)), F.lit(""))))
     return F.when(F.size(places) > 0, F.array_join(parts, "")).otherwise(text)
 
