@@ -148,6 +148,23 @@ def test_wrappers_find_containers_without_article_marks():
     assert got.split("\n\n") == ["Title 3", *[f"own text 3 {i} with some more words" for i in range(5)], "quoted"]
 
 
+def mixed_host(n):
+    """Every third page is an old one, without an article element."""
+    body = "".join(f"<p>own text {n} {i} with some more words</p>" for i in range(n % 5 + 2))
+    inner = f"<h2>Title {n}</h2>{body}"
+    story = f"<div id=story>{inner}</div>" if n % 3 == 0 else f"<article>{inner}</article>"
+    return f"<html><body><div class='top'><p>Welcome to the site of all sites</p></div>{story}<p>same legal line on all pages</p></body></html>"
+
+
+def test_pages_without_a_mark_keep_their_text_on_mixed_hosts(spark):
+    rows = [(n, f"http://mixed.org/{n}", mixed_host(n)) for n in range(60)]
+    # Marked pages only in the sample; an old page has no wrapper then and keeps all that is no menu.
+    only = html_extraction.infer([html_extraction.stream(mixed_host(n)) for n in (1, 2, 4)])
+    assert "own text 3 0 with" in html_extraction.extract(mixed_host(3), only)
+    got = {r.page_id: r.text for r in html_extraction.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {n: "\n\n".join([f"Title {n}", *[f"own text {n} {i} with some more words" for i in range(n % 5 + 2)]]) for n in range(60)}
+
+
 def test_alignment_makes_optional_and_repeated_groups():
     first, second = (html_extraction.fold(html_extraction.stream(p)) for p in (
         "<div><h1>a</h1><ul><li>1</li><li>2</li><li>3</li></ul></div>", "<div><h1>b</h1><p>only here</p><ul><li>9</li></ul></div>"))
