@@ -39,23 +39,23 @@ CREDENTIAL = "(?i)(token|secret|passw|pwd|api_?key|access_?key|private_?key|auth
 # Fixed formats of well-known issuers.
 KNOWN = "^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{20,})$"
 MARKER = "[SECRET]"
-# The forest is fitted on this many labelled findings of each kind at most, the dictionary on this many documents; both by
-# smallest hash. Candidates of all documents are judged.
-FINDINGS, DICTIONARY_DOCS, DICTIONARY_COUNT = 4_000, 2_000, 5
+# The forest is fitted on this many labelled findings of each kind at most, by smallest hash. Candidates of all documents are
+# judged. The dictionary holds letter triples that are this share of those of all documents.
+FINDINGS, DICTIONARY_SHARE = 4_000, 2.3e-6
 TREES, DEPTH, THRESHOLD = 24, 6, 0.5
 LETTERS = 26
 FEATURES = ("length", "digits", "capitals", "hexadecimal", "distinct", "transitions", "coverage", "slashes", "assigned", "quoted",
             "named", "near_name", "near_words")
 
 
-def dictionary(docs: DataFrame, sample: int = DICTIONARY_DOCS) -> DataFrame:
-    """(code, n): letter triples of the words of a bounded sample of documents, 26 ** 3 rows at most."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t")).where("id is not null")
-    ids = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = rows.join(F.broadcast(ids), "id").select(F.lower("t").alias("t"))
-    words = texts.select(F.explode(F.regexp_extract_all("t", F.lit("[a-z]{3,}"), F.lit(0))).alias("w"))
-    triples = words.select(F.explode(triple_codes(F.col("w"))).alias("code"))
-    return triples.where("code is not null").groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") >= DICTIONARY_COUNT)
+def dictionary(docs: DataFrame, share: float = DICTIONARY_SHARE) -> DataFrame:
+    """(code, n): letter triples of the words of all documents that are this share of all triples and no single ones, 26 ** 3 rows at most."""
+    texts = docs.select(F.lower(F.col("text").cast("string")).alias("t"))
+    words = texts.select(F.explode(F.regexp_extract_all("t", F.lit("[a-z]{3,}"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+    triples = words.select(F.explode(triple_codes(F.col("w"))).alias("code"), "c")
+    counted = stored(triples.where("code is not null").groupBy("code").agg(F.sum("c").alias("n")), "triples")
+    total = counted.agg(F.sum("n").alias("total"))
+    return counted.join(F.broadcast(total), (F.col("n") > 1) & (F.col("n") >= share * F.col("total"))).select("code", "n")
 
 
 def triple_codes(word: Column) -> Column:

@@ -123,6 +123,20 @@ def test_candidates_behind_names_have_any_length(spark):
     assert got == {(1, "a"), (2, "x"), (3, "two words"), (5, "say"), (5, "ab12" * 5)}
 
 
+def test_dictionary_counts_all_documents(spark):
+    """More documents than any sample had; twice the same documents give the same triples."""
+    rows = [(i, "the and ing") for i in range(3000)] + [(3000 + i, "xyzzy") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def code(w):
+        return (ord(w[0]) - 97) * 676 + (ord(w[1]) - 97) * 26 + ord(w[2]) - 97
+
+    got = {r.code: r.n for r in secret_scans.dictionary(docs).collect()}
+    assert got == {**{code(w): 3000 for w in ("the", "and", "ing")}, **{code(w): 4 for w in ("xyz", "yzz", "zzy")}}
+    twice = {r.code: r.n for r in secret_scans.dictionary(docs.union(docs), share=1e-3).collect()}
+    assert twice == {code(w): 6000 for w in ("the", "and", "ing")}
+
+
 # --- 5 extraction
 
 def test_extraction_of_the_given_pages(spark):
