@@ -22,14 +22,16 @@ NAMED = (f"[A-Za-z0-9+/_-]++(?=[\"']?\\]?[ \\t]{{0,3}}[:=])(?<={_ENDING})[\"']?\
          "(?:(?i:bearer|basic|token) )?")
 # user: of user:password@host, in a url or alone; mail addresses are none.
 IN_URL = "[A-Za-z][A-Za-z0-9+-]*+://[^\\s/:\"'<>]*+:"
-IN_LOGIN = "(?<![^\\s\"'`(<=,])(?!(?i:mailto|e-?mail|mail|from|to|cc|bcc|contact|sips?|xmpp|acct):)[A-Za-z0-9._%+-]++:"
+IN_LOGIN = "(?<![^\\s\"'`(<=,])(?=[A-Za-z0-9._%+-]++:)(?!(?i:mailto|e-?mail|mail|from|to|cc|bcc|contact|sips?|xmpp|acct):)[A-Za-z0-9._%+-]++:"
 HOST = "(?=@[A-Za-z0-9\\[])"
 # The value behind a credential's name has any length and any signs, up to the closing quote or white space. A quoted
 # text of several words counts whole unless one of them is a candidate itself.
 _QUOTED = "|".join(f"{q}(?:(?:[^{q}\\\\\\s]++|\\\\\\S)++|(?![^{q}\\n]*{VALUE})[^{q}\\n]+)(?={q})" for q in "\"'")
 CREDENTIAL_VALUE = f"(?:{_QUOTED}|[\"'`]?[^\\s\"'`]+)"
 URL_VALUE = f"(?:[^\\s/\"'<>]+|(?![0-9]{{1,5}}/)[^\\s@\"'<>]+){HOST}"
-CANDIDATE = (f"(?<![A-Za-z0-9+/_-])(?:{IN_URL}{URL_VALUE}|{NAMED}{CREDENTIAL_VALUE}|{IN_LOGIN}[^\\s/\"'<>]+{HOST}|(?:{ASSIGNED})?{VALUE})")
+# Looked for first, as few words have it: the sign that a url's scheme and a credential's name are followed by.
+_SIGN = "(?=[A-Za-z0-9+/_-]++[\"']?\\]?[ \\t]{0,3}[:=])"
+CANDIDATE = (f"(?<![A-Za-z0-9+/_-])(?:{_SIGN}(?:{IN_URL}{URL_VALUE}|{NAMED}{CREDENTIAL_VALUE})|{IN_LOGIN}[^\\s/\"'<>]+{HOST}|(?:{ASSIGNED})?{VALUE})")
 # What stands before the value of a candidate.
 PREFIX = f"^(?:{IN_URL}(?=.)|{NAMED}[\"'`]?(?=.)|{ASSIGNED}(?={VALUE}$)|{IN_LOGIN}(?=.)|)"
 # Stands for a value that is filled in elsewhere.
