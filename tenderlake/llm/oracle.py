@@ -82,9 +82,55 @@ c AS (SELECT doc_id, min(other) AS component FROM reach GROUP BY 1)
 SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
 FROM s LEFT JOIN c USING (doc_id)"""
 
+# Rounds as a chain of the same steps: a<k> assigns the parts, c<k> holds the entries. The distance and the index in one number order both.
+_ASSIGNED = """
+a{k} AS MATERIALIZED (SELECT p.q, p.vec_id, p.label, any_value(p.x) AS x, min(CAST(list_dot_product(p.x, p.x) - 2 * list_dot_product(p.x, c.x) + list_dot_product(c.x, c.x) AS BIGINT) * 256 + c.e) AS near
+  FROM p JOIN c{k} c ON c.q = p.q GROUP BY p.q, p.vec_id, p.label),"""
+_MOVED = """
+m{k} AS (SELECT q, near % 256 AS e, i, floor(sum(x[i]) / count(*)) AS v FROM a{k}, range(1, {width}) r(i) WHERE i <= len(x) GROUP BY ALL),
+c{next} AS MATERIALIZED (SELECT c.q, c.e, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN (SELECT q, e, list(v ORDER BY i) AS x FROM m{k} GROUP BY ALL) m ON m.q = c.q AND m.e = c.e),"""
+
+VECTOR_CODES = f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, q, v[1 + q * len(v) // 4:(q + 1) * len(v) // 4] AS x FROM k, range(4) t(q)),
+s AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k QUALIFY e < 256),
+c0 AS MATERIALIZED (SELECT q, e, x FROM p JOIN s USING (vec_id)),
+{"".join(_ASSIGNED.format(k=k) + _MOVED.format(k=k, next=k + 1, width=4096) for k in range(4))}
+{_ASSIGNED.format(k=4)}
+d AS (SELECT vec_id, label, string_agg(format('{{:02x}}', near % 256), '' ORDER BY q) AS code, CAST(sum(near // 256) AS BIGINT) AS error FROM a4 GROUP BY vec_id, label),
+b AS (SELECT sha256(string_agg(CAST(CAST(x[i] AS BIGINT) AS VARCHAR), ',' ORDER BY q, e, i)) AS h FROM c4, range(1, 4096) r(i) WHERE i <= len(x))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT h FROM b) AS codebooks_sha256 FROM d"""
+
+# CRC-32 by bits: a number from 0 is a byte to add, -1 a shift.
+_CRC = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split({x}, ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda s, o: CASE WHEN o >= 0 THEN xor(s, o) WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END), 4294967295)"""
+
+CONVERSATION_TRIE = rf"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, CAST({_CRC.format(x="CAST(conv_id AS VARCHAR)")} AS BIGINT) % 4 AS h FROM t GROUP BY conv_id),
+r AS (SELECT c.conv_id, 0 AS own, pos, role, text FROM c JOIN t ON t.conv_id = c.base AND pos <= h
+  UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+l AS (SELECT conv_id, list(md5(length(role) || ':' || role || text) ORDER BY own, pos) AS marks,
+    list(len(list_filter(regexp_split_to_array(text, '[ 	-]+'), lambda x: x <> '')) ORDER BY own, pos) AS words FROM r GROUP BY conv_id),
+f AS (SELECT c.conv_id, coalesce(marks, []) AS marks, coalesce(words, []) AS words FROM c LEFT JOIN l USING (conv_id)),
+g AS (SELECT conv_id, d, len(marks) = d AS ends, array_to_string(marks[1:d], '') AS key, CASE WHEN d > 0 THEN words[d] ELSE 0 END AS words
+  FROM f, LATERAL (SELECT unnest(range(0, len(marks) + 1)) AS d)),
+n AS (SELECT key, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS ids FROM g GROUP BY key, d),
+k AS (SELECT n.*, up.conv_id AS parent_conv_id, (SELECT count(*) FROM n x WHERE x.d = n.d + 1 AND x.key[1:length(n.key)] = n.key) AS n_children
+  FROM n LEFT JOIN n up ON up.d = n.d - 1 AND up.key = n.key[1:length(n.key) - 32])
+SELECT k.conv_id, CAST(k.d AS BIGINT) AS depth, k.parent_conv_id, CAST(k.n_convs AS BIGINT) AS n_convs, CAST(k.n_children AS BIGINT) AS n_children,
+  CAST(count(*) FILTER (x.n_children = 0) AS BIGINT) AS n_leaves, CAST(sum((x.n_convs - 1) * x.words) AS BIGINT) AS saved_tokens, sha256(k.ids) AS ends_sha256
+FROM k JOIN k x ON x.d >= k.d AND x.key[1:length(k.key)] = k.key GROUP BY k.conv_id, k.d, k.parent_conv_id, k.n_convs, k.n_children, k.ids"""
+
 QUERIES = {
     "op2_decontamination": DECONTAMINATION,
     "op4_url_filters": URL_FILTERS,
     "op6_suffix_dedup": SUFFIX_DEDUP,
     "op10_minhash_dedup": NEAR_DUPLICATES,
+    "op11_vector_codes": VECTOR_CODES,
+    "op12_conversation_trie": CONVERSATION_TRIE,
 }

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.llm import (byte_bpe, decontamination, html_extraction, minhash_dedup, oracle, quality_rules, secret_scans, substring_dedup,
-                            suffix_dedup, toxicity, url_filters)
+from tenderlake.llm import (byte_bpe, conversation_trie, decontamination, html_extraction, minhash_dedup, oracle, quality_rules, secret_scans,
+                            sharding, substring_dedup, suffix_dedup, toxicity, url_filters, vector_codes)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,18 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.document_shards(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality,
@@ -82,6 +94,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": chunked,
         "op9_byte_bpe": encoded,
         "op10_minhash_dedup": near_duplicates,
+        "op11_vector_codes": codes,
+        "op12_conversation_trie": trie,
+        "op13_sharding": shards,
     }
 
 
