@@ -39,6 +39,16 @@ def json_map(c: Column | str) -> Column:
     return F.coalesce(F.from_json(_col(c), "map<string,string>", {"mode": "PERMISSIVE"}), empty)
 
 
+def json_value(c: Column | str) -> Column:
+    """A JSON text as a variant, which keeps nested objects and numbers; unreadable or missing text gives an empty object."""
+    return F.coalesce(F.try_parse_json(_col(c)), F.parse_json(F.lit("{}")))
+
+
+def json_path(c: Column | str, path: str, kind: str = "string") -> Column:
+    """The value at a path ($.a.b) of a variant as a type; NULL where it is missing or has another type."""
+    return F.try_variant_get(_col(c), path, kind)
+
+
 def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 

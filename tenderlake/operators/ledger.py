@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tenderlake.functions.dates import first_day, last_day, parse_iso
 from tenderlake.functions.keys import contains_text
 from tenderlake.functions.money import amount, amount_value, billions, exact_sum
-from tenderlake.operators.ranking import top_per_group
-from tenderlake.operators.search import LEDGER_PAGE_SIZES, allowed, any_contains, capped, page_with_next
+from tenderlake.operators.ranking import latest_per_group, top_per_group
+from tenderlake.operators.search import LEDGER_PAGE_SIZES, allowed, any_contains, capped, page_at_with_next
 
 DEFAULT_YEARS = (2022, 2023, 2024)
 SUMMARY_YEARS = (2020, 2021, 2022, 2023, 2024)
@@ -39,13 +39,14 @@ def newest_first(df: DataFrame) -> list[Column]:
 
 
 def ledger_page(ledger: DataFrame, q: str, page: int = 1, limit: int = 20) -> DataFrame:
-    """Search over payee, agency, contract and expense category, with look-ahead paging."""
+    """Search over payee, agency, contract and expense category, with look-ahead paging to any depth."""
     size = allowed(limit, LEDGER_PAGE_SIZES, 20)
     found = ledger.filter(any_contains(["payee_name", "agency", "contract_id", "expense_category"], q))
     rows = found.select(*[
         (amount_value(c) if c == "check_amount" else F.col(c)).alias(name) for c, name in PAGE_FIELDS.items()
     ])
-    return page_with_next(rows, newest_first(rows), page, size)
+    keys = [("issue_date", False), *[(c, True) for c in rows.columns if c != "issue_date"]]
+    return page_at_with_next(rows, keys, page, size)
 
 
 def search_transactions(ledger: DataFrame, q: str, limit: int = 50, years: Sequence[int] | None = None) -> DataFrame:
@@ -141,15 +142,18 @@ def latest_months(monthly: DataFrame, n: int = 12) -> DataFrame:
 def contract_profiles(ledger: DataFrame) -> DataFrame:
     """First and last payment, total and most frequent agency and payee per contract id.
 
-    One pass counts (contract, agency) and (contract, payee) groups, so no task holds a hot
-    contract's values; the mode is then the largest group, the smallest value on a tie.
+    The ledger is counted once by (contract, agency, payee). Both modes come from that: its groups are summed by agency and
+    by payee, so no task holds a hot contract's values; the mode is the largest group, the smallest value on a tie.
     """
     day, keys = parse_iso("issue_date"), ("contract_id", "agency", "payee_name")
+    counted = ledger.select(*keys, day.alias("_day"), amount("check_amount").alias("_amount")).groupBy(*keys).agg(
+        F.min("_day").alias("_first"), F.max("_day").alias("_last"), F.sum("_amount").alias("_amount"), F.count("*").alias("_n"),
+    )
     sets = [[F.col("contract_id"), F.col("agency")], [F.col("contract_id"), F.col("payee_name")]]
-    groups = ledger.select(*keys, day.alias("_day"), amount("check_amount").alias("_amount")).groupingSets(sets, *keys).agg(
+    groups = counted.groupingSets(sets, *keys).agg(
         F.grouping("payee_name").alias("_by_agency"),
-        F.min("_day").alias("_first"), F.max("_day").alias("_last"),
-        F.sum("_amount").alias("_amount"), F.count("*").alias("_n"),
+        F.min("_first").alias("_first"), F.max("_last").alias("_last"),
+        F.sum("_amount").alias("_amount"), F.sum("_n").alias("_n"),
     )
     by_agency = F.col("_by_agency") == 1
 
@@ -165,4 +169,5 @@ def contract_profiles(ledger: DataFrame) -> DataFrame:
 
 
 def latest_per_payee(ledger: DataFrame, n: int = 500) -> DataFrame:
-    return top_per_group(ledger, ["payee_name"], newest_first(ledger.drop("payee_name")), n)
+    """The latest payments of every payee, with their position."""
+    return latest_per_group(ledger, "payee_name", "issue_date", newest_first(ledger.drop("payee_name"))[1:], n)

@@ -26,8 +26,9 @@ from tenderlake.functions.keys import (
 from tenderlake.functions.money import amount, exact_sum
 from tenderlake.functions.text import truncated
 from tenderlake.operators.ledger import contract_profiles, newest_first
-from tenderlake.operators.ranking import first_per_key, last_per_key, top_per_group
+from tenderlake.operators.ranking import cut_days, first_per_key, last_per_key, ranked, since_cut, top_per_group
 from tenderlake.operators.search import filled
+from tenderlake.session import stored
 
 # Source tags and statuses of a merged contract list.
 REGISTER_ONLY = "MOCS"
@@ -37,6 +38,8 @@ LEDGER_STATUS = "Checkbook Only"
 
 GRAM = 8
 BUCKETS = 32
+# Lengths of the piece that a name is looked up by.
+PIECES = (8, 4, 2, 1)
 
 
 # The right side of every semi and anti join is distinct: a key that holds many of its rows is
@@ -185,33 +188,46 @@ def notices_by_segment(contracts: DataFrame, notices: DataFrame, key: Column | N
     return keyed.join(keys, "_segment").select("ctr_id", F.col("_segment").alias("link_key"), "notices")
 
 
+def masked(text: Column, mask: Column) -> Column:
+    """`text` with _ wherever `mask`, of the same length, has it."""
+    return F.array_join(F.zip_with(F.split(text, ""), F.split(mask, ""), lambda c, m: F.when(m == "_", m).otherwise(c)), "")
+
+
 def partial_links(notices: DataFrame, solicitations: DataFrame, length: int = GRAM) -> DataFrame:
     """Notices whose first 8 key characters occur in some solicitation key.
 
-    Only distinct pieces take part. They meet the exploded pieces of the solicitation keys, cut
-    to the lengths that occur; one holding % or _ meets them by its longest literal part and is
-    then checked as a pattern. The notices are read again only by a semi join on the piece.
+    Only distinct pieces take part, and the notices are read again only by a semi join on the piece. Plain pieces meet the
+    exploded pieces of the solicitation keys, cut to the lengths that occur. In a piece with _, which stands for any one
+    character, the places of _ are a mask: the few masks that occur are laid over the windows of the keys too, and masked
+    pieces and windows are joined as equals. Only a piece with %, which has no fixed length, meets the keys by its longest
+    literal part and is then checked as a pattern.
     """
     piece = F.substring(hyphenless_upper("PIN"), 1, length)
-    wanted = notices.select(piece.alias("_piece")).filter(F.col("_piece").isNotNull()).distinct().withColumn(
-        "_literal", F.when(F.col("_piece").rlike(WILDCARDS), longest_literal("_piece")).otherwise(F.col("_piece"))
-    )
-    wild = F.col("_piece") != F.col("_literal")
+    wanted = notices.select(piece.alias("_piece")).filter(F.col("_piece").isNotNull()).distinct()
     keys = solicitations.filter(F.col("normalized_epin").isNotNull()).select("normalized_epin").distinct()
-
-    def pieces(of: DataFrame) -> DataFrame:
-        return with_pieces(keys, "normalized_epin", lengths_of(of, "_literal"), "_literal")
-
-    plain, patterned = wanted.filter(~wild), wanted.filter(wild)
-    equal = plain.join(pieces(plain).select("_literal").distinct(), "_literal", "left_semi")
-    # A short literal part occurs in many keys: they are spread over buckets, and each of the
-    # few patterns asks every bucket.
-    w = patterned.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1)))).alias("w")
-    p = pieces(patterned).withColumn("_bucket", F.pmod(F.hash("normalized_epin"), F.lit(BUCKETS))).alias("p")
+    plain = wanted.filter(~F.col("_piece").rlike(WILDCARDS))
+    hidden = wanted.filter(F.col("_piece").contains("_") & ~F.col("_piece").contains("%")).withColumn(
+        "_mask", F.regexp_replace("_piece", "[^_]", "."))
+    open_ended = wanted.filter(F.col("_piece").contains("%")).withColumn("_literal", longest_literal("_piece"))
+
+    windows = with_pieces(keys, "normalized_epin", lengths_of(plain, "_piece"), "_piece").select("_piece").distinct()
+    equal = plain.join(windows, "_piece", "left_semi")
+
+    masks = hidden.agg(F.collect_set("_mask")).scalar()
+    windows = with_pieces(keys, "normalized_epin", lengths_of(hidden, "_piece"), "_window").select("_window").distinct()
+    laid = windows.withColumn("_mask", F.explode(masks)).filter(F.length("_mask") == F.length("_window")).select(
+        "_mask", masked(F.col("_window"), F.col("_mask")).alias("_piece")).distinct()
+    covered = hidden.join(laid.hint("merge"), ["_piece", "_mask"], "left_semi").select("_piece")
+
+    # A short literal part occurs in many keys: they are spread over buckets, and each of the few patterns asks every bucket.
+    w = open_ended.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1)))).alias("w")
+    p = with_pieces(keys, "normalized_epin", lengths_of(open_ended, "_literal"), "_literal").withColumn(
+        "_bucket", F.pmod(F.hash("normalized_epin"), F.lit(BUCKETS))).alias("p")
     pattern = F.concat(F.lit("%"), F.col("w._piece"), F.lit("%"))
     same = (F.col("w._literal") == F.col("p._literal")) & (F.col("w._bucket") == F.col("p._bucket"))
     patterns = w.join(p, same & like(F.col("p.normalized_epin"), pattern), "left_semi").select("_piece").distinct()
-    linked = equal.select("_piece").union(patterns)
+
+    linked = equal.select("_piece").union(covered).union(patterns)
     return notices.withColumn("_piece", piece).join(linked, "_piece", "left_semi").drop("_piece")
 
 
@@ -339,13 +355,13 @@ def reconcile_contracts(contracts: DataFrame, ledger: DataFrame, vendors: DataFr
         .join(names, "_vendor", "left_semi")
         .withColumn("_nid", compact_key("_raw"))
     )
-    # Every id once, with the side it occurs on (1 register, 2 ledger, 3 both): one shuffle
-    # serves all steps below.
-    ids = (
+    # Every id once, with the side it occurs on (1 register, 2 ledger, 3 both). The narrow tables of ids are written once:
+    # every step below reads them, and none goes back to the ledger.
+    paid = stored(paid, "paid-ids")
+    ids = stored(
         listed.filter(F.col("_nid") != "").select("_vendor", "_nid", F.lit(1).alias("_side"))
         .unionByName(paid.select("_vendor", "_nid", F.lit(2).alias("_side")))
-        .groupBy("_vendor", "_nid").agg(F.bit_or("_side").alias("_side"))
-    )
+        .groupBy("_vendor", "_nid").agg(F.bit_or("_side").alias("_side")), "contract-ids")
     exact = ids.filter("_side = 3").select("_vendor", "_nid")
     own = ids.filter("_side <> 2").select("_vendor", "_nid")
     open_ids = ids.filter("_side = 2").select("_vendor", "_nid")
@@ -360,9 +376,9 @@ def reconcile_contracts(contracts: DataFrame, ledger: DataFrame, vendors: DataFr
         .select("_vendor", "_nid", "_hit")
     )
     # Ids that fit nowhere stay with a NULL hit; both outcomes read this one aggregate.
-    resolved = inside.unionByName(around).unionByName(
+    resolved = stored(inside.unionByName(around).unionByName(
         open_ids.withColumn("_hit", F.lit(None).cast("string"))
-    ).groupBy("_vendor", "_nid").agg(F.min("_hit").alias("_hit"))
+    ).groupBy("_vendor", "_nid").agg(F.min("_hit").alias("_hit")), "resolved-ids")
 
     hits = exact.union(resolved.filter("_hit is not null").select("_vendor", "_hit")).distinct().withColumn(
         "_seen", F.lit(True)
@@ -375,8 +391,10 @@ def reconcile_contracts(contracts: DataFrame, ledger: DataFrame, vendors: DataFr
         "status",
         F.when(F.col("_seen"), F.lit(IN_BOTH)).otherwise(F.lit(REGISTER_ONLY)).alias("source"),
     )
+    # Only what is left over is profiled: other payments fall out before they are summed.
     left_over = paid.join(resolved.filter("_hit is null").select("_vendor", "_nid"), ["_vendor", "_nid"], "left_semi")
-    stats = contract_profiles(ledger).drop("main_payee_name")
+    wanted = left_over.select(F.col("_raw").alias("contract_id")).distinct()
+    stats = contract_profiles(ledger.join(wanted, "contract_id", "left_semi")).drop("main_payee_name")
     ledger_rows = left_over.join(stats, left_over["_raw"] == stats["contract_id"], "left").select(
         F.col("_raw").alias("ctr_id"), F.col("_raw").alias("contract_id"), F.col("_vendor").alias("vendor_name"),
         F.col("main_agency").alias("agency"), F.lit(None).cast("string").alias("agency_id"),
@@ -398,15 +416,22 @@ def fiscal_windows(contracts: DataFrame, current_fy: Column, fallback_years: int
     return contracts.withColumn("first_fy", first).withColumn("last_fy", last)
 
 
+def in_span(ledger: DataFrame, windows: DataFrame) -> DataFrame:
+    """The ledger's years from the first to the last year of all windows: a filter on the partition column, found at run time."""
+    span = windows.agg(F.min("first_fy").alias("a"), F.max("last_fy").alias("b"))
+    year = F.col("fiscal_year")
+    return ledger.filter((year >= span.select("a").scalar()) & (year <= span.select("b").scalar()))
+
+
 def contract_spending(contracts: DataFrame, ledger: DataFrame, current_fy: Column) -> DataFrame:
     """Payments per contract and fiscal year within its window, and over all of them.
 
-    The ledger is reduced to (contract, year) rows before the join.
+    Years that lie in no window are not read, and the ledger is reduced to (contract, year) rows before the join.
     """
     windows = fiscal_windows(contracts, current_fy).select(
         "ctr_id", hyphenless("contract_id").alias("_id"), "first_fy", "last_fy"
     )
-    paid = ledger.groupBy(F.col("contract_id").alias("_id"), "fiscal_year").agg(
+    paid = in_span(ledger, windows).groupBy(F.col("contract_id").alias("_id"), "fiscal_year").agg(
         F.sum(amount("check_amount")).alias("_amount"), F.count("*").alias("_n")
     )
     rows = windows.join(paid, "_id").filter(F.col("fiscal_year").between(F.col("first_fy"), F.col("last_fy")))
@@ -418,19 +443,18 @@ def contract_spending(contracts: DataFrame, ledger: DataFrame, current_fy: Colum
 def contract_transactions(contracts: DataFrame, ledger: DataFrame, current_fy: Column, n: int = 500) -> DataFrame:
     """Latest payments per contract.
 
-    The window becomes one row per (contract, year). The ledger is cut to `n` rows per contract
-    id and year on the same keys before the join, so a hot contract stays small. Payments of
-    other contracts fall out by a semi join before they are ranked.
+    The window becomes one row per (contract, year). Counts by day, from four columns of the ledger, tell from which day on
+    a contract's payments are among its latest; only such payments are joined whole, once, and ranked.
     """
-    years = fiscal_windows(contracts, current_fy).select(
-        "ctr_id", hyphenless("contract_id").alias("contract_id"),
-        F.explode(F.sequence("first_fy", "last_fy")).alias("fiscal_year"),
-    )
-    keys = ["contract_id", "fiscal_year"]
-    wanted = ledger.join(years.select(*keys).distinct(), keys, "left_semi")
-    latest = top_per_group(wanted, keys, newest_first(ledger.drop(*keys)), n).drop("rank")
-    rows = years.hint("merge").join(latest, keys)
-    return top_per_group(rows, ["ctr_id"], newest_first(rows.drop("ctr_id")), n)
+    windows = fiscal_windows(contracts, current_fy).select(
+        "ctr_id", hyphenless("contract_id").alias("contract_id"), "first_fy", "last_fy")
+    paid, keys = in_span(ledger, windows), ["contract_id", "fiscal_year"]
+    years = windows.select("ctr_id", "contract_id", F.explode(F.sequence("first_fy", "last_fy")).alias("fiscal_year"))
+    days = paid.groupBy(*keys, "issue_date").agg(F.count("*").alias("_n"))
+    per_contract = years.hint("merge").join(days, keys).groupBy("ctr_id", "issue_date").agg(F.sum("_n").alias("_n"))
+    cuts = cut_days(per_contract, ["ctr_id"], "issue_date", n)
+    rows = years.join(cuts, "ctr_id").hint("merge").join(paid, keys).filter(since_cut("issue_date")).drop("_cut")
+    return ranked(rows, ["ctr_id"], newest_first(rows.drop("ctr_id")), n)
 
 
 def contract_metadata(contracts: DataFrame, records: DataFrame, current_fy: Column) -> DataFrame:
@@ -456,31 +480,33 @@ def contract_metadata(contracts: DataFrame, records: DataFrame, current_fy: Colu
 def names_containing(wanted: DataFrame, payees: DataFrame) -> DataFrame:
     """Pairs (name, payee) where the payee contains the name, % and _ in the name being wildcards.
 
-    Every name looks for its rarest 8-character piece only. Names without such a piece look for
-    their whole longest literal part among the shorter pieces. What the pieces let through is
-    checked as a pattern.
+    Every name looks for one piece of its longest literal part: the rarest among the payees, of the largest length in
+    PIECES that fits. So a name of few letters meets the payees that hold its rarest letters, not all pieces of all payees.
+    What the pieces let through is checked as a pattern.
     """
     names = wanted.select("name").distinct().withColumn("_text", longest_literal("name"))
+    size = F.lit(0)
+    for n in sorted(PIECES):
+        size = F.when(F.length("_text") >= n, F.lit(n)).otherwise(size)
+    names = names.withColumn("_size", size)
     texts = payees.select("payee_name").filter(F.col("payee_name").isNotNull()).distinct()
-    eight = F.array(F.lit(GRAM))
-    payee_grams = with_pieces(texts, "payee_name", eight, "_gram").select("payee_name", "_gram")
-    frequency = payee_grams.groupBy("_gram").agg(F.count("*").alias("_count"))
+    sizes = names.agg(F.collect_set("_size")).scalar()
+    grams = with_pieces(texts, "payee_name", sizes, "_gram").select("payee_name", "_gram").distinct()
+    frequency = grams.groupBy("_gram").agg(F.count("*").alias("_count"))
     rarest = (
-        with_pieces(names.filter(F.length("_text") >= GRAM), "_text", eight, "_gram").select("name", "_gram")
+        with_pieces(names, "_text", F.array("_size"), "_gram").select("name", "_gram")
         .join(frequency, "_gram", "left")
         .groupBy("name")
         .agg(F.min(F.struct(F.coalesce("_count", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_r"))
         .filter(F.col("_r.n") > 0)
         .select("name", F.col("_r.gram").alias("_gram"))
     )
-    short_names = names.filter(F.length("_text") < GRAM).select("name", F.col("_text").alias("_gram"))
-    short_pieces = with_pieces(texts, "payee_name", lengths_of(short_names, "_gram"), "_gram").select("payee_name", "_gram")
-    # A name of few letters meets very many payees: they are spread over buckets, and each short name asks every bucket.
-    asked = short_names.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))))
-    spread = short_pieces.withColumn("_bucket", F.pmod(F.hash("payee_name"), F.lit(BUCKETS)))
-    short_found = asked.join(spread, ["_gram", "_bucket"]).select("_gram", "name", "payee_name")
+    # A short piece stands in very many payees: they are spread over buckets, and the names that ask for it ask every bucket.
+    short = F.length("_gram") < GRAM
+    asked = rarest.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.when(short, F.lit(BUCKETS - 1)).otherwise(F.lit(0)))))
+    spread = grams.hint("merge").withColumn("_bucket", F.when(short, F.pmod(F.hash("payee_name"), F.lit(BUCKETS))).otherwise(F.lit(0)))
     pattern = F.concat(F.lit("%"), F.col("name"), F.lit("%"))
-    found = rarest.join(payee_grams, "_gram").unionByName(short_found)
+    found = asked.join(spread, ["_gram", "_bucket"])
     return found.filter(like("payee_name", pattern)).select("name", "payee_name").distinct()
 
 
@@ -508,7 +534,8 @@ def vendor_payees(vendors: DataFrame, payees: DataFrame) -> DataFrame:
 def vendor_transactions(vendors: DataFrame, ledger: DataFrame, payees: DataFrame, n: int = 500) -> DataFrame:
     """Latest payments of every vendor, by the best tier of its name.
 
-    `payees` has one row per payee. Only payments of the vendors' payees are ranked.
+    `payees` has one row per payee. Counts by payee and day tell from which day on a vendor's payments are among its
+    latest; only such payments are joined whole, once, and ranked.
     """
     names = vendors.select("name").distinct()
     exact = names.join(payees, names["name"] == payees["payee_name"], "left_semi").select(
@@ -516,11 +543,13 @@ def vendor_transactions(vendors: DataFrame, ledger: DataFrame, payees: DataFrame
     )
     rest = names.join(payees.select(F.col("payee_name").alias("name")), "name", "left_anti")
     pairs = exact.unionByName(names_containing(rest, payees))
-    # n per payee first: what a vendor shows is among them, and a hot payee shrinks before the join.
-    own = ledger.join(pairs.select("payee_name").distinct(), "payee_name", "left_semi")
-    latest = top_per_group(own, ["payee_name"], newest_first(ledger.drop("payee_name")), n).drop("rank")
-    rows = pairs.withColumnRenamed("name", "vendor_name").join(latest, "payee_name")
-    return top_per_group(rows, ["vendor_name"], newest_first(rows.drop("vendor_name")), n)
+    days = ledger.groupBy("payee_name", "issue_date").agg(F.count("*").alias("_n"))
+    named = pairs.withColumnRenamed("name", "vendor_name")
+    per_vendor = named.join(days, "payee_name").groupBy("vendor_name", "issue_date").agg(F.sum("_n").alias("_n"))
+    cuts = cut_days(per_vendor, ["vendor_name"], "issue_date", n)
+    rows = named.join(cuts, "vendor_name").join(ledger, "payee_name").filter(since_cut("issue_date")).drop("_cut")
+    rows = rows.select("vendor_name", *ledger.columns)
+    return ranked(rows, ["vendor_name"], newest_first(rows.select("payee_name", *[c for c in ledger.columns if c != "payee_name"])), n)
 
 
 def award_years(vendors: DataFrame, records: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from tenderlake.operators.search import (
     certification,
     equals,
     matches_any,
+    page_at,
     page_rows,
     sort_order,
     with_totals,
@@ -76,8 +77,9 @@ def contracts_page(contracts: DataFrame, solicitations: DataFrame, q: str | None
     ]))
     if connected == "solicitations":
         found = contracts_with_solicitation(found, solicitations)
-    by = [parse_any("start_date").desc_nulls_last(), F.col("ctr_id")]
-    return with_totals(page_rows(found, by, page, LIST_SIZE), found, LIST_SIZE)
+    dated = found.withColumn("_day", parse_any("start_date"))
+    shown = page_at(dated, [("_day", False), ("ctr_id", True)], page, LIST_SIZE).drop("_day")
+    return with_totals(shown, found, LIST_SIZE)
 
 
 def solicitations_page(solicitations: DataFrame, contracts: DataFrame, q: str | None = None, status: str | None = None,
@@ -90,8 +92,9 @@ def solicitations_page(solicitations: DataFrame, contracts: DataFrame, q: str |
     ]))
     if connected == "contracts":
         found = solicitations_with_contract(found, contracts)
-    by = [parse_any("release_date").desc_nulls_last(), F.col("epin")]
-    return with_totals(page_rows(found, by, page, LIST_SIZE), found, LIST_SIZE)
+    dated = found.withColumn("_day", parse_any("release_date"))
+    shown = page_at(dated, [("_day", False), ("epin", True)], page, LIST_SIZE).drop("_day")
+    return with_totals(shown, found, LIST_SIZE)
 
 
 def _digital_contracts(contracts: DataFrame, digital: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tenderlake.functions.dates import parse_any
 from tenderlake.functions.keys import comparable_name
 from tenderlake.functions.money import amount, exact_sum
-from tenderlake.functions.text import json_map
+from tenderlake.functions.text import json_path, json_value
 from tenderlake.operators.linkage import lookup
 from tenderlake.operators.ranking import first_per_key, top_per_group
 from tenderlake.operators.search import filled
@@ -76,8 +76,14 @@ def vendor_people(vendors: DataFrame, matched: DataFrame, people: DataFrame) ->
 
 
 def registry_details(matches: DataFrame) -> DataFrame:
-    """Registry matches with their JSON parsed; unreadable JSON gives no details."""
-    return matches.withColumn("details", json_map("raw_data"))
+    """Registry matches with their JSON parsed into a variant; unreadable JSON gives no details."""
+    return matches.withColumn("details", json_value("raw_data"))
+
+
+def registry_fields(matches: DataFrame, fields: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """Typed columns out of the registry's JSON: name to (path, type)."""
+    details = registry_details(matches)
+    return details.select("passport_vendor_id", *[json_path("details", path, kind).alias(name) for name, (path, kind) in fields.items()])
 
 
 def vendor_children(vendors: DataFrame, children: Mapping[str, DataFrame]) -> DataFrame:
@@ -116,7 +122,7 @@ def vendor_profile(vendors: DataFrame, contracts: DataFrame, matched: DataFrame,
     out = _attach(out, "passport_supplier_id", counted, "passport_supplier_id", {"people": F.coalesce("_n", F.lit(0))})
     one = first_per_key(summary, "vendor_name", [F.col("city"), F.col("revenue")], keep_null=False)
     out = _attach(out, "name", one, "vendor_name", {"city": F.col("city"), "revenue": F.col("revenue")})
-    details = registry_details(registry).select("passport_vendor_id", F.try_element_at("details", F.lit("company_number")).alias("_no"))
+    details = registry_details(registry).select("passport_vendor_id", json_path("details", "$.company_number").alias("_no"))
     out = _attach(out, "passport_supplier_id", details, "passport_vendor_id", {"company_number": F.col("_no")})
     tech = tech_row(vendors, digital)
     return _attach(out, "passport_supplier_id", tech, "passport_supplier_id", {"tech_class": F.col("tech_class")})

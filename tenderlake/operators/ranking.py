@@ -22,10 +22,43 @@ def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column],
         part = F.pmod(F.xxhash64(*df.columns), F.lit(PARTS))
         inner = Window.partitionBy(*groups, "_part").orderBy(*order)
         df = df.withColumn("_part", part).withColumn(rank, F.row_number().over(inner)).filter(F.col(rank) <= n).drop("_part", rank)
+    return ranked(df, groups, order, n, rank)
+
+
+def ranked(df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
+    """First `n` rows of every group, with their position, in one shuffle."""
     w = Window.partitionBy(*groups).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 
 
+def cut_days(days: DataFrame, groups: Sequence[str], day: str, n: int, count: str = "_n") -> DataFrame:
+    """Per group, as _cut: the day of its n-th latest row; NULL where that day is NULL or the group has fewer rows.
+
+    `days` has the number of rows of every group and day, so a group of any size is a few narrow rows.
+    """
+    w = Window.partitionBy(*groups).orderBy(F.col(day).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.sum(count).over(w)
+    reached = days.withColumn("_upto", upto).withColumn("_cut", F.when((F.col("_upto") >= n) & (F.col("_upto") - F.col(count) < n), F.col(day)))
+    return reached.groupBy(*groups).agg(F.max("_cut").alias("_cut"))
+
+
+def since_cut(day: str) -> Column:
+    """Rows that can be among the latest of their group: from its _cut on, all of a group without one."""
+    return F.col("_cut").isNull() | (F.col(day) >= F.col("_cut"))
+
+
+def latest_per_group(df: DataFrame, group: str, day: str, ties: Sequence[Column], n: int) -> DataFrame:
+    """The `n` latest rows of every group, ties in the order of `ties`, with their position.
+
+    Two columns are counted first. Groups of more than `n` rows then lose what is older than their n-th latest day before
+    any row is shuffled whole.
+    """
+    days = df.groupBy(group, day).agg(F.count("*").alias("_n"))
+    cuts = cut_days(days, [group], day, n).filter(F.col("_cut").isNotNull()).withColumnRenamed(group, "_group")
+    rows = df.join(cuts, F.col(group).eqNullSafe(F.col("_group")), "left").filter(since_cut(day)).drop("_group", "_cut")
+    return ranked(rows, [group], [F.col(day).desc_nulls_last(), *ties], n)
+
+
 def first_per_key(df: DataFrame, key: str, order: Sequence[Column], keep_null: bool = True) -> DataFrame:
     """Keyed insert where the first row wins.
 

@@ -620,6 +620,47 @@ SELECT fiscal_year, count(*) AS tx_count, CAST(sum(amt) AS DOUBLE) AS total, cou
   count(DISTINCT payee_name) AS payees FROM ledger GROUP BY 1""",
     "ledger_stream_monthly": """
 SELECT substr(issue_date, 1, 7) AS month, CAST(sum(amt) AS DOUBLE) AS total, count(*) AS tx_count FROM ledger GROUP BY 1""",
+    "ledger_deep_page": """
+WITH f AS (SELECT issue_date, agency AS agency_name, payee_name AS vendor_name, contract_id, expense_category,
+    CAST(amt AS DOUBLE) AS check_amount, fiscal_year, industry, spending_category, department, budget_code, sub_vendor, associated_prime_vendor FROM ledger)
+SELECT *, (SELECT count(*) FROM f) > 40100 AS has_next FROM f
+ORDER BY issue_date DESC, agency_name, vendor_name, contract_id, expense_category, check_amount NULLS FIRST, fiscal_year,
+  industry, spending_category, department, budget_code, sub_vendor, associated_prime_vendor LIMIT 100 OFFSET 40000""",
+    "amount_labels": """
+SELECT 'Program ' || split_part(program, '_', 2) AS program_label,
+  format('{:.1f}%', 100.0::DOUBLE * CAST(sum(award) AS DOUBLE) / (SELECT CAST(sum(award) AS DOUBLE) FROM contracts)) AS share_text,
+  format('${:.1f}M', CAST(sum(award) AS DOUBLE) / 1e6) AS millions_text, strftime(max(start_day), '%m/%d/%Y') AS last_text FROM contracts GROUP BY program""",
+    "key_containment": """
+SELECT ctr_id, contains(normalized_epin, agency_id) OR contains(agency_id, normalized_epin) AS contained FROM contracts WHERE normalized_epin IS NOT NULL""",
+    "entity_last_vendor": """
+SELECT entity_id, CASE WHEN matched_vendor_id IS NULL THEN NULL
+  WHEN CAST(matched_vendor_id AS BIGINT) % 5 = 0 THEN matched_vendor_id || '-2' ELSE matched_vendor_id END AS matched_vendor_id FROM matched""",
+    "registry_numbers": """
+SELECT CAST(c_custkey AS VARCHAR) AS passport_vendor_id, CASE WHEN c_custkey % 7 <> 0 THEN c_name END AS registered_name,
+  CASE WHEN c_custkey % 7 <> 0 THEN c_custkey END AS company_number, CAST(CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 50 + 1970 END AS INTEGER) AS filed_year,
+  CAST(NULL AS INTEGER) AS missing FROM customer""",
+    "vendor_category_page": f"""
+WITH f AS (SELECT * FROM vendors WHERE business_category = 'BUILDING')
+SELECT f.*, s.total AS total_awarded, coalesce(s.n, 0) AS contract_count, EXISTS (SELECT 1 FROM matched m WHERE m.matched_vendor_id = passport_supplier_id) AS in_entities,
+  (SELECT count(*) FROM f) AS total_rows, CAST(ceil((SELECT count(*) FROM f) / 50.0) AS BIGINT) AS total_pages
+FROM (SELECT * FROM f ORDER BY name, passport_supplier_id LIMIT 50 OFFSET 50) f LEFT JOIN {VENDOR_STATS} s ON s.vendor_name = f.name""",
+    "expiring_today": """
+SELECT contract_id, ctr_id, end_date, d.classification, count(*) OVER () AS total_rows
+FROM contracts c JOIN tech d ON c.vendor_name = d.vendor_name
+WHERE end_day >= current_date AND year(end_day) < 2030 AND award_amount > 0 ORDER BY end_day, ctr_id LIMIT 10""",
+    "ledger_stream_broken_batch": """
+SELECT fiscal_year, count(*) AS tx_count, CAST(sum(amt) AS DOUBLE) AS total, count(DISTINCT payee_name) AS payees FROM ledger GROUP BY 1""",
+    "ledger_stream_folded_months": """
+SELECT substr(issue_date, 1, 7) AS month, CAST(sum(amt) AS DOUBLE) AS total, count(*) AS tx_count FROM ledger GROUP BY 1""",
+    "paged_delta_ingest": """
+SELECT fiscal_year, count(*) AS tx_count, CAST(sum(amt) AS DOUBLE) AS total FROM ledger GROUP BY 1""",
+    "landing_xml": """
+SELECT CAST(fiscal_year AS VARCHAR) AS fiscal_year, count(*) AS tx_count, CAST(sum(amt) AS DOUBLE) AS total FROM ledger GROUP BY 1""",
+    "ledger_source_choice": """
+SELECT fiscal_year, count(*) AS tx_count, CASE WHEN fiscal_year % 2 = 0 THEN 'local' ELSE 'remote' END AS source FROM ledger GROUP BY 1""",
+    "post_files": r"""
+SELECT CAST(page_id AS VARCHAR) AS slug, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), E' \t\r\n') AS title,
+  strftime(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER), '%Y-%m-%d') AS date, '' AS author FROM pages""",
 }
 
 # One vendor's merged contracts are its rows of the merged contracts of all.

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import glob
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.functions.dates import fiscal_year, parse_mdy, strip_midnight
+from tenderlake.functions.dates import fiscal_year, iso_to_mdy_text, parse_mdy, strip_midnight
 from tenderlake.functions.keys import compact_key, contained_either_way, hyphenless, leading_segment, normalized_key
-from tenderlake.functions.money import clean_money, count_text, currency_text, exact_sum
+from tenderlake.functions.money import clean_money, count_text, currency_text, exact_sum, millions_text, percent, percent_text
 from tenderlake.functions.text import excerpt, fy_label, key_label, or_default, plain_text, truncated
 from tenderlake.operators import ledger as led
 from tenderlake.operators import linkage, pages, profiles, quality, rollups
@@ -18,7 +20,7 @@ from tenderlake.operators.search import numeric_sort_key, rows_after
 from tenderlake.plans import tools
 from tenderlake.plans.views import Views, customer_name
 from tenderlake.session import scratch_path
-from tenderlake.sources import exports, feeds, landing, ledger as ledger_files, posts, progress
+from tenderlake.sources import exports, feeds, landing, ledger as ledger_files, paged, posts, progress
 from tenderlake.streaming import ledger_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -272,6 +274,119 @@ def ledger_stream_monthly(spark: SparkSession, folder: str) -> DataFrame:
     return ledger_stream.read_monthly(spark, rollup)
 
 
+def ledger_stream_broken_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """A batch whose write breaks after half of the fiscal years, and the run that repeats it."""
+    target, checkpoint, drop = (scratch_path(spark, f"broken-{x}") for x in ("ledger", "state", "landing"))
+    columns = ["payee_name", "check_amount", "fiscal_year", "issue_date", "contract_id"]
+    ledger_files.write_csv(Views(spark, folder).ledger().select(*columns), drop)
+
+    def half(batch: DataFrame, root: str, name: str) -> None:
+        ledger_stream.write_batch(batch.filter(F.col("fiscal_year") % 2 == 0), root, name)
+        raise OSError("the write broke half way")
+
+    schema = feeds.text_schema(columns)
+    try:
+        ledger_stream.ingest(spark, drop, target, checkpoint, schema=schema, write=half)
+    except StreamingQueryException:
+        ledger_stream.ingest(spark, drop, target, checkpoint, schema=schema)
+    return ledger_files.read_ledger(spark, target).groupBy("fiscal_year").agg(
+        F.count("*").alias("tx_count"), exact_sum("check_amount").alias("total"), F.countDistinct("payee_name").alias("payees"))
+
+
+def ledger_stream_folded_months(spark: SparkSession, folder: str) -> DataFrame:
+    """Monthly totals over a batch for each landed file, three batches folded into one."""
+    rollup, checkpoint, drop = (scratch_path(spark, f"fold-{x}") for x in ("months", "state", "landing"))
+    columns = ["check_amount", "fiscal_year", "issue_date"]
+    ledger_files.write_csv(Views(spark, folder).ledger().select(*columns).repartition(8), drop)
+    ledger_stream.maintain_monthly(
+        spark, drop, rollup, checkpoint, schema=feeds.text_schema(columns), fold=3, files_per_trigger=1)
+    return ledger_stream.read_monthly(spark, rollup)
+
+
+def paged_delta_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger from an interface of pages: half of its rows, a restart, and what was added meanwhile."""
+    root, target, checkpoint = (scratch_path(spark, f"paged-{x}") for x in ("files", "ledger", "state"))
+    columns = ["payee_name", "check_amount", "fiscal_year", "issue_date"]
+    rows = Views(spark, folder).ledger().select(*[F.col(c).cast("string").alias(c) for c in columns])
+    local = root.removeprefix("file://").removeprefix("file:")
+    source = paged.paged_source(
+        "ledger_pages", feeds.text_schema(columns), *paged.parquet_pages(lambda: sorted(glob.glob(f"{local}/drop=*/*.parquet"))))
+    for part in (0, 1):
+        rows.filter(F.col("fiscal_year") % 2 == part).write.parquet(f"{root}/drop={part}")
+        ledger_stream.ingest_stream(paged.stream_pages(spark, source), target, checkpoint)
+    return ledger_files.read_ledger(spark, target).groupBy("fiscal_year").agg(
+        F.count("*").alias("tx_count"), exact_sum("check_amount").alias("total"))
+
+
+def landing_xml(spark: SparkSession, folder: str) -> DataFrame:
+    """Ledger rows landed as XML."""
+    path, columns = scratch_path(spark, "landing-xml"), ["payee_name", "check_amount", "fiscal_year"]
+    rows = Views(spark, folder).ledger().select(*[F.col(c).cast("string").alias(c) for c in columns])
+    rows.write.format("xml").option("rowTag", landing.ROW_TAG).option("rootTag", "transactions").save(path)
+    back = landing.read_landing(spark, path, "xml", feeds.text_schema(columns))
+    return back.groupBy("fiscal_year").agg(F.count("*").alias("tx_count"), exact_sum("check_amount").alias("total"))
+
+
+def ledger_source_choice(spark: SparkSession, folder: str) -> DataFrame:
+    """Two ledgers, even and odd years, each read because the session's settings name it."""
+    rows, found = Views(spark, folder).ledger().select("payee_name", "check_amount", "fiscal_year"), []
+    prefix = "spark.tenderlake.ledger"
+    for k, kind in enumerate(("local", "remote")):
+        root = scratch_path(spark, f"{kind}-ledger")
+        ledger_files.write_ledger(rows.filter(F.col("fiscal_year") % 2 == k), root)
+        spark.conf.set(f"{prefix}.{kind}", root)
+    for kind, remote in (("local", "false"), ("remote", "true")):
+        spark.conf.set(f"{prefix}.useRemote", remote)
+        found.append(ledger_files.configured_ledger(spark).groupBy("fiscal_year").agg(
+            F.count("*").alias("tx_count")).withColumn("source", F.lit(kind)))
+    for name in ("local", "remote", "useRemote"):
+        spark.conf.unset(f"{prefix}.{name}")
+    return found[0].unionByName(found[1])
+
+
+def post_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Posts written to a folder each and read as whole files."""
+    path = scratch_path(spark, "posts")
+    _raw_posts(Views(spark, folder)).write.partitionBy("slug").text(path)
+    return posts.parse_posts(posts.read_post_files(spark, path)).select("slug", "title", "date", "author")
+
+
+def amount_labels(v: Views) -> DataFrame:
+    """Awards by program: share and millions as text, with the day of the last one."""
+    totals = v.contracts().groupBy("program").agg(
+        exact_sum("award_amount").alias("total"), F.max(parse_mdy("start_date")).cast("string").alias("last_day"))
+    whole = v.contracts().agg(exact_sum("award_amount")).scalar()
+    return totals.select(
+        key_label("program").alias("program_label"), percent_text(percent("total", whole)).alias("share_text"),
+        millions_text("total").alias("millions_text"), iso_to_mdy_text("last_day").alias("last_text"))
+
+
+def entity_last_vendor(v: Views) -> DataFrame:
+    """Every fifth vendor registered twice under one name: entities match the last registration."""
+    k, again = F.col("passport_supplier_id").cast("long"), F.concat("passport_supplier_id", F.lit("-2"))
+    vendors = v.vendors().select("passport_supplier_id", "name")
+    twice = vendors.unionByName(vendors.filter(k % 5 == 0).withColumn("passport_supplier_id", again))
+    return linkage.match_entities(v.entities(), twice).select("entity_id", "matched_vendor_id")
+
+
+def key_containment(v: Views) -> DataFrame:
+    """Whether the contract key and the agency number hold one another."""
+    return v.contracts().filter(F.col("normalized_epin").isNotNull()).select(
+        "ctr_id", contained_either_way("normalized_epin", "agency_id").alias("contained"))
+
+
+def registry_numbers(v: Views) -> DataFrame:
+    """Nested numbers of registry JSON by typed paths; every seventh text is broken."""
+    k = F.col("c_custkey")
+    text = F.to_json(F.struct(
+        F.col("c_name").alias("name"), F.struct(k.alias("number"), F.struct((k % 50 + 1970).alias("year")).alias("filed")).alias("company")))
+    matches = v.table("customer").select(
+        k.cast("string").alias("passport_vendor_id"), F.when(k % 7 == 0, F.concat(F.lit("{"), text)).otherwise(text).alias("raw_data"))
+    return profiles.registry_fields(matches, {
+        "registered_name": ("$.name", "string"), "company_number": ("$.company.number", "bigint"), "filed_year": ("$.company.filed.year", "int"),
+        "missing": ("$.company.closed", "int")})
+
+
 def _matched(v: Views) -> DataFrame:
     return linkage.match_entities(v.entities(), v.vendors())
 
@@ -405,6 +520,7 @@ VIEW_QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "ledger_contract_profiles": lambda v: led.contract_profiles(
         v.ledger()),
     "ledger_search": lambda v: led.ledger_page(v.ledger(), "econ", 2, 100),
+    "ledger_deep_page": lambda v: led.ledger_page(v.ledger(), "", 401, 100),
     "ledger_recent_search": lambda v: led.search_transactions(v.ledger(), "corp", 500, led.DEFAULT_YEARS),
     "vendor_ledger_by_year": lambda v: led.payee_by_year(
         v.ledger()),
@@ -423,6 +539,14 @@ VIEW_QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "post_excerpts": post_excerpts,
     "posts_newest": posts_newest,
     "display_labels": display_labels,
+    "amount_labels": amount_labels,
+    "key_containment": key_containment,
+    "entity_last_vendor": entity_last_vendor,
+    "registry_numbers": registry_numbers,
+    "vendor_category_page": lambda v: pages.vendors_page(
+        v.vendors(), v.contracts(), _matched(v), v.digital(), category="BUILDING", categories=("BUILDING", "MACHINERY"), page=2),
+    "expiring_today": lambda v: pages.expiring_page(v.contracts(), v.digital()).select(
+        "contract_id", "ctr_id", "end_date", "classification", "total_rows"),
 }
 
 FILE_QUERIES: dict[str, Query] = {
@@ -444,6 +568,12 @@ FILE_QUERIES: dict[str, Query] = {
     "freshness_rollup": freshness_rollup,
     "ledger_stream_ingest": ledger_stream_ingest,
     "ledger_stream_monthly": ledger_stream_monthly,
+    "ledger_stream_broken_batch": ledger_stream_broken_batch,
+    "ledger_stream_folded_months": ledger_stream_folded_months,
+    "paged_delta_ingest": paged_delta_ingest,
+    "landing_xml": landing_xml,
+    "ledger_source_choice": ledger_source_choice,
+    "post_files": post_files,
 }
 
 

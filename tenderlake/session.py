@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime re-planning does the size checks: joins turn to broadcast only below the threshold
 # measured after the shuffle, hot partitions are split, small ones merged.
@@ -54,3 +54,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         root = _LOCAL.setdefault(app, "") or tempfile.mkdtemp(prefix="tenderlake-")
         _LOCAL[app] = root
     return f"{root.rstrip('/')}/tenderlake/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a step into the shared scratch folder and read it back: computed once, and safe from lost executors."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

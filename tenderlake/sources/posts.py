@@ -9,10 +9,11 @@ from tenderlake.functions.text import excerpt, front_matter, front_value, plain_
 
 
 def read_post_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file; the file name without its ending is the slug."""
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    """One row per file; its slug is the file name without its ending, or the folder's where files lie in folders slug=..."""
+    file = F.col("_metadata.file_path")
+    folder, name = F.regexp_extract(file, r"/slug=([^/]+)/[^/]*$", 1), F.element_at(F.split(file, "/"), -1)
     return spark.read.text(path, wholetext=True).select(
-        F.regexp_replace(name, r"\.md$", "").alias("slug"), F.col("value").alias("raw")
+        F.coalesce(F.nullif(folder, F.lit("")), F.regexp_replace(name, r"\.md$", "")).alias("slug"), F.col("value").alias("raw")
     )
 
 

@@ -1,4 +1,4 @@
-"""New ledger rows from a landing folder into the partitioned ledger and its monthly rollup.
+"""New ledger rows from a stream into the partitioned ledger and its monthly rollup.
 
 The checkpoint plays the part of the progress file: a run takes what is new and ends; a failed
 batch leaves the state as it was and is repeated.
@@ -7,6 +7,7 @@ batch leaves the state as it was and is repeated.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,27 +17,35 @@ from tenderlake.sources.landing import stream_landing
 from tenderlake.sources.ledger import SCHEMA, with_fiscal_year, write_ledger
 
 NO_YEAR = 0
+# Batches of the monthly rollup that are folded into one.
+FOLD = 16
+
+
+def write_batch(batch: DataFrame, target: str, name: str) -> None:
+    """The rows of a batch into its own folders of the ledger; a repeated batch replaces them."""
+    write_ledger(batch, target, "overwrite", name)
 
 
 def ingest(spark: SparkSession, landing: str, target: str, checkpoint: str, fmt: str = "csv",
-           schema=SCHEMA, timeout: int | None = None) -> bool:
-    """Append all new rows to the ledger, by the fiscal year of the row.
+           schema=SCHEMA, timeout: int | None = None, write: Callable[[DataFrame, str, str], None] = write_batch) -> bool:
+    """Append all new rows of a landing folder to the ledger, by the fiscal year of the row."""
+    return ingest_stream(stream_landing(spark, landing, fmt, schema), target, checkpoint, timeout, write)
+
 
-    A batch is written beside the ledger and its files are then moved into the year folders under names that begin
-    with query and batch. A repeated batch first removes the files of its name, so nothing is counted twice, and
-    the ledger stays a plain tree that bulk loads may append to as well.
+def ingest_stream(rows: DataFrame, target: str, checkpoint: str, timeout: int | None = None,
+                  write: Callable[[DataFrame, str, str], None] = write_batch) -> bool:
+    """Append all new rows of a stream to the ledger, by the fiscal year of the row.
+
+    Every batch has folders of its own, (fiscal year, batch), which Spark replaces as a whole. A batch that broke half way
+    is repeated under the same name, so nothing is counted twice; bulk loads share the ledger under a batch of theirs.
     """
-    rows = with_fiscal_year(stream_landing(spark, landing, fmt, schema))
+    spark = rows.sparkSession
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        prefix = f"{_query_id(spark, checkpoint)}-{batch_id:06d}-"
-        # Readers skip names that begin with an underscore; the same file system lets files be moved.
-        staged = f"{target.rstrip('/')}/_staged/{prefix}"
-        write_ledger(batch, staged, "overwrite")
-        _move_files(spark, staged, target, prefix)
+    def each(batch: DataFrame, batch_id: int) -> None:
+        write(batch, target, f"{_query_id(spark, checkpoint)}-{batch_id:06d}")
 
     query = (
-        rows.withColumn("fiscal_year", F.coalesce("fiscal_year", F.lit(NO_YEAR))).writeStream.foreachBatch(write)
+        with_fiscal_year(rows).withColumn("fiscal_year", F.coalesce("fiscal_year", F.lit(NO_YEAR))).writeStream.foreachBatch(each)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     return _finish(query, timeout)
@@ -47,46 +56,77 @@ def _query_id(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
 
 
-def _move_files(spark: SparkSession, staged: str, target: str, prefix: str) -> None:
-    """Move the part files of partition folders, after removing those of an earlier try with the same prefix."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    goal = path(target)
-    files = goal.getFileSystem(spark._jsc.hadoopConfiguration())
-    for old in files.globStatus(path(goal, f"*=*/{prefix}*")) or []:
-        files.delete(old.getPath(), False)
-    for part in files.globStatus(path(f"{staged}/*=*/part-*")) or []:
-        folder = path(goal, part.getPath().getParent().getName())
-        files.mkdirs(folder)
-        if not files.rename(part.getPath(), path(folder, prefix + part.getPath().getName())):
-            raise OSError(f"cannot move {part.getPath()} to {folder}")
-    files.delete(path(staged), True)
-
-
 def maintain_monthly(spark: SparkSession, landing: str, rollup: str, checkpoint: str, fmt: str = "csv",
-                     schema=SCHEMA, timeout: int | None = None) -> bool:
+                     schema=SCHEMA, timeout: int | None = None, fold: int = FOLD, files_per_trigger: int | None = 1000) -> bool:
     """Keep monthly totals current.
 
     Every batch writes its own few month rows under its query and batch number. A repeated batch
-    overwrites them, so nothing is counted twice, and no state has to be kept. Another
-    checkpoint is another query and adds its own batches.
+    overwrites them, so nothing is counted twice, and no state has to be kept. Every `fold` batches
+    become one, so the number of files stays bounded. Another checkpoint is another query and adds its own batches.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        folder = f"{rollup.rstrip('/')}/query={_query_id(spark, checkpoint)}"
         batch.groupBy(F.substring("issue_date", 1, 7).alias("month")).agg(
             F.sum(amount("check_amount")).alias("amount"), F.count("*").alias("tx_count")
-        ).write.mode("overwrite").parquet(f"{rollup}/query={_query_id(spark, checkpoint)}/batch={batch_id}")
+        ).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        if (batch_id + 1) % fold == 0:
+            fold_months(spark, folder, batch_id)
 
     query = (
-        stream_landing(spark, landing, fmt, schema).writeStream.foreachBatch(write)
+        stream_landing(spark, landing, fmt, schema, files_per_trigger).writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     return _finish(query, timeout)
 
 
+def _entries(spark: SparkSession, folder: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(e.getPath().getName() for e in files.listStatus(path)) if files.exists(path) else []
+
+
+def _parts(spark: SparkSession, folder: str) -> tuple[int, dict[int, str]]:
+    """Number of the last fold of a query (-1: none) and, by number, the finished folders that count: that fold and later batches."""
+    found = {"batch": {}, "upto": {}}
+    for name in _entries(spark, folder):
+        kind, _, number = name.partition("=")
+        if kind in found and "_SUCCESS" in _entries(spark, f"{folder}/{name}"):
+            found[kind][int(number)] = f"{folder}/{name}"
+    last = max(found["upto"], default=-1)
+    counted = {n: p for n, p in found["batch"].items() if n > last}
+    return last, counted | ({last: found["upto"][last]} if last >= 0 else {})
+
+
+def fold_months(spark: SparkSession, folder: str, upto: int) -> None:
+    """One row per month of all batches up to a number, in place of their folders.
+
+    The folded folder counts from the moment it is finished, and then stands for all it holds: a crash before, a crash between
+    that and the removal of the old folders, and a repeated batch change no total.
+    """
+    last, counted = _parts(spark, folder)
+    old = {n: p for n, p in counted.items() if n <= upto}
+    if last < upto and old:
+        spark.read.schema(_MONTHS).parquet(*old.values()).groupBy("month").agg(
+            F.sum("amount").cast("decimal(28,2)").alias("amount"), F.sum("tx_count").alias("tx_count")
+        ).coalesce(1).write.mode("overwrite").parquet(f"{folder}/upto={upto}")
+        last = upto
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in _entries(spark, folder):
+        kind, _, number = name.partition("=")
+        if kind == "batch" and int(number) <= last or kind == "upto" and int(number) < last:
+            files.delete(path(f"{folder}/{name}"), True)
+
+
+_MONTHS = "month string, amount decimal(28,2), tx_count bigint"
+
+
 def read_monthly(spark: SparkSession, rollup: str) -> DataFrame:
-    return spark.read.parquet(rollup).groupBy("month").agg(
-        F.sum("amount").cast("double").alias("total"), F.sum("tx_count").alias("tx_count")
-    )
+    folders = [f"{rollup.rstrip('/')}/{name}" for name in _entries(spark, rollup) if name.startswith("query=")]
+    paths = [p for folder in folders for p in _parts(spark, folder)[1].values()]
+    months = spark.read.schema(_MONTHS).parquet(*paths) if paths else spark.createDataFrame([], _MONTHS)
+    return months.groupBy("month").agg(F.sum("amount").cast("double").alias("total"), F.sum("tx_count").alias("tx_count"))
 
 
 def _finish(query, timeout: int | None) -> bool:

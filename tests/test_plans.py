@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tenderlake.operators import linkage, pages, rollups
 from tenderlake.operators import ledger as led
+from tenderlake.operators.ranking import top_per_group
 from tenderlake.plans import registry
 
 
@@ -49,10 +50,49 @@ def test_groups_are_limited_before_the_shuffle(views):
 
 
 def test_long_lists_are_ranked_in_parts_first(views):
-    text = plan(led.latest_per_payee(views.ledger()))
+    text = plan(top_per_group(views.ledger(), ["payee_name"], [F.col("issue_date")], 500))
     assert text.count("row_number()") >= 2 and "_part" in text
 
 
+def test_latest_rows_are_cut_by_counts_and_shuffled_whole_once(views):
+    text = plan(led.latest_per_payee(views.ledger()))
+    assert "ReadSchema: struct<issue_date:string,payee_name:string>" in text
+    assert len([x for x in text.split("\n") if "Exchange hashpartitioning(payee_name" in x and "Broadcast" not in x]) <= 4
+    before = text[text.index("Window [row_number()"):]
+    assert "_cut" in before and "_part" not in text
+
+
+def test_contract_spending_reads_only_the_years_of_its_windows(views):
+    text = plan(linkage.contract_spending(views.contracts(), views.ledger(), F.lit(2026)))
+    assert "PartitionFilters: [isnotnull(fiscal_year" in text and "Subquery" in text[text.index("PartitionFilters: [isnotnull(fiscal_year"):]
+
+
+def test_contract_profiles_expand_groups_only(views):
+    text = plan(led.contract_profiles(views.ledger()))
+    assert "Expand" in text and "Exchange" in text[text.index("Expand"):]
+
+
+def test_masked_pieces_are_equi_joins(views):
+    text = plan(linkage.partial_links(views.notices(), views.solicitations()))
+    assert "_mask" in text and "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_reconcile_goes_to_the_ledger_for_ids_and_what_is_left_over(views):
+    text = plan(linkage.reconcile_contracts(views.contracts(), views.ledger(), views.vendors()))
+    assert text.count("FileScan") < 15
+
+
+def test_stored_columns_spare_the_footers(spark, views, tmp_path):
+    from tenderlake.sources import ledger
+
+    root = str(tmp_path / "ledger")
+    ledger.write_ledger(views.ledger().limit(10), root)
+    assert ledger._stored_schema(spark, root).names[-2:] == ["fiscal_year", "batch"]
+    more = views.ledger().limit(10).withColumn("extra", F.lit("x"))
+    ledger.write_ledger(more, root)
+    assert ledger.read_ledger(spark, root).where("extra is null").count() == 10
+
+
 def test_pages_are_top_k(views):
     text = plan(views.contracts().orderBy("ctr_id").offset(50).limit(50))
     assert "TakeOrderedAndProject" in text

@@ -54,12 +54,13 @@ def test_bulk_and_stream_share_a_ledger(spark, tmp_path):
 
 def test_repeated_batch_replaces_its_files(spark, tmp_path):
     target = str(tmp_path / "ledger")
-    one = spark.createDataFrame([("a", "1", 2024)], "payee_name string, check_amount string, fiscal_year int")
+    one = spark.createDataFrame([("a", "1", 2024), ("b", "2", 2025)], "payee_name string, check_amount string, fiscal_year int")
+    ledger_stream.write_batch(one.filter("fiscal_year = 2024"), target, "q-000000")
     for _ in range(2):
-        staged = f"{target}/_staged/q-000000-"
-        ledger.write_ledger(one, staged, "overwrite")
-        ledger_stream._move_files(spark, staged, target, "q-000000-")
-    assert ledger.read_ledger(spark, target).count() == 1
+        ledger_stream.write_batch(one, target, "q-000000")
+    ledger_stream.write_batch(one, target, "q-000001")
+    assert ledger.read_ledger(spark, target).columns == ["payee_name", "check_amount", "fiscal_year"]
+    assert rows(ledger.read_ledger(spark, target).groupBy("fiscal_year").count()) == [(2024, 2), (2025, 2)]
 
 
 def test_months_of_two_checkpoints_add_up(spark, tmp_path):

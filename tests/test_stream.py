@@ -47,4 +47,4 @@ def test_xml_pages_stream(spark, tmp_path):
     page = "<r><transaction><payee_name>a</payee_name><check_amount>1</check_amount><issue_date>2024-01-05</issue_date></transaction></r>"
     (tmp_path / "landing" / "p1.xml").write_text(page)
     assert ledger_stream.ingest(spark, landing, target, state, fmt="xml", schema=SCHEMA, timeout=120)
-    assert rows(spark.read.parquet(target)) == [("a", "1", "2024-01-05", 2024)]
+    assert rows(ledger.read_ledger(spark, target)) == [("a", "1", "2024-01-05", 2024)]
