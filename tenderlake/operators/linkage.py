@@ -443,17 +443,21 @@ def contract_spending(contracts: DataFrame, ledger: DataFrame, current_fy: Colum
 def contract_transactions(contracts: DataFrame, ledger: DataFrame, current_fy: Column, n: int = 500) -> DataFrame:
     """Latest payments per contract.
 
-    The window becomes one row per (contract, year). Counts by day, from four columns of the ledger, tell from which day on
-    a contract's payments are among its latest; only such payments are joined whole, once, and ranked.
+    The window becomes one row per (contract, year). For contracts of more than `n` payments counts by day, from narrow
+    columns of the ledger, tell from which day on they are among the latest. Whole rows are joined once and ranked once.
     """
     windows = fiscal_windows(contracts, current_fy).select(
         "ctr_id", hyphenless("contract_id").alias("contract_id"), "first_fy", "last_fy")
     paid, keys = in_span(ledger, windows), ["contract_id", "fiscal_year"]
-    years = windows.select("ctr_id", "contract_id", F.explode(F.sequence("first_fy", "last_fy")).alias("fiscal_year"))
-    days = paid.groupBy(*keys, "issue_date").agg(F.count("*").alias("_n"))
-    per_contract = years.hint("merge").join(days, keys).groupBy("ctr_id", "issue_date").agg(F.sum("_n").alias("_n"))
-    cuts = cut_days(per_contract, ["ctr_id"], "issue_date", n)
-    rows = years.join(cuts, "ctr_id").hint("merge").join(paid, keys).filter(since_cut("issue_date")).drop("_cut")
+    busy = paid.groupBy("contract_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > n).select("contract_id")
+
+    def years(of: DataFrame) -> DataFrame:
+        return of.withColumn("fiscal_year", F.explode(F.sequence("first_fy", "last_fy"))).drop("first_fy", "last_fy")
+
+    large = years(windows.join(busy, "contract_id", "left_semi"))
+    days = large.join(paid.select(*keys, "issue_date"), keys).groupBy("ctr_id", "issue_date").agg(F.count("*").alias("_n"))
+    cut = years(windows.join(cut_days(days, ["ctr_id"], "issue_date", n), "ctr_id", "left"))
+    rows = cut.hint("merge").join(paid, keys).filter(since_cut("issue_date")).drop("_cut")
     return ranked(rows, ["ctr_id"], newest_first(rows.drop("ctr_id")), n)
 
 
@@ -534,21 +538,21 @@ def vendor_payees(vendors: DataFrame, payees: DataFrame) -> DataFrame:
 def vendor_transactions(vendors: DataFrame, ledger: DataFrame, payees: DataFrame, n: int = 500) -> DataFrame:
     """Latest payments of every vendor, by the best tier of its name.
 
-    `payees` has one row per payee. Counts by payee and day tell from which day on a vendor's payments are among its
-    latest; only such payments are joined whole, once, and ranked.
+    `payees` has one row per payee (`payee_totals`). For vendors of more than `n` payments counts by day tell from which day
+    on they are among the latest. Whole rows are joined once and ranked once.
     """
     names = vendors.select("name").distinct()
     exact = names.join(payees, names["name"] == payees["payee_name"], "left_semi").select(
         "name", F.col("name").alias("payee_name")
     )
     rest = names.join(payees.select(F.col("payee_name").alias("name")), "name", "left_anti")
-    pairs = exact.unionByName(names_containing(rest, payees))
-    days = ledger.groupBy("payee_name", "issue_date").agg(F.count("*").alias("_n"))
+    pairs = stored(exact.unionByName(names_containing(rest, payees)), "vendor-payees")
     named = pairs.withColumnRenamed("name", "vendor_name")
-    per_vendor = named.join(days, "payee_name").groupBy("vendor_name", "issue_date").agg(F.sum("_n").alias("_n"))
-    cuts = cut_days(per_vendor, ["vendor_name"], "issue_date", n)
-    rows = named.join(cuts, "vendor_name").join(ledger, "payee_name").filter(since_cut("issue_date")).drop("_cut")
-    rows = rows.select("vendor_name", *ledger.columns)
+    counts = named.join(payees.select("payee_name", "tx_count"), "payee_name").groupBy("vendor_name").agg(F.sum("tx_count").alias("_n"))
+    large = named.join(counts.filter(F.col("_n") > n).select("vendor_name"), "vendor_name", "left_semi")
+    days = large.join(ledger.select("payee_name", "issue_date"), "payee_name").groupBy("vendor_name", "issue_date").agg(F.count("*").alias("_n"))
+    cut = named.join(cut_days(days, ["vendor_name"], "issue_date", n), "vendor_name", "left")
+    rows = cut.join(ledger, "payee_name").filter(since_cut("issue_date")).select("vendor_name", *ledger.columns)
     return ranked(rows, ["vendor_name"], newest_first(rows.select("payee_name", *[c for c in ledger.columns if c != "payee_name"])), n)
 
 

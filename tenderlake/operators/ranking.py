@@ -50,12 +50,12 @@ def since_cut(day: str) -> Column:
 def latest_per_group(df: DataFrame, group: str, day: str, ties: Sequence[Column], n: int) -> DataFrame:
     """The `n` latest rows of every group, ties in the order of `ties`, with their position.
 
-    Two columns are counted first. Groups of more than `n` rows then lose what is older than their n-th latest day before
-    any row is shuffled whole.
+    Rows are counted by group first. Days are counted for groups of more than `n` rows only, and such groups lose what is
+    older than their n-th latest day before they are ranked. The join and the ranking share one shuffle of whole rows.
     """
-    days = df.groupBy(group, day).agg(F.count("*").alias("_n"))
-    cuts = cut_days(days, [group], day, n).filter(F.col("_cut").isNotNull()).withColumnRenamed(group, "_group")
-    rows = df.join(cuts, F.col(group).eqNullSafe(F.col("_group")), "left").filter(since_cut(day)).drop("_group", "_cut")
+    large = df.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") > n).select(group)
+    days = df.select(group, day).join(large, group, "left_semi").groupBy(group, day).agg(F.count("*").alias("_n"))
+    rows = df.join(cut_days(days, [group], day, n), group, "left").filter(since_cut(day)).select(*df.columns)
     return ranked(rows, [group], [F.col(day).desc_nulls_last(), *ties], n)
 
 
