@@ -19,6 +19,10 @@ PIECE_CHARS = 1 << 16
 # Between a word character and a space or line feed: no match of the pattern reaches over this place, and
 # none looks back, so both sides split as the whole does.
 _SAFE = re.compile(r"(?<=\w)(?=[ \n])")
+# White space as the pattern's \s knows it. A long run of it is more than the library's pattern matcher can hold: all
+# but its last sign are one match (all of it at the end of a text), which needs no matching.
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_WHITE = re.compile(f"[{_WHITE}]{{1000,}}")
 
 ENCODED = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()),
@@ -58,9 +62,17 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
 
 def encode_text(encoder, text: str, size: int = PIECE_CHARS) -> np.ndarray:
     """The ids of a whole text as unsigned 32-bit integers."""
-    if len(text) <= size:
-        return np.asarray(encoder.encode_to_numpy(text, disallowed_special=()), "<u4")
-    return np.concatenate([np.asarray(encoder.encode_to_numpy(p, disallowed_special=()), "<u4") for p in pieces(text, size)])
+    out, at = [], 0
+    for run in _LONG_WHITE.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += _encoded(encoder, text[at:run.start()], size)
+        out.append(np.asarray(encoder._encode_single_piece(text[run.start():end]), "<u4"))
+        at = end
+    return np.concatenate(out + _encoded(encoder, text[at:], size))
+
+
+def _encoded(encoder, text: str, size: int) -> list[np.ndarray]:
+    return [np.asarray(encoder.encode_to_numpy(p, disallowed_special=()), "<u4") for p in pieces(text, size)]
 
 
 def _mapped(docs: DataFrame, ranks: bytes, pattern: str, schema: T.StructType, finish) -> DataFrame:
