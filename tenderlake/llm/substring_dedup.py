@@ -15,6 +15,9 @@ from tenderlake.llm.common import text_bytes
 # A boundary needs MASK_BITS zero bits: a chunk has MINIMUM bytes and then 2 ** MASK_BITS on average, MAXIMUM at most. A
 # repeated passage of 50 words (some 300 bytes) so holds several whole chunks whatever stands before it.
 MINIMUM, MASK_BITS, MAXIMUM = 24, 5, 512
+# A run of repeated chunks goes from this many bytes on, or if it is the whole text: single chunks are stock phrases that
+# independent texts share. A passage of over 50 words keeps a longer run whatever stands around it.
+RUN = 128
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype="u8").astype("u4")
 
 
@@ -99,12 +102,23 @@ def repeated_chunks(docs: DataFrame, **sizes: int) -> DataFrame:
     return found.join(first, ["hi", "lo"]).where("doc_id > first").select("doc_id", "start", "n", "hi", "lo")
 
 
-def substring_dedup(docs: DataFrame, **sizes: int) -> DataFrame:
+def runs(spans: list[tuple[int, int]], size: int, shortest: int) -> list[tuple[int, int]]:
+    """Maximal runs (start, n) of spans that touch or overlap, of `shortest` bytes or the whole text."""
+    out: list[list[int]] = []
+    for start, n in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], start + n)
+        else:
+            out.append([start, start + n])
+    return [(a, b - a) for a, b in out if b - a >= min(shortest, size)]
+
+
+def substring_dedup(docs: DataFrame, run_bytes: int = RUN, **sizes: int) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), text (what is left), duplicated (n_removed > 0).
 
-    A chunk goes when a document with a smaller doc_id has it too, the first document keeps it. A last chunk of less than
-    `minimum` bytes goes with the chunk before it, a shorter text as a whole (see `compared`): exact copies lose all
-    their bytes. Chunks end on any byte, so a removed run is widened to whole code points first. A null text stays null and has no bytes; rows without
+    A chunk is repeated when a document with a smaller doc_id has it too, and runs of repeated chunks go from `run_bytes` bytes
+    on; the first document keeps them. A last chunk of less than `minimum` bytes goes with the chunk before it, a shorter
+    text as a whole (see `compared`): exact copies lose all their bytes. Chunks end on any byte, so a removed run is widened to whole code points first. A null text stays null and has no bytes; rows without
     a doc_id are left as they are; repeated rows of a doc_id
     are one document, each is returned and loses the chunks that it has itself. Extra columns are
     not read. An empty table gives an empty table.
@@ -116,7 +130,7 @@ def substring_dedup(docs: DataFrame, **sizes: int) -> DataFrame:
         for batch in batches:
             ids, spans = batch.column(0), batch.column(batch.schema.get_field_index("gone")).to_pylist()
             raws = text_bytes(batch, "text")
-            out = [cut(raw or b"", own(raw or b"", found or ())) for raw, found in zip(raws, spans)]
+            out = [cut(raw or b"", runs(own(raw or b"", found or ()), len(raw or b""), run_bytes)) for raw, found in zip(raws, spans)]
             texts = [None if raw is None else kept for raw, (kept, _, _) in zip(raws, out)]
             size = [len(raw or b"") for raw in raws]
             yield pa.RecordBatch.from_arrays(

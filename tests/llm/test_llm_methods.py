@@ -273,24 +273,45 @@ def test_chunks_resist_shifts():
     assert ends[-1] == 5000 and np.diff(np.append(0, ends)).max() <= substring_dedup.MAXIMUM
 
 
+def _removed_runs(raw, found, shortest):
+    """Bytes of `found` in maximal runs of at least `shortest` bytes, or of the whole text."""
+    gone, at = set(), 0
+    while at < len(raw):
+        end = at
+        while end in found:
+            end += 1
+        if end > at and (end - at >= shortest or end - at == len(raw)):
+            gone |= set(range(at, end))
+        at = end + 1
+    return gone
+
+
 def test_chunk_dedup_equals_brute_force(spark):
     docs = texts(spark)
     first = {}
     for d in sorted(docs):
         raw = docs[d].encode()
-        ends = substring_dedup.boundaries(raw).tolist()
-        for a, b in zip([0, *ends], ends):
-            if b - a >= substring_dedup.MINIMUM:
-                first.setdefault(raw[a:b], d)
+        for a, b in substring_dedup.compared(raw):
+            first.setdefault(raw[a:b], d)
     df = spark.read.parquet(f"{SMALL}/documents.parquet")
     for r in substring_dedup.substring_dedup(df).collect():
         raw = docs[r.doc_id].encode()
-        ends = substring_dedup.boundaries(raw).tolist()
-        gone = [(a, b - a) for a, b in zip([0, *ends], ends) if b - a >= substring_dedup.MINIMUM and first[raw[a:b]] < r.doc_id]
+        found = set().union(*(range(a, b) for a, b in substring_dedup.compared(raw) if first[raw[a:b]] < r.doc_id), set())
+        gone = [(i, 1) for i in sorted(_removed_runs(raw, found, substring_dedup.RUN))]
         kept, removed, spans = substring_dedup.cut(raw, gone)
         assert (r.text, r.n_removed, r.n_spans, r.duplicated) == (kept.decode(), removed, spans, removed > 0)
 
 
+def test_single_shared_chunks_stay(spark):
+    """Texts that share a stock phrase keep it; a shared passage goes but for the ends that its chunks do not fill."""
+    rng = random.Random(31)
+    some = lambda n: "".join(rng.choice("abcdefghij klmno.") for _ in range(n))
+    phrase, passage = some(100), some(320)
+    rows = [(i, some(900) + phrase + some(900)) for i in range(20)] + [(100 + i, some(700) + passage + some(700)) for i in range(20)]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == 0 for i in range(20)) and got[100] == 0 and all(got[100 + i] >= 128 for i in range(1, 20))
+
+
 def test_every_byte_is_compared(spark):
     """Exact copies lose all their bytes, also short texts and short last chunks; only whole spans are removed."""
     rng = random.Random(9)
@@ -307,7 +328,7 @@ def test_every_byte_is_compared(spark):
     for d in sorted(docs):
         raw = docs[d].encode()
         spans = substring_dedup.compared(raw)
-        gone = set().union(*(range(a, b) for a, b in spans if raw[a:b] in seen))
+        gone = _removed_runs(raw, set().union(*(range(a, b) for a, b in spans if raw[a:b] in seen), set()), substring_dedup.RUN)
         seen |= {raw[a:b] for a, b in spans}
         want[d] = bytes(c for i, c in enumerate(raw) if i not in gone).decode()
     got = {r.doc_id: r for r in substring_dedup.substring_dedup(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
@@ -340,6 +361,21 @@ def test_pieces_encode_as_the_whole(spark):
         assert encoder.decode_bytes(whole) == text.encode()
 
 
+@pytest.mark.parametrize("white", [" ", "\t ", "\n", " \u3000\u2003", "\r\n  "])
+def test_long_white_space_encodes_as_the_pattern_says(white):
+    encoder = byte_bpe.encoding(*queries.tokenizer())
+    for before, after in (("word", "next"), ("", "x"), ("a", ""), ("'s", "\x1c"), ("", "")):
+        text = before + white * 900 + after + white * 1100 + "12" + white * 3 + after
+        assert byte_bpe.encode_text(encoder, text).tolist() == encoder.encode_ordinary(text), (before, after)
+
+
+def test_very_long_white_space():
+    encoder = byte_bpe.encoding(*queries.tokenizer())
+    for text in (" " * 10_000_000, "a" + "\t " * 1_000_000 + "b"):
+        ids = byte_bpe.encode_text(encoder, text)
+        assert encoder.decode_bytes(ids.tolist()) == text.encode() and len(ids) <= len(text)
+
+
 def test_digests(spark):
     ranks, pattern = queries.tokenizer()
     encoder = byte_bpe.encoding(ranks, pattern)
