@@ -62,9 +62,11 @@ def dictionary(docs: DataFrame, share: float = DICTIONARY_SHARE) -> DataFrame:
 
 def triple_codes(word: Column) -> Column:
     """Codes of the letter triples of an ASCII word, null where a triple holds anything else."""
-    codes = F.transform(F.split(F.lower(word), ""), lambda c: F.when(c.between("a", "z"), F.ascii(c) - 97))
-    return F.transform(F.slice(codes, 1, F.greatest(F.size(codes) - 2, F.lit(0))), lambda a, i: (
-        a * LETTERS * LETTERS + F.get(codes, i + 1) * LETTERS + F.get(codes, i + 2)))
+    letters = F.transform(F.split(F.lower(word), ""), lambda c: F.when(c.between("a", "z"), F.ascii(c) - 97))
+    # A lambda over a list of one gives the letters a name, so that they are listed once and not for every triple.
+    return F.get(F.transform(F.array(letters), lambda codes: F.transform(
+        F.slice(codes, 1, F.greatest(F.size(codes) - 2, F.lit(0))), lambda a, i: (
+            a * LETTERS * LETTERS + F.get(codes, i + 1) * LETTERS + F.get(codes, i + 2)))), F.lit(0))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -160,7 +162,10 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
     known = every
     if findings is not None:
         given = findings.groupBy("value").agg(F.max("label").alias("label"))
-        known = every.drop("label").join(F.broadcast(given.orderBy("value").limit(2 * FINDINGS)), "value")
+        # Each label's share in the order of hashes: an order of the texts would take one kind of them.
+        given = reduce(DataFrame.unionByName, [
+            given.where(F.col("label") == k).orderBy(F.xxhash64("value"), "value").limit(FINDINGS) for k in (0, 1)])
+        known = every.drop("label").join(F.broadcast(given), "value")
     model = fit(known)
     if model is None:
         judged = every.withColumn("probability", F.coalesce("label", F.lit(0)).cast("double"))
@@ -177,7 +182,7 @@ def _with_places(docs: DataFrame, findings: DataFrame | None, threshold: float)
     verdicts = scan(docs, findings, threshold).groupBy("doc_id", "text_key").agg(
         F.countDistinct("place").alias("n_candidates"), F.collect_set(F.when(F.col("secret"), F.col("place"))).alias("places"))
     verdicts = verdicts.select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key"), "n_candidates", "places")
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    whole = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     whole = whole.withColumn("key", F.xxhash64("text"))
     # One plan at every size: the findings grow with the documents.
     return whole.join(verdicts.hint("merge"), F.col("id").eqNullSafe(F.col("found_id")) & F.col("key").eqNullSafe(F.col("found_key")), "left")
@@ -185,10 +190,12 @@ def _with_places(docs: DataFrame, findings: DataFrame | None, threshold: float)
 
 def _marked(text: Column, places: Column) -> Column:
     """The text with the values at the given places replaced by the marker; names before them stay."""
-    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    parts = F.transform(F.split(text, CANDIDATE), lambda part, i: F.concat(part, F.coalesce(
-        F.when(F.array_contains(places, i), F.concat(_prefix(F.get(found, i)), F.lit(MARKER)))
-        .otherwise(F.get(found, i)), F.lit(""))))
+    # Candidates and places are named once: the lambda over the parts would look for them again at every part.
+    both = F.array(F.struct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("found"), F.map_from_arrays(
+        places, F.transform(places, lambda _: F.lit(True))).alias("secret")))
+    parts = F.get(F.transform(both, lambda b: F.transform(F.split(text, CANDIDATE), lambda part, i: F.concat(part, F.coalesce(
+        F.when(F.try_element_at(b["secret"], i), F.concat(_prefix(F.get(b["found"], i)), F.lit(MARKER)))
+        .otherwise(F.get(b["found"], i)), F.lit(""))))), F.lit(0))
     return F.when(F.size(places) > 0, F.array_join(parts, "")).otherwise(text)
 
 
@@ -207,5 +214,5 @@ def redacted(docs: DataFrame, findings: DataFrame | None = None, threshold: floa
 def redact(docs: DataFrame, findings: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with all rows and columns, and the secrets in `text` replaced by a marker."""
     joined = _with_places(docs, findings, threshold)
-    columns = [F.col(f"doc.`{c}`") if c != "text" else _marked(F.col("text"), F.col("places")).alias("text") for c in docs.columns]
+    columns = [F.col("doc").getField(c).alias(c) if c != "text" else _marked(F.col("text"), F.col("places")).alias("text") for c in docs.columns]
     return joined.select(*columns)
