@@ -17,6 +17,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -242,8 +243,10 @@ def near_duplicates(docs: DataFrame, k: int = K, words: int = WORDS, percent: in
 def keep(docs: DataFrame, **options: int) -> DataFrame:
     """`docs` with one document of each group of near-duplicates, that of the smallest doc_id, and one row of it."""
     gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    named = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"))
+    named = docs.where("doc_id is not null").select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"))
     left = named.join(gone, F.col("id") == F.col("gone"), "left_anti")
-    # Rows that repeat a doc_id: the first by the order of their columns.
-    first = left.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("doc"))).where("n = 1").select("doc.*")
+    # Rows that repeat a doc_id: the first by the order of their columns, of what has no order as JSON.
+    order = [F.to_json(F.struct(F.col("doc").getField(f.name).alias("x"))) if re.search("map<|variant", f.dataType.simpleString())
+             else F.col("doc").getField(f.name) for f in docs.schema.fields]
+    first = left.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where("n = 1").select("doc.*")
     return first.unionByName(docs.where("doc_id is null"))

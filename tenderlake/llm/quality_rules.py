@@ -60,7 +60,7 @@ def repeat_words(words: Column, n: Column, windows: Column) -> Column:
 
 def _measured(docs: DataFrame) -> DataFrame:
     """`docs` as a struct column doc, with words (array) and the base measures."""
-    text = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # Not deterministic for the optimizer: a filter on the measures stays above the lists and does not build them anew
     # for every element that it looks at.
     once = F.monotonically_increasing_id() >= 0

@@ -81,8 +81,9 @@ def test_decontaminate_documents_and_spans(spark):
     assert texts[7] == LONG and texts[3] is None
 
 
-def test_windows_of_a_large_benchmark_are_shuffled(spark, monkeypatch):
-    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
+def test_a_full_hash_set_lets_the_join_decide(spark, monkeypatch):
+    table = decontamination.hash_set
+    monkeypatch.setattr(decontamination, "hash_set", lambda items, n: table(items, n, 64))
     got = decontamination.contamination(documents(spark), items(spark))
     assert {r.doc_id for r in got.where("n_hit > 0").collect()} == {1, 2, None, 6, 11, 12}
 
@@ -203,3 +204,77 @@ def test_near_duplicates(spark):
     assert kept.columns == documents(spark).columns
     assert sorted(repr(r.doc_id) for r in kept.collect()) == sorted(map(repr, [1, 2, 3, 4, 5, None, 6, 7, 9, 10, 11]))
     assert minhash_dedup.near_duplicates(documents(spark).limit(0)).count() == 0
+
+
+WHOLE_PAGES = {
+    "form": "<body><form><nav>menu</nav><article><p>One.</p><p>Two.</p></article><button>b</button></form></body>",
+    "layout": '<body class="page with-sidebar"><article><p>One.</p><p>Two.</p></article><div class="sidebar">x</div></body>',
+    "state": '<html class="cookie-accepted"><body><article><p>One.</p><p>Two.</p></article></body></html>',
+    "paragraphs": '<article><p class="ad-hoc">One.</p><p class="share-price">Two.</p><p class="advert">buy</p></article>',
+    "wrapper": '<div class="with-sidebar"><main><p>One.</p><p>Two.</p><div class="comments"><p>c</p></div></main><aside>a</aside></div>',
+    "unmarked": '<body class="page with-sidebar"><form><div class="menu">m</div><div><p>One.</p><p>Two.</p></div><div class="widget-box">w</div></form></body>',
+}
+
+
+@pytest.mark.parametrize("kind", WHOLE_PAGES)
+def test_boxes_are_judged_below_what_holds_the_article(kind):
+    assert html_extraction.extract(WHOLE_PAGES[kind], None) == "One.\n\nTwo."
+
+
+def test_unmarked_pages_in_forms(spark):
+    page = '<html><body class="with-sidebar"><form><div class="menu">m</div><div><p>text {0} of a page</p><p>more {0}</p></div><div class="ads">a</div></form></body></html>'
+    got = html_extraction.main_texts(pages(spark, [(i, "http://x.org/a", page.format(i)) for i in range(5)]))
+    assert {r.page_id: r.text for r in got.collect()} == {i: f"text {i} of a page\n\nmore {i}" for i in range(5)}
+
+
+def _strange(df):
+    """Columns with a dot in their name, names that operators use inside, and a map."""
+    for name in ("a.b", "hit_id", "hit__id", "hit_key", "hit_spans", "doc", "id", "gone", "n", "key", "places", "shard", "x y"):
+        df = df.withColumn(name, F.lit("kept"))
+    return df.withColumn("facts", F.create_map(F.lit("k"), F.col("doc_id")))
+
+
+@pytest.mark.parametrize("stage", ["quality", "near_duplicates", "decontaminate", "spans", "redact", "encode", "shards"])
+def test_strange_columns_pass_through(spark, stage):
+    from tenderlake.llm import sharding
+
+    rows = [(i, f"text {i} " + " ".join(f"w{i}x{j}" for j in range(60))) for i in range(6)] + [(6, "twice"), (6, "twice"), (None, None)]
+    docs = _strange(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {
+        "quality": lambda: quality_rules.keep(docs, labels(spark)), "near_duplicates": lambda: minhash_dedup.keep(docs),
+        "decontaminate": lambda: decontamination.decontaminate(docs, items(spark)),
+        "spans": lambda: decontamination.decontaminate(docs, items(spark), remove="spans"), "redact": lambda: secret_scans.redact(docs),
+        "encode": lambda: byte_bpe.digests(docs, *queries.tokenizer()), "shards": lambda: sharding.shuffled(docs, 2),
+    }[stage]()
+    if stage == "encode":
+        assert got.count() == len(rows)
+        return
+    assert got.columns == [c for c in docs.columns if c != "shard"] + ["shard", "slot"] if stage == "shards" else got.columns == docs.columns
+    found = got.collect()
+    assert found and all(r["a.b"] == r["hit_id"] == r["x y"] == "kept" and r["facts"] == {"k": r["doc_id"]} for r in found)
+
+
+def test_long_texts_of_windows(spark):
+    """Windows of a long text are rows of their own words only: 300,000 words are no trouble."""
+    words = [f"w{i % 977}x{i % 89}" for i in range(300_000)]
+    words[200_000:200_010] = PASSAGE.split()[:10]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "c d " * 1000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(PASSAGE.split()[:10])), (2, "c d"), (3, "d c d")], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontamination.contamination(docs, bench).collect()}
+    assert got == {1: (300_000, 10, ["1"]), 2: (2000, 2000, ["2", "3"])}
+
+
+@pytest.mark.parametrize("n", range(1, 11))
+def test_windows_of_every_size(spark, n):
+    rng = __import__("random").Random(n)
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 30)))) for i in range(40)]
+    bench = [(1, " ".join(rng.choice("abc") for _ in range(n))), (2, "a"), (3, "b c a"), (4, " ".join(rng.choice("abc") for _ in range(14)))]
+    got = decontamination.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    want = brute.contamination(rows, bench)
+    assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in got.collect()} == {d: tuple(want[d]) for d, _ in rows}
+
+
+def test_long_candidates(spark):
+    run = "".join("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"[(i * i + 7 * i) % 64] for i in range(1_000_000))
+    docs = spark.createDataFrame([(1, f"data:image/png;base64,{run} end"), (2, f'token = "{SECRET}"'), (3, "x" * 500_000)], "doc_id long, text string")
+    assert secret_scans.redacted(docs).where("n_secrets is null").count() == 0
