@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from tenderlake.session import scratch_path
 
 # The six ASCII white space characters: \t \n \v \f \r and the space.
 WHITE = "\t\n\x0b\x0c\r "
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -29,12 +28,17 @@ def white_words(text: Column) -> Column:
 def stored(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     """Write a step into the shared scratch folder and read it back: cuts the lineage, survives lost executors.
 
-    `release` asks the driver's JVM to collect its garbage, upon which Spark removes the step's shuffle files.
+    `release` has Spark remove the step's shuffle files as soon as it is written, and not when the driver's garbage goes.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
     if release:
-        gc.collect()
-        spark._jvm.System.gc()
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        # The setting holds for what is planned from here on.
+        df.select("*").write.parquet(path)
+    finally:
+        if release:
+            spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
