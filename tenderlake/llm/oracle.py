@@ -45,16 +45,16 @@ r AS (SELECT u.*, rule, ruled FROM u LEFT JOIN fit USING (host, path)),
 p0 AS (SELECT host, path, count(*) AS n, count(*) FILTER (ruled = 'allow') AS good, count(*) FILTER (ruled = 'block') AS bad,
     list_filter(string_split(path, '/'), lambda x: x <> '') AS s, '' AS t0 FROM r GROUP BY host, path),
 {"".join(_LEVEL.format(k=k, j=k - 1) for k in (1, 2, 3))}
-t AS (SELECT host, path, good, bad, t3 || CASE WHEN len(s) > 3 THEN '/**' ELSE '' END AS template FROM p3),
-o AS (SELECT host, template, regexp_replace(template, '^/[^/]+', '/*') AS branch, sum(good) AS g, sum(bad) AS b FROM t GROUP BY ALL),
-q AS (SELECT *, sum(g) OVER (PARTITION BY host, branch) AS ag, sum(b) OVER (PARTITION BY host, branch) AS ab,
+t AS (SELECT host, path, n, good, bad, t3 || CASE WHEN len(s) > 3 THEN '/**' ELSE '' END AS template FROM p3),
+o AS (SELECT host, template, regexp_replace(template, '^/[^/]+', '/*') AS branch, sum(good) AS g, sum(bad) AS b, sum(n) AS c FROM t GROUP BY ALL),
+q AS (SELECT *, sum(c) OVER (PARTITION BY host, branch) AS ac, sum(g) OVER (PARTITION BY host, branch) AS ag, sum(b) OVER (PARTITION BY host, branch) AS ab,
     count(*) OVER (PARTITION BY host, branch) AS branches FROM o),
-z AS (SELECT *, CASE WHEN g + b > 0 AND branches > 1 THEN abs(CAST(g AS DOUBLE) / (g + b) - CAST(ag AS DOUBLE) / (ag + ab))
-    <= 1.96 * sqrt(CAST(ag AS DOUBLE) / (ag + ab) * (1 - CAST(ag AS DOUBLE) / (ag + ab)) / (g + b)) ELSE false END AS alike FROM q),
+z AS (SELECT *, CASE WHEN branches > 1 AND ag + ab > 0 AND g + b > 0 THEN abs(CAST(g AS DOUBLE) / (g + b) - CAST(ag AS DOUBLE) / (ag + ab))
+    <= 1.96 * sqrt(CAST(ag AS DOUBLE) / (ag + ab) * (1 - CAST(ag AS DOUBLE) / (ag + ab)) / (g + b)) WHEN branches > 1 AND ag + ab > 0 THEN 2 * c * branches >= ac AND c * branches <= 2 * ac ELSE false END AS alike FROM q),
 m AS (SELECT *, CASE WHEN alike THEN branch ELSE template END AS merged FROM z),
 v AS (SELECT host, template, merged, (sum(g) OVER w + 2.5::DOUBLE) / (sum(g) OVER w + sum(b) OVER w + 5) < 0.25 AS blocked
   FROM m WINDOW w AS (PARTITION BY host, merged, alike))
-SELECT page_id, r.host, r.path, rule, merged AS template, coalesce(ruled, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, r.host, r.path, rule, coalesce(ruled, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict, merged AS template
 FROM r JOIN t ON t.host = r.host AND t.path = r.path JOIN v ON v.host = t.host AND v.template = t.template"""
 
 SUFFIX_DEDUP = """
@@ -114,7 +114,8 @@ c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, CAST({_CRC.format(x="CAST(
 r AS (SELECT c.conv_id, 0 AS own, pos, role, text FROM c JOIN t ON t.conv_id = c.base AND pos <= h
   UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
 l AS (SELECT conv_id, list(md5(length(role) || ':' || role || text) ORDER BY own, pos) AS marks,
-    list(len(list_filter(regexp_split_to_array(text, '[ 	-]+'), lambda x: x <> '')) ORDER BY own, pos) AS words FROM r GROUP BY conv_id),
+    list(len(list_filter(regexp_split_to_array(text, '[ 	-
+]+'), lambda x: x <> '')) ORDER BY own, pos) AS words FROM r GROUP BY conv_id),
 f AS (SELECT c.conv_id, coalesce(marks, []) AS marks, coalesce(words, []) AS words FROM c LEFT JOIN l USING (conv_id)),
 g AS (SELECT conv_id, d, len(marks) = d AS ends, array_to_string(marks[1:d], '') AS key, CASE WHEN d > 0 THEN words[d] ELSE 0 END AS words
   FROM f, LATERAL (SELECT unnest(range(0, len(marks) + 1)) AS d)),

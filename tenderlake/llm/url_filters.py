@@ -18,6 +18,8 @@ SIGMAS = 1.96
 # Pseudo observations, half of them good, and the purity below which a template is rejected: it takes more than five bad
 # urls and no good one, so a template without labels passes.
 PRIOR, CLEAN = 5, 0.25
+# A branch without labels may have this many times the pages of its siblings, or this part of them.
+ALIKE = 2
 
 # (host, path, verdict) of the default rules.
 RULES = (
@@ -71,17 +73,22 @@ def templates(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
 def judged_templates(paths: DataFrame) -> DataFrame:
     """(host, template, merged, blocked) of paths with template, good and bad (labelled urls).
 
-    Branches of a host that differ in their first segment only are siblings; those whose purity does not differ from
-    that of all siblings are judged together. Purity is smoothed towards one half; branches without a label stay alone and
-    have just that.
+    Branches of a host that differ in their first segment only are siblings: they have the same depth and the same segments
+    below. Those whose purity does not differ from that of all siblings are judged together. A branch without a label has
+    none to differ; it is judged with its siblings if it looks like them in its pages too: it has their mean number up to a
+    factor of ALIKE. Purity is smoothed towards one half, which a branch that stands alone without labels has.
     """
-    own = paths.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    own = paths.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.sum("n").alias("pages"))
     branch = F.regexp_replace("template", "^/[^/]+", "/*")
     own = stored(own.withColumn("branch", branch), "templates")
-    siblings = own.groupBy("host", "branch").agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"), F.count("*").alias("branches"))
+    siblings = own.groupBy("host", "branch").agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"), F.count("*").alias("branches"), F.sum("pages").alias("all_pages"))
     p = F.col("all_good") / (F.col("all_good") + F.col("all_bad"))
     n = F.col("good") + F.col("bad")
-    alike = F.when((n > 0) & (F.col("branches") > 1), F.abs(F.col("good") / n - p) <= SIGMAS * F.sqrt(p * (1 - p) / n)).otherwise(False)
+    scaled = F.col("pages") * F.col("branches")
+    pure = F.abs(F.col("good") / n - p) <= SIGMAS * F.sqrt(p * (1 - p) / n)
+    like = (ALIKE * scaled >= F.col("all_pages")) & (scaled <= ALIKE * F.col("all_pages"))
+    several = (F.col("branches") > 1) & (F.col("all_good") + F.col("all_bad") > 0)
+    alike = F.when(several & (n > 0), pure).when(several, like).otherwise(False)
     named = own.join(siblings, ["host", "branch"]).withColumn("merged", F.when(alike, F.col("branch")).otherwise(F.col("template")))
     # A branch that is `/*` itself and stands alone must not meet the merged ones.
     named = named.withColumn("alike", alike)
@@ -112,4 +119,4 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES
     paths = stored(templates(counted, depth), "paths")
     judged = paths.select("host", "path", "template").join(judged_templates(paths), ["host", "template"])
     decided = F.coalesce("ruled", F.when(F.col("blocked"), "block").otherwise("allow"))
-    return ruled.join(judged, ["host", "path"]).select("page_id", "host", "path", "rule", F.col("merged").alias("template"), decided.alias("verdict"))
+    return ruled.join(judged, ["host", "path"]).select("page_id", "host", "path", "rule", decided.alias("verdict"), F.col("merged").alias("template"))

@@ -147,6 +147,18 @@ def test_url_templates(spark):
     assert got[102].template == "/good/*" and got[201].verdict == "allow" and got[200].verdict == "allow"
 
 
+def test_labels_reach_branches_without_any(spark):
+    """Sections of one shape and size are judged together; one of another shape, or of far more pages, is not."""
+    rows = [(1000 * k + i, f"http://h.net/{s}/{i}.html", "") for k, s in enumerate(("es", "fr", "it")) for i in range(20)]
+    rows += [(5000 + i, f"http://h.net/docs/{i}/intro", "") for i in range(20)] + [(6000 + i, f"http://h.net/big/{i}.html", "") for i in range(900)]
+    got = url_filters.url_verdicts(pages(spark, rows))
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict", "template"]
+    found = {r.page_id: (r.verdict, r.template) for r in got.collect()}
+    rows = [(i, u, h) for i, u, h in rows if i < 6000]
+    alone = {r.page_id: (r.verdict, r.template) for r in url_filters.url_verdicts(pages(spark, rows)).collect()}
+    assert alone[2000] == ("block", "/*/*") and alone[5000][0] == "allow" and found[6000][0] == "allow"
+
+
 def test_extraction(spark):
     got = {(r.page_id, r.url): (r.text, r.n_chars) for r in html_extraction.main_texts(pages(spark)).collect()}
     assert got[1, PAGES[0][1]] == ("a", 1) and got[2, PAGES[1][1]] == ("", 0) and got[3, None] == ("", 0)
