@@ -648,6 +648,10 @@ FROM (SELECT * FROM f ORDER BY name, passport_supplier_id LIMIT 50 OFFSET 50) f
 SELECT contract_id, ctr_id, end_date, d.classification, count(*) OVER () AS total_rows
 FROM contracts c JOIN tech d ON c.vendor_name = d.vendor_name
 WHERE end_day >= current_date AND year(end_day) < 2030 AND award_amount > 0 ORDER BY end_day, ctr_id LIMIT 10""",
+    "dataset_listing": """
+SELECT 'Vendors' AS name, format('{:,}', count(*)) AS record_count, '2026-01-02 02:00:00' AS next_update, false AS not_found FROM vendors
+UNION ALL SELECT 'Contracts', format('{:,}', count(*)), '2026-01-02 02:00:00', false FROM contracts
+UNION ALL SELECT 'Nothing', '-', '2026-01-02 02:00:00', true""",
     "ledger_stream_broken_batch": """
 SELECT fiscal_year, count(*) AS tx_count, CAST(sum(amt) AS DOUBLE) AS total, count(DISTINCT payee_name) AS payees FROM ledger GROUP BY 1""",
     "ledger_stream_folded_months": """
@@ -667,6 +671,14 @@ SELECT CAST(page_id AS VARCHAR) AS slug, trim(regexp_extract(html, '(?is)<title>
 QUERIES["vendor_detail_contracts"] = (
     f"SELECT * FROM ({with_views(QUERIES['contract_ledger_reconcile'])}) WHERE vendor_name = 'Customer#000000007'")
 
+# The same questions over vendors and payments that the views name otherwise.
+QUERIES["award_years_of_corps"] = (
+    "WITH corps AS (SELECT name || ' CORP' AS name FROM vendors WHERE CAST(passport_supplier_id AS BIGINT) % 7 = 0),"
+    + QUERIES["unique_contract_year_totals"].strip().removeprefix("WITH").replace("FROM vendors", "FROM corps"))
+QUERIES["reconcile_cut_ids"] = (
+    "WITH cut AS (SELECT * REPLACE (CASE WHEN ends_with(contract_id, '3') THEN left(contract_id, -1) ELSE contract_id END AS contract_id) FROM ledger),"
+    + QUERIES["contract_ledger_reconcile"].strip().removeprefix("WITH").replace("FROM ledger", "FROM cut"))
+
 
 def oracle_sql() -> dict[str, str]:
     return {key: with_views(sql) for key, sql in QUERIES.items()}

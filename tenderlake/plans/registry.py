@@ -344,6 +344,16 @@ def ledger_source_choice(spark: SparkSession, folder: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def dataset_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """Exported datasets and one that is not there, with their numbers of records."""
+    v, path = Views(spark, folder), scratch_path(spark, "datasets")
+    for name, df in (("vendors.csv", v.vendors()), ("contracts.csv", v.contracts())):
+        exports.export_csv(df, path, name)
+    found = {"Vendors": f"{path}/vendors.csv", "Contracts": f"{path}/contracts.csv", "Nothing": f"{path}/nothing.csv"}
+    return exports.dataset_info(spark, found, F.lit("2026-01-01 12:00:00").cast("timestamp_ntz")).select(
+        "name", "record_count", "next_update", (F.col("last_updated") == "Not Found").alias("not_found"))
+
+
 def post_files(spark: SparkSession, folder: str) -> DataFrame:
     """Posts written to a folder each and read as whole files."""
     path = scratch_path(spark, "posts")
@@ -369,6 +379,18 @@ def entity_last_vendor(v: Views) -> DataFrame:
     return linkage.match_entities(v.entities(), twice).select("entity_id", "matched_vendor_id")
 
 
+def award_years_of_corps(v: Views) -> DataFrame:
+    """Every seventh vendor under its name with CORP, which the records do not have: found by the wildcard form."""
+    name = F.concat("name", F.lit(" CORP")).alias("name")
+    return linkage.award_years(v.vendors().filter(F.col("passport_supplier_id").cast("long") % 7 == 0).select(name), v.contract_records())
+
+
+def reconcile_cut_ids(v: Views) -> DataFrame:
+    """Payments that name a contract without its last digit, where that is a 3: the contract's id holds theirs."""
+    cut = F.when(F.col("contract_id").endswith("3"), F.expr("left(contract_id, length(contract_id) - 1)")).otherwise(F.col("contract_id"))
+    return linkage.reconcile_contracts(v.contracts(), v.ledger().withColumn("contract_id", cut), v.vendors())
+
+
 def key_containment(v: Views) -> DataFrame:
     """Whether the contract key and the agency number hold one another."""
     return v.contracts().filter(F.col("normalized_epin").isNotNull()).select(
@@ -541,6 +563,8 @@ VIEW_QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "display_labels": display_labels,
     "amount_labels": amount_labels,
     "key_containment": key_containment,
+    "award_years_of_corps": award_years_of_corps,
+    "reconcile_cut_ids": reconcile_cut_ids,
     "entity_last_vendor": entity_last_vendor,
     "registry_numbers": registry_numbers,
     "vendor_category_page": lambda v: pages.vendors_page(
@@ -574,6 +598,7 @@ FILE_QUERIES: dict[str, Query] = {
     "landing_xml": landing_xml,
     "ledger_source_choice": ledger_source_choice,
     "post_files": post_files,
+    "dataset_listing": dataset_listing,
 }
 
 
