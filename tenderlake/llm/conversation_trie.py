@@ -149,8 +149,10 @@ def prefix_trie(turns: DataFrame, lengths: DataFrame, block: int = BLOCK) -> Dat
     groups = stored(groups, "groups")
     siblings = groups.groupBy("b", "up").agg(F.count("*").alias("siblings"))
     above = groups.select((F.col("b") + 1).alias("b"), F.col("key").alias("up"), F.col("conv_id").alias("above"))
-    # A block that very many others follow is one row on the right; its rows on the left are split at run time.
-    kin = groups.join(siblings.join(above, ["b", "up"], "left"), ["b", "up"])
+    # A block that very many others follow is one row on the right. Both sides of the join are read from tables and its
+    # rows are written at once, so that Spark may split the many rows on the left at run time.
+    parents = stored(siblings.join(above, ["b", "up"], "left"), "parents")
+    kin = groups.join(parents, ["b", "up"])
     kin = stored(kin.withColumn("above", F.when(F.col("b") == 0, F.lit(whole.conv_id)).otherwise(F.col("above"))), "kin")
     alone, parting = kin.where("siblings = 1"), kin.where("siblings > 1")
     depth = (F.col("b") * block + F.col("t") + 1).alias("depth")
