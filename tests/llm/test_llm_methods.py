@@ -162,6 +162,57 @@ def test_wrappers_find_containers_without_article_marks():
     assert got.split("\n\n") == ["Title 3", *[f"own text 3 {i} with some more words" for i in range(5)], "quoted"]
 
 
+def test_wrappers_find_the_given_articles_without_any_mark(spark):
+    """The given pages with plain boxes in place of article, nav, footer and the advert's class: alignment alone decides."""
+    rows = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "url", "html").collect()
+
+    def bare(page):
+        page = re.sub("<nav>(.*?)</nav>", r"<div class=a>\1</div>", page, flags=re.S).replace('class="ad"', "class=b")
+        page = re.sub("<footer>(.*?)</footer>", r"<div class=c>\1</div>", page, flags=re.S)
+        return page.replace("<article>", "<div class=d>").replace("</article>", "</div>")
+
+    # One host: a host of few pages has too few to tell what varies.
+    bared = spark.createDataFrame([(r.page_id, "http://one.org/", bare(r.html)) for r in rows], "page_id long, url string, html string")
+    assert not bared.where("html rlike '<(article|main|nav|footer)'").count()
+    want = {r.page_id: r.text for r in queries.main_texts(spark, SMALL).collect()}
+    assert {r.page_id: r.text for r in html_extraction.main_texts(bared).collect()} == want
+
+
+def test_wrappers_tell_marked_templates_from_articles():
+    def page(n, promo="<p>Join the club of all readers</p>", extra=""):
+        return (f"<html><body><div><article>{promo}</article></div><section><article class='post post-{n}'><h1>Title {n}</h1><p>own text {n}</p></article></section>"
+                f"{extra}</body></html>")
+
+    wrapper = html_extraction.infer([html_extraction.stream(page(n)) for n in range(5)])
+    assert wrapper["containers"] == [["html.", "body.", "section.", "article.post"]]
+    assert html_extraction.extract(page(9), wrapper) == "Title 9\n\nown text 9"
+    # Marked elements and texts that the sample lacks stay.
+    assert html_extraction.extract(page(9, "<p>New here</p>", "<main><p>more</p></main>"), wrapper) == "New here\n\nTitle 9\n\nown text 9\n\nmore"
+    # Copies of one page, and a page that has the template's element only, lose nothing.
+    copies = html_extraction.infer([html_extraction.stream(page(1))] * 3)
+    assert html_extraction.extract(page(1), copies) == "Join the club of all readers\n\nTitle 1\n\nown text 1"
+    assert html_extraction.extract("<html><body><div><article><p>Join the club of all readers</p></article></div></body></html>", wrapper) == "Join the club of all readers"
+
+
+def test_alignment_keeps_the_order_of_long_pages():
+    # Of a and b, which stand the other way round, either may stay.
+    assert html_extraction.matches(list("abcab"), list("bacab"))[1:] == [(2, 2), (3, 3), (4, 4)]
+    assert len(html_extraction.matches(list("abcab"), list("bacab"))) == 4
+    assert html_extraction.matches([], list("ab")) == html_extraction.matches(list("a"), list("b")) == []
+    many = [("<p", n % 50) for n in range(100_000)]
+    found = html_extraction.matches(many, [*many[:500], ("x", 0), *many[510:]])
+    assert all(a < c and b < d for (a, b), (c, d) in zip(found, found[1:])) and all(many[a] == ([*many[:500], ("x", 0), *many[510:]])[b] for a, b in found)
+    assert len(found) >= 99_900
+
+
+def test_samples_of_hosts_hold_bounded_bytes(spark, monkeypatch):
+    rows = [(n, f"http://mixed.org/{n}", mixed_host(n)) for n in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = html_extraction.wrappers(df, 4).collect()
+    monkeypatch.setattr(html_extraction, "HELD", 500)
+    assert html_extraction.wrappers(df, 4).collect() == want
+
+
 def mixed_host(n):
     """Every third page is an old one, without an article element."""
     body = "".join(f"<p>own text {n} {i} with some more words</p>" for i in range(n % 5 + 2))
