@@ -12,6 +12,8 @@ import brute
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from compare import difference, duck
@@ -200,11 +202,20 @@ def test_alignment_keeps_the_order_of_long_pages():
     assert len(html_extraction.matches(list("abcab"), list("bacab"))) == 4
     assert html_extraction.matches([], list("ab")) == html_extraction.matches(list("a"), list("b")) == []
     many = [("<p", n % 50) for n in range(100_000)]
-    found = html_extraction.matches(many, [*many[:500], ("x", 0), *many[510:]])
-    assert all(a < c and b < d for (a, b), (c, d) in zip(found, found[1:])) and all(many[a] == ([*many[:500], ("x", 0), *many[510:]])[b] for a, b in found)
+    many[60_000] = ("<h1", 0)
+    other = [*many[:500], ("x", 0), *many[510:70_000], *many[70_020:]]
+    found = html_extraction.matches(many, other)
+    assert all(a < c and b < d for (a, b), (c, d) in zip(found, found[1:])) and all(many[a] == other[b] for a, b in found)
     assert len(found) >= 99_900
 
 
+@given(st.lists(st.integers(0, 6), max_size=30), st.lists(st.integers(0, 6), max_size=30))
+def test_alignment_of_any_pages(left, right):
+    found = html_extraction.matches(left, right)
+    assert all(a < c and b < d for (a, b), (c, d) in zip(found, found[1:])) and all(left[a] == right[b] for a, b in found)
+    assert len(html_extraction.matches(left, left)) == len(left)
+
+
 def test_samples_of_hosts_hold_bounded_bytes(spark, monkeypatch):
     rows = [(n, f"http://mixed.org/{n}", mixed_host(n)) for n in range(60)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
