@@ -30,8 +30,11 @@ from tenderlake.llm.common import stored, text_bytes
 WORDS, K = 5, 64
 # Sketches of linked documents share 0.75 k values, with a deviation of 3.5 at k = 64: 0.45 k is 5.5 deviations below.
 SHARED = 0.45
-# Smallest estimate that is verified: again over 4 deviations below 0.75.
-ESTIMATE = 0.5
+# Smallest estimate that is verified, as far below: a link at 0.75 is estimated lower with a chance of 1.0e-7.
+ESTIMATE = 0.45
+# Estimated distances from a pivot up to which a text is near it, and beyond which it is far from it; texts between the two
+# are both. Linked texts are 0.25 apart at most; at k = 64 they part (one near only, one far only) with a chance of 0.8e-7.
+NEAR, FAR = 0.75, 0.12
 ROUNDS = 2
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                  0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], "u8")
@@ -213,12 +216,12 @@ def near_duplicates(docs: DataFrame, k: int = K, words: int = WORDS, percent: in
         edges = stored(found if edges is None else edges.unionByName(found), "edges")
         comp = components(edges)
         tested = estimates if tested is None else stored(tested.unionByName(estimates), "tested")
-        # |d(a, x) - d(a, y)| <= d(x, y): beyond 0.25 and an allowance of 0.2 for the estimates no link is possible.
+        # |d(a, x) - d(a, y)| <= d(x, y): beyond 0.25 and an allowance for the estimates no link is possible.
         far = tested.select(F.col("a").alias("lo"), F.col("b").alias("hi"), (1 - F.col("j")).alias("far"))
         gone = (members.drop("c").withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b")).join(far, ["lo", "hi"])
                 .select("list", F.col("b").alias("id"), "weight", "far", "a"))
-        near = gone.where("far <= 0.62").withColumn("list", F.xxhash64("list", F.lit("near")))
-        beyond = gone.where("far > 0.17").withColumn("list", F.xxhash64("list", F.lit("far")))
+        near = gone.where(f"far <= {NEAR}").withColumn("list", F.xxhash64("list", F.lit("near")))
+        beyond = gone.where(f"far > {FAR}").withColumn("list", F.xxhash64("list", F.lit("far")))
         labels = comp.select("id", "component")
         left = (near.unionByName(beyond).join(labels, "id", "left").join(labels.toDF("a", "ca"), "a", "left")
                 .select("list", "id", "weight", F.coalesce("component", "id").alias("c"), F.coalesce("ca", "a").alias("done")))
