@@ -65,8 +65,9 @@ def _stored_columns(spark: SparkSession, root: str) -> T.StructType | None:
             raise
         return None
     found: dict[str, T.StructField] = {}
-    for row in lines.select("value", "_metadata.file_modification_time").orderBy("file_modification_time", "value").collect():
-        for field in T.StructType.fromJson(json.loads(row[0])).fields:
+    # One line for each different list of columns.
+    for _, line in sorted(map(tuple, lines.select("_metadata.file_modification_time", "value").collect())):
+        for field in T.StructType.fromJson(json.loads(line)).fields:
             if found.setdefault(field.name, field).dataType != field.dataType:
                 raise ValueError(f"column {field.name} was written with different types")
     return T.StructType(list(found.values()))
@@ -84,7 +85,7 @@ def _store_columns(spark: SparkSession, root: str, columns: T.StructType) -> Non
         columns = T.StructType([T.StructField(f.name, f.dataType) for f in columns.fields])
         name = hashlib.sha256(columns.json().encode()).hexdigest()[:16]
         path = f"{root.rstrip('/')}/{COLUMNS_FOLDER}/{name}"
-        spark.createDataFrame([(columns.json(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        spark.range(0, 1, 1, 1).select(F.lit(columns.json()).alias("value")).write.mode("overwrite").text(path)
 
 
 def configured_ledger(spark: SparkSession, years: Sequence[int] | None = None) -> DataFrame:
