@@ -64,8 +64,9 @@ class Views:
         if key not in _STORED:
             path, df = scratch_path(self.spark, name), build()
             if by:
-                # Rebalancing gives every partition value few files and still splits a large one.
-                df.hint("rebalance", by).write.partitionBy(by).parquet(path)
+                # Every task writes a file for each value it holds: finished rows are many times as wide as what the joins
+                # shuffle, so they are not shuffled once more for the sake of fewer files.
+                df.write.partitionBy(by).parquet(path)
             else:
                 df.write.parquet(path)
             _STORED[key] = path, df.schema
@@ -192,8 +193,11 @@ class Views:
     def _ledger(self) -> DataFrame:
         """Payments: line items with their order, customer, part and supplier's nation."""
         k, d = F.col("l_orderkey"), later("l_shipdate")
-        orders = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
         customer = self.table("customer").select("c_custkey", "c_name", "c_mktsegment")
+        # Customers meet the orders, which are fewer than the line items; part and supplier meet the line items while these are
+        # narrow. So whole payments are never shuffled, and line items only by the keys of tables too large to broadcast.
+        orders = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate").join(
+            customer, F.col("o_custkey") == F.col("c_custkey"))
         part = self.table("part").select("p_partkey", "p_type")
         nation = self.table("nation").select("n_nationkey", "n_name")
         supplier = self.table("supplier").select("s_suppkey", "s_name", "s_nationkey").join(
@@ -208,10 +212,9 @@ class Views:
         paid = F.when(k % 97 == 0, F.lit("N/A")).otherwise(F.col("l_extendedprice").cast(MONEY).cast("string"))
         return (
             self.table("lineitem")
-            .join(orders, k == F.col("o_orderkey"))
-            .join(customer, F.col("o_custkey") == F.col("c_custkey"))
             .join(part, F.col("l_partkey") == F.col("p_partkey"))
             .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(orders, k == F.col("o_orderkey"))
             .select(
                 d.cast("string").alias("issue_date"),
                 F.col("n_name").alias("agency"),
