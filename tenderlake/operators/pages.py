@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,6 +106,23 @@ def _digital_contracts(contracts: DataFrame, digital: DataFrame) -> DataFrame:
     return contracts.join(tags, "vendor_name")
 
 
+def _tagged_page(contracts: DataFrame, digital: DataFrame, by: Sequence[Column], page: int) -> DataFrame:
+    """One page of contracts with the tags of their vendors, and the number of all of them.
+
+    Narrow rows tell which contracts come up to the end of the page; only those meet the tags as a whole. The total is
+    counted by vendor, so no contract is joined for it.
+    """
+    needed = [c for c in contracts.columns if c in ("ctr_id", "vendor_name", "award_amount", "_start", "_end")]
+    upto = _digital_contracts(contracts.select(*needed), digital).orderBy(*by).limit(max(page, 1) * REPORT_SIZE)
+    ids = upto.select(F.col("ctr_id").alias("_id"), F.col("vendor_name").alias("_vendor")).distinct()
+    few = contracts.join(ids, F.col("ctr_id").eqNullSafe(F.col("_id")) & (F.col("vendor_name") == F.col("_vendor")), "left_semi")
+    shown = page_rows(_digital_contracts(few, digital), by, page, REPORT_SIZE)
+    own = contracts.groupBy("vendor_name").agg(F.count("*").alias("_contracts"))
+    tags = digital.filter(F.col("classification").isin(*DIGITAL_CLASSES)).groupBy("vendor_name").agg(F.count("*").alias("_tags"))
+    rows = F.coalesce(F.sum(F.col("_contracts") * F.col("_tags")), F.lit(0))
+    return with_totals(shown, own.join(tags, "vendor_name"), REPORT_SIZE, rows)
+
+
 def digital_vendors_page(vendors: DataFrame, digital: DataFrame, contracts: DataFrame, sort: str = "contracts",
                          order: str = "desc", page: int = 1) -> DataFrame:
     tags = digital.filter(F.col("classification").isin(*DIGITAL_CLASSES)).select(
@@ -119,20 +138,22 @@ def digital_vendors_page(vendors: DataFrame, digital: DataFrame, contracts: Data
 def digital_contracts_page(contracts: DataFrame, digital: DataFrame, sort: str = "amount", order: str = "desc",
                            page: int = 1) -> DataFrame:
     """All contracts of digital vendors; dates sort as dates."""
-    found = _digital_contracts(contracts, digital)
-    dated = found.withColumn("_start", parse_mdy("start_date")).withColumn("_end", parse_mdy("end_date"))
+    dated = contracts.withColumn("_start", parse_mdy("start_date")).withColumn("_end", parse_mdy("end_date"))
     columns = {"vendor": "vendor_name", "amount": "award_amount", "date": "_start", "end_date": "_end", "classification": "classification"}
     by = sort_order(columns, sort, "amount", order, ["ctr_id", "classification"])
-    return with_totals(page_rows(dated, by, page, REPORT_SIZE).drop("_start", "_end"), found, REPORT_SIZE)
+    return _tagged_page(dated, digital, by, page).drop("_start", "_end")
 
 
-def expiring(contracts: DataFrame, digital: DataFrame, as_of: Column, before: int = 2030) -> DataFrame:
-    """Contracts of digital vendors that end on or after `as_of` and before the year `before`."""
+def _expiring(contracts: DataFrame, as_of: Column, before: int) -> DataFrame:
     end = parse_mdy("end_date")
-    kept = contracts.filter(
+    return contracts.filter(
         (F.length("end_date") == 10) & (end >= as_of) & (F.year(end) < before) & (F.col("award_amount") > 0)
     )
-    return _digital_contracts(kept, digital).select(
+
+
+def expiring(contracts: DataFrame, digital: DataFrame, as_of: Column, before: int = 2030) -> DataFrame:
+    """Contracts of digital vendors that end on or after `as_of` and before the year `before`."""
+    return _digital_contracts(_expiring(contracts, as_of, before), digital).select(
         "contract_id", "ctr_id", "vendor_name", "end_date", "award_amount", "classification", "matched_passport_id"
     )
 
@@ -140,8 +161,11 @@ def expiring(contracts: DataFrame, digital: DataFrame, as_of: Column, before: in
 def expiring_page(contracts: DataFrame, digital: DataFrame, as_of: Column | None = None, sort: str = "date",
                   order: str = "asc", page: int = 1, before: int = 2030) -> DataFrame:
     """Soonest end first unless sorted by amount; an unknown direction means upwards."""
-    found = expiring(contracts, digital, F.current_date() if as_of is None else as_of, before)
-    dated = found.withColumn("_end", parse_mdy("end_date"))
+    kept = _expiring(contracts, F.current_date() if as_of is None else as_of, before)
+    dated = kept.select("contract_id", "ctr_id", "vendor_name", "end_date", "award_amount", parse_mdy("end_date").alias("_end"))
     by = sort_order({"date": "_end", "amount": "award_amount"}, sort, "date",
                     allowed(order, ("asc", "desc"), "asc"), ["ctr_id", "classification"])
-    return with_totals(page_rows(dated, by, page, REPORT_SIZE).drop("_end"), found, REPORT_SIZE)
+    shown = _tagged_page(dated, digital, by, page)
+    return shown.select(
+        "contract_id", "ctr_id", "vendor_name", "end_date", "award_amount", "classification", "matched_passport_id",
+        "total_rows", "total_pages")
