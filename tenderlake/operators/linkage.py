@@ -40,6 +40,8 @@ GRAM = 8
 BUCKETS = 32
 # Lengths of the piece that a name is looked up by.
 PIECES = (8, 4, 2, 1)
+# Characters at the beginning of an id, and values of their hash, that its pieces are told by before they are joined.
+HEAD, HEADS = 4, 4096
 
 
 # The right side of every semi and anti join is distinct: a key that holds many of its rows is
@@ -51,8 +53,8 @@ def lookup(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
     return left.join(right, on, "left")
 
 
-def with_pieces(df: DataFrame, text: str, lengths: Column, piece: str) -> DataFrame:
-    """One row per piece of `text` that has one of the lengths (an array).
+def with_pieces(df: DataFrame, text: str, lengths: Column, piece: str, heads: Column | None = None) -> DataFrame:
+    """One row per piece of `text` that has one of the lengths (an array) and, where given, a head among `heads`.
 
     The result is many times its source, which size estimates do not see: joins shuffle it and
     never broadcast it.
@@ -60,7 +62,23 @@ def with_pieces(df: DataFrame, text: str, lengths: Column, piece: str) -> DataFr
     n, size = F.col("_n"), F.length(text)
     cut = df.withColumn("_n", F.explode(lengths)).filter(n <= size)
     starts = F.when(n == 0, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))))
-    return cut.withColumn("_i", F.explode(starts)).withColumn(piece, F.substr(text, F.col("_i"), n)).drop("_n", "_i").hint("merge")
+    cut = cut.withColumn("_i", F.explode(starts)).withColumn(piece, F.substr(text, F.col("_i"), n))
+    if heads is not None:
+        cut = cut.filter(F.get(heads, _head(piece)))
+    return cut.drop("_n", "_i").hint("merge")
+
+
+def _head(text: str) -> Column:
+    return F.pmod(F.xxhash64(F.substring(text, 1, HEAD)), F.lit(HEADS)).cast("int")
+
+
+def heads_of(df: DataFrame, text: str) -> Column:
+    """Whether a text of a column begins with characters of that hash: an array of HEADS truth values.
+
+    Equal texts have equal heads, so pieces with another head need not be shuffled to be refused.
+    """
+    found = df.filter(F.col(text).isNotNull()).agg(F.collect_set(_head(text)).alias("_found"))
+    return found.select(F.transform(F.sequence(F.lit(0), F.lit(HEADS - 1)), lambda i: F.array_contains("_found", i))).scalar()
 
 
 def with_prefixes(df: DataFrame, text: str, lengths: Column, prefix: str) -> DataFrame:
@@ -366,12 +384,12 @@ def reconcile_contracts(contracts: DataFrame, ledger: DataFrame, vendors: DataFr
     own = ids.filter("_side <> 2").select("_vendor", "_nid")
     open_ids = ids.filter("_side = 2").select("_vendor", "_nid")
     inside = (
-        with_pieces(own, "_nid", lengths_of(open_ids, "_nid"), "_piece")
+        with_pieces(own, "_nid", lengths_of(open_ids, "_nid"), "_piece", heads_of(open_ids, "_nid"))
         .join(open_ids.withColumnRenamed("_nid", "_piece"), ["_vendor", "_piece"], "left_semi")
         .select("_vendor", F.col("_piece").alias("_nid"), F.col("_nid").alias("_hit"))
     )
     around = (
-        with_pieces(open_ids, "_nid", lengths_of(own, "_nid"), "_hit")
+        with_pieces(open_ids, "_nid", lengths_of(own, "_nid"), "_hit", heads_of(own, "_nid"))
         .join(own.withColumnRenamed("_nid", "_hit"), ["_vendor", "_hit"], "left_semi")
         .select("_vendor", "_nid", "_hit")
     )
