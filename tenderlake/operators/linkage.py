@@ -570,8 +570,16 @@ def vendor_transactions(vendors: DataFrame, ledger: DataFrame, payees: DataFrame
     large = named.join(counts.filter(F.col("_n") > n).select("vendor_name"), "vendor_name", "left_semi")
     days = large.join(ledger.select("payee_name", "issue_date"), "payee_name").groupBy("vendor_name", "issue_date").agg(F.count("*").alias("_n"))
     cut = named.join(cut_days(days, ["vendor_name"], "issue_date", n), "vendor_name", "left")
-    rows = cut.join(ledger, "payee_name").filter(since_cut("issue_date")).select("vendor_name", *ledger.columns)
-    return ranked(rows, ["vendor_name"], newest_first(rows.select("payee_name", *[c for c in ledger.columns if c != "payee_name"])), n)
+    order = newest_first(ledger.select("payee_name", *[c for c in ledger.columns if c != "payee_name"]))
+
+    def latest(some: DataFrame, group: str) -> DataFrame:
+        rows = some.join(ledger, "payee_name").filter(since_cut("issue_date")).drop("_cut")
+        return ranked(rows, [group], order, n)
+
+    # A vendor has payees of its own name or others, never both. Under its own name the rows stay where the join has put them.
+    same = F.col("vendor_name") == F.col("payee_name")
+    own = latest(cut.filter(same).drop("vendor_name"), "payee_name").withColumn("vendor_name", F.col("payee_name"))
+    return own.unionByName(latest(cut.filter(~same), "vendor_name")).select("vendor_name", *ledger.columns, "rank")
 
 
 def award_years(vendors: DataFrame, records: DataFrame) -> DataFrame:
