@@ -25,6 +25,8 @@ from tenderlake.streaming import ledger_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Rows of a file of XML that is landed, some 30 MB.
+XML_ROWS = 200_000
 # Reports that depend on today take a fixed day, so that they can be compared.
 AS_OF = "2025-06-30"
 CURRENT_FY = 2026
@@ -322,7 +324,9 @@ def landing_xml(spark: SparkSession, folder: str) -> DataFrame:
     """Ledger rows landed as XML."""
     path, columns = scratch_path(spark, "landing-xml"), ["payee_name", "check_amount", "fiscal_year"]
     rows = Views(spark, folder).ledger().select(*[F.col(c).cast("string").alias(c) for c in columns])
-    rows.write.format("xml").option("rowTag", landing.ROW_TAG).option("rootTag", "transactions").save(path)
+    # A file is read by one task, so its rows are bounded.
+    rows.write.format("xml").option("rowTag", landing.ROW_TAG).option("rootTag", "transactions").option(
+        "maxRecordsPerFile", XML_ROWS).save(path)
     back = landing.read_landing(spark, path, "xml", feeds.text_schema(columns))
     return back.groupBy("fiscal_year").agg(F.count("*").alias("tx_count"), exact_sum("check_amount").alias("total"))
 
