@@ -1,15 +1,17 @@
 """Main text of web pages: wrappers inferred by aligning the token streams of a host's pages.
 
 A page is a stream of tags and texts. The streams of a host are folded (runs of equal groups become one repeated group) and
-aligned one after the other with the wrapper so far: texts that differ become slots, tags that only some pages have become optional
-groups, groups that repeat a different number of times become repeated groups. The wrapper is a regular expression
-without unions. It says which container holds the article, and which of its texts are the same on all pages.
+aligned: texts that differ become slots, tags that only some pages have become optional groups, groups that repeat a different
+number of times become repeated groups. The wrapper is a regular expression without unions. It says which container holds the
+article, and which of its texts are the same on all pages.
+
+`infer` aligns some streams one after the other with the wrapper so far, in memory. `wrappers` does so for a table: all pages
+of a host are aligned with a middle one, each by itself, and Spark adds up what they have at each place.
 """
 
 from __future__ import annotations
 
 import bisect
-import heapq
 import html
 import json
 import os
@@ -19,18 +21,20 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenderlake.llm.common import text_bytes
 from tenderlake.llm.url_filters import url_host
 
-# Pages of a host that its wrapper is inferred from (smallest hash of the page); every page is extracted.
-SAMPLE = 16
-# Wrappers of more hosts than this are joined by a shuffle instead of a broadcast.
-BROADCAST_HOSTS = 100_000
-# Bytes of pages that a task holds at once while it looks for a host's smallest; it sends on what it has beyond that.
+# Wrappers of more bytes than this are joined by a shuffle instead of a broadcast.
+BROADCAST_BYTES = 1 << 26
+# Bytes of counts, and of alignments, that a task holds at once; it sends on or forgets what it has beyond that.
 HELD = 1 << 26
+# Alignments of two shapes that a task holds at once.
+CACHED = 1024
+# Pages in a hundred that make a text the same on all of them, or not optional.
+SAME = 95
 # Longest run of tags that is looked at as a repeated group.
 PERIOD = 12
 
@@ -379,51 +383,207 @@ def extract(page: str, wrapper: dict | None) -> str:
     return "\n\n".join(text for _, text in chosen)
 
 
-def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(host, wrapper as JSON), inferred from `sample` pages of each host at most."""
+def shaped(page: str) -> tuple[bool, str, list[str], int, str, list[str | None], list[int]]:
+    """A page for the alignment: whether it has text in an article, digest of its stream, the elements around its text, number of
+    folded items, their shape (kinds and paths, and the order of these), and hashes and lengths of the texts in that order."""
+    items = stream(page)
+    spared = _spared(items)
+    marked = any(i[0] == "#" and in_article(i[1]) and not boxed(tuple(i[1]), spared) for i in items)
+    names: dict[str, int] = {}
+    ids = [names.setdefault("\n".join([i[0], *i[1]]), len(names)) for i in items]
+    digest = xxhash.xxh3_128_hexdigest(json.dumps([list(names), ids, [i[2] for i in items]]).encode())
+    folded = fold(items)
+    texts = [i for i in folded if i[0] == "#"]
+    shape = json.dumps([list(names), [names["\n".join([i[0], *i[1]])] for i in folded]])
+    return marked, digest, list(spared), len(folded), shape, [i[2] for i in texts], [i[3] for i in texts]
+
+
+def places(center: str, shape: str, common: tuple[str, ...]) -> list[tuple[str, str] | None]:
+    """Place in the host's alignment and path of every text of a shape, None in a box.
+
+    A text that meets one of the center has its place, another the place behind the last item that meets one, and its number
+    among texts of that path there.
+    """
+    left, right = ([names[i] for i in order] for names, order in (json.loads(center), json.loads(shape)))
+    met = {j: i for i, j in matches(left, right)}
+    out: list[tuple[str, str] | None] = []
+    more: Counter = Counter()
+    behind = -1
+    for j, name in enumerate(right):
+        behind = met.get(j, behind)
+        if name[0] != "#":
+            continue
+        path = name[2:]
+        if boxed(tuple(path.split("\n")) if path else (), common):
+            out.append(None)
+        elif j in met:
+            out.append((str(behind), path))
+        else:
+            out.append((f"{behind}+{more[behind, path]}", path))
+            more[behind, path] += 1
+    return out
+
+
+def page_shapes(pages: DataFrame) -> DataFrame:
+    """Every different token stream of a host once, see `shaped`."""
     rows = pages.select(url_host(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html")).where("html is not null")
 
-    def picked(batches):
-        # Each task sends its `sample` smallest pages of a host on, as token streams; more of them where pages are large.
-        heaps: dict[str, list[tuple[int, bytes]]] = {}
-        held = 0
+    def run(batches):
+        for batch in batches:
+            found = [shaped(raw.decode()) for raw in text_bytes(batch, "html")]
+            types = (pa.bool_(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array([f[n] for f in found], t) for n, t in enumerate(types)]],
+                names=["host", "marked", "digest", "spared", "items", "shape", "texts", "sizes"])
+
+    return rows.mapInArrow(
+        run, "host string, marked boolean, digest string, spared array<string>, items long, shape string, texts array<string>, sizes array<long>"
+    ).dropDuplicates(["host", "digest"])
+
+
+def centers(shapes: DataFrame) -> DataFrame:
+    """Per host, for pages with a mark and for others: the page of the median length that all are aligned with (the smallest
+    digest of those), the number of pages, and the first and last of the elements around their texts."""
+    keys = ["host", "marked"]
+    lengths = shapes.groupBy(*keys, "items").agg(
+        F.count("*").alias("n"), F.min_by("shape", "digest").alias("center"), F.min("spared").alias("low"), F.max("spared").alias("high"))
+    group = Window.partitionBy(*keys)
+    upto = F.sum("n").over(group.orderBy("items"))
+    return lengths.select(
+        *keys, "center", "n", upto.alias("upto"), F.sum("n").over(group).alias("total"), F.min("low").over(group).alias("low"),
+        F.max("high").over(group).alias("high")).where("2 * upto >= total and 2 * (upto - n) < total").drop("n", "upto")
+
+
+def slots(shapes: DataFrame, middle: DataFrame, cached: int) -> DataFrame:
+    """The texts of the wrappers: host, marked, total (pages), path, text (hash; null where pages differ), optional, size.
+
+    Every page is aligned with its center. Counts by place and text are added up in the task and then by Spark. One page in
+    twenty changes nothing: from 20 pages on a text is the same, or not optional, if 95 in a hundred pages say so.
+    """
+
+    def run(batches):
+        known: dict[tuple, list] = {}
+        found: dict[tuple, list[int]] = {}
+        held = kept = 0
 
         def sent():
-            for host, heap in heaps.items():
-                for _, raw in heap:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([host]), pa.array([xxhash.xxh3_64_intdigest(raw) >> 1], pa.int64()), pa.array([json.dumps(stream(raw.decode()))])],
-                        names=["host", "key", "stream"])
-            heaps.clear()
+            columns = list(zip(*[(*key, *value) for key, value in found.items()]))
+            found.clear()
+            types = (pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types)], names=["host", "marked", "total", "place", "path", "text", "n", "size"])
 
         for batch in batches:
-            for host, raw in zip(batch.column(0).to_pylist(), text_bytes(batch, "html")):
-                heap, entry = heaps.setdefault(host, []), (-xxhash.xxh3_64_intdigest(raw), raw)
-                held += len(raw)
-                if len(heap) < sample:
-                    heapq.heappush(heap, entry)
-                else:
-                    held -= len(heapq.heappushpop(heap, entry)[1])
+            for host, marked, total, shape, texts, sizes, center, low, high in zip(*[c.to_pylist() for c in batch.columns]):
+                common = tuple(os.path.commonprefix([low, high]))
+                pair = (center, shape, common)
+                if pair not in known:
+                    if len(known) >= cached or kept > HELD:
+                        known.clear()
+                        kept = 0
+                    known[pair] = places(center, shape, common)
+                    kept += len(center) + len(shape)
+                for place, text, size in zip(known[pair], texts, sizes):
+                    if place is None:
+                        continue
+                    key = (host, marked, total, *place, text)
+                    if key not in found:
+                        held += len(place[1]) + 256
+                    counts = found.setdefault(key, [0, 0])
+                    counts[0] += 1
+                    counts[1] += size
                 if held > HELD:
-                    yield from sent()
+                    yield sent()
                     held = 0
-        yield from sent()
+        if found:
+            yield sent()
+
+    keys = ["host", "marked", "total", "place", "path"]
+    rows = shapes.join(_placed(middle, "center"), ["host", "marked"]).select(
+        "host", "marked", "total", "shape", "texts", "sizes", "center", "low", "high")
+    counted = rows.mapInArrow(
+        run, "host string, marked boolean, total long, place string, path string, text string, n long, size long"
+    ).groupBy(*keys, "text").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+    top = F.max(F.when(F.col("text").isNotNull(), F.struct("n", "text")))
+    return counted.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("size").alias("size"), top.alias("top")).select(
+        "host", "marked", "total", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split("path", "\n")).alias("path"),
+        F.when(100 * F.col("top.n") >= SAME * F.col("n"), F.col("top.text")).alias("text"),
+        (100 * F.col("n") < SAME * F.col("total")).alias("optional"), "size")
+
+
+def _placed(df: DataFrame, column: str) -> DataFrame:
+    """One row per host: sent to all tasks if the texts of a column are few bytes, else joined by a shuffle."""
+    size = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df.hint("merge")
+
+
+def _name(step: Column | str) -> Column:
+    return F.substring_index(step, ".", 1)
+
+
+def _containers(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, containers) and (host, path, text) of marked templates, as `_article_containers` tells them."""
+    at = F.array_position(F.transform("path", lambda s: _name(s).isin("article", "main")), True).cast("int")
+    rows = texts.where("marked").withColumn("at", at).where("at > 0").withColumn("prefix", F.slice("path", 1, F.col("at"))).withColumn(
+        "names", F.transform("prefix", _name))
+    keys = ["host", "names"]
+    groups = rows.groupBy(*keys).agg(
+        F.max("total").alias("total"), F.max(F.col("text").isNull() | F.col("optional")).alias("varies"))
+    some = groups.groupBy("host").agg(F.max("varies").alias("some"))
+    groups = groups.join(some, "host").withColumn("kept", (F.col("total") == 1) | F.col("varies") | ~F.col("some"))
+    # Marks that all prefixes of the same elements have, by the number of those that have them.
+    prefixes = rows.select(*keys, "prefix").distinct()
+    marks = F.filter(F.split(F.expr("substr(step, locate('.', step) + 1)"), " "), lambda m: m != "")
+    shared = prefixes.select(*keys, F.posexplode("prefix").alias("pos", "step")).select(*keys, "pos", F.explode(marks).alias("mark")).groupBy(
+        *keys, "pos", "mark").agg(F.count("*").alias("n"))
+    steps = shared.join(prefixes.groupBy(*keys).agg(F.count("*").alias("n")), [*keys, "n"]).groupBy(*keys, "pos").agg(
+        F.concat_ws(" ", F.sort_array(F.collect_list("mark"))).alias("marks"))
+    steps = steps.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pos", "marks"))).alias("marks"))
+    container = F.transform("names", lambda x, n: F.concat(x, F.lit("."), F.coalesce(F.try_element_at("marks", n), F.lit(""))))
+    containers = groups.where("kept").join(steps, keys, "left").groupBy("host").agg(F.sort_array(F.collect_list(container)).alias("containers"))
+    return containers, rows.join(groups.where("not kept"), keys, "left_semi").select("host", "path", "text")
+
+
+def _main(texts: DataFrame) -> DataFrame:
+    """(host, main): the deepest container with half of the varying text of the pages without a mark."""
+    sizes = texts.where("not marked and (text is null or total = 1)").groupBy("host", "path").agg(F.sum("size").alias("size"))
+    total = sizes.groupBy("host").agg(F.sum("size").alias("whole"))
+    prefixes = sizes.select("host", "size", F.explode(F.transform(
+        F.sequence(F.lit(0), F.size("path")), lambda n: F.slice("path", 1, n))).alias("main")).groupBy("host", "main").agg(F.sum("size").alias("size"))
+    holds = (F.size("main") == 0) | _name(F.try_element_at("main", F.lit(-1))).isin(*CONTAINERS)
+    return prefixes.where(holds).join(total, "host").where("2 * size >= whole").groupBy("host").agg(
+        F.max(F.struct(F.size("main"), "main"))["main"].alias("main"))
+
+
+def wrappers(pages: DataFrame, cached: int = CACHED) -> DataFrame:
+    """(host, wrapper as JSON), inferred from all pages of each host; see `infer` for its parts.
+
+    All pages are aligned with one of them, each by itself, and what they have at a place is counted by Spark. A task holds counts
+    of HELD bytes and `cached` alignments at most; neither changes a wrapper.
+    """
+    from tenderlake.llm.common import stored
 
-    def inferred(key, frame):
-        import pandas as pd
+    shapes = stored(page_shapes(pages), "page-shapes")
+    middle = stored(centers(shapes), "centers")
+    texts = stored(slots(shapes, middle, cached), "slots")
+    containers, templates = _containers(texts)
+    same = texts.where("not marked and total > 1 and text is not null and not optional").select("host", "path", "text")
+    fixed = templates.unionByName(same).groupBy("host").agg(F.sort_array(F.collect_set(F.struct("path", "text"))).alias("fixed"))
+    found = middle.select("host").distinct()
+    for part in (containers, _main(texts), fixed):
+        found = found.join(part, "host", "left")
+    wrapper = F.struct(
+        F.coalesce("containers", F.array().cast("array<array<string>>")).alias("containers"), F.coalesce("main", F.array().cast("array<string>")).alias("main"),
+        F.coalesce("fixed", F.array().cast("array<struct<path:array<string>,text:string>>")).alias("fixed"))
+    return found.select("host", F.to_json(wrapper).alias("wrapper"))
 
-        streams = [json.loads(s) for s in frame.sort_values(["key", "stream"])["stream"]]
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(infer(streams))]})
 
-    kept = rows.mapInArrow(picked, "host string, key long, stream string")
-    # Ranked by host and salt first, so that the smallest of a large host come from many tasks.
-    for keys in (["host", F.pmod("key", F.lit(64))], ["host"]):
-        order = Window.partitionBy(*keys).orderBy("key", "stream")
-        kept = kept.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).drop("n")
-    return kept.groupBy("host").applyInPandas(inferred, "host string, wrapper string")
+def parsed_wrapper(wrapper: str) -> dict:
+    found = json.loads(wrapper)
+    return {**found, "fixed": [[f["path"], f["text"]] for f in found["fixed"]]}
 
 
-def main_texts(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def main_texts(pages: DataFrame) -> DataFrame:
     """Per row: page_id, url, text (main text, empty if none), n_chars.
 
     A null or empty html has an empty text. A null url counts as one more host. A null page_id stays null; repeated rows
@@ -431,9 +591,7 @@ def main_texts(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """
     from tenderlake.llm.common import stored
 
-    known = stored(wrappers(pages, sample), "wrappers")
-    if known.count() <= BROADCAST_HOSTS:
-        known = F.broadcast(known)
+    known = _placed(stored(wrappers(pages), "wrappers"), "wrapper")
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("host", url_host(F.col("url"))).join(known, "host", "left").select("page_id", "url", "html", "wrapper")
@@ -444,7 +602,7 @@ def main_texts(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
             texts = []
             for raw, wrapper in zip(text_bytes(batch, "html"), batch.column(3).to_pylist()):
                 if wrapper not in parsed:
-                    parsed[wrapper] = json.loads(wrapper)
+                    parsed[wrapper] = parsed_wrapper(wrapper)
                 texts.append(extract((raw or b"").decode(), parsed[wrapper]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],

@@ -241,6 +241,43 @@ def test_pages_without_a_mark_keep_their_text_on_mixed_hosts(spark):
     assert got == {n: "\n\n".join([f"Title {n}", *[f"own text {n} {i} with some more words" for i in range(n % 5 + 2)]]) for n in range(60)}
 
 
+def test_wrappers_look_at_every_page_of_a_host(spark):
+    """16 pages with the smallest hashes share a line that all others lack: it is their own text, not the template's."""
+    def page(n, line):
+        return f"<html><body><div><p>Site</p></div><div id=story><h2>Title {n}</h2><blockquote>{line}</blockquote><p>own text {n}</p></div></body></html>"
+
+    by_hash = sorted((page(n, "said twice") for n in range(400)), key=lambda p: xxhash.xxh3_64_intdigest(p.encode()))[:16]
+    above = xxhash.xxh3_64_intdigest(by_hash[-1].encode())
+    others = [p for n in range(400, 500) if xxhash.xxh3_64_intdigest((p := page(n, f"said once {n}")).encode()) > above]
+    assert len(others) > 50
+    rows = [(n, f"http://one.org/{n}", p) for n, p in enumerate([*by_hash, *others])]
+    got = {r.page_id: r.text for r in html_extraction.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("said" in text and "Site" not in text for text in got.values()) and len(got) == len(rows)
+
+
+def test_wrappers_of_a_table_are_those_of_its_pages(spark):
+    """What Spark adds up is what aligning the few pages of a host one by one gives."""
+    def page(n, kind):
+        promo = "<div><article><p>Join the club</p></article></div>" if kind != "plain" else "<div class=top><p>Join the club</p></div>"
+        body = "".join(f"<p>own text {n} {i}</p>" for i in range(n % 4 + 1)) + ("<blockquote>quoted</blockquote>" if n % 2 else "")
+        story = f"<section><article class='post post-{n}'><h1>Title {n}</h1>{body}</article></section>"
+        if kind == "plain" or kind == "both" and n % 3 == 0:
+            story, promo = f"<div id=story><h2>Title {n}</h2>{body}<p>legal</p></div>", promo.replace("article", "div")
+        return f"<html><body>{promo}{story}<div class=comments><p>nice {n}</p></div><p>same line</p></body></html>"
+
+    hosts = {kind: [page(n, kind) for n in range(count)] for kind, count in (("plain", 12), ("marked", 12), ("both", 18))}
+    hosts |= {"copies": [page(1, "marked")] * 3, "one": [page(2, "plain")], "empty": [""], "odd": ["<p>a", "text", "<div><div>b</div>"]}
+    rows = [(n, f"http://{host}/{n}", p) for host, pages in hosts.items() for n, p in enumerate(pages)] + [(1, "http://null/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.host: html_extraction.parsed_wrapper(r.wrapper) for r in html_extraction.wrappers(df).collect()}
+    assert got.keys() == hosts.keys()
+    for host, pages in hosts.items():
+        want = html_extraction.infer([html_extraction.stream(p) for p in pages])
+        assert sorted(got[host]["containers"]) == sorted(want["containers"]), host
+        assert got[host]["main"] == want["main"], host
+        assert {(tuple(p), t) for p, t in got[host]["fixed"]} == {(tuple(p), t) for p, t in want["fixed"]}, host
+
+
 def test_alignment_makes_optional_and_repeated_groups():
     first, second = (html_extraction.fold(html_extraction.stream(p)) for p in (
         "<div><h1>a</h1><ul><li>1</li><li>2</li><li>3</li></ul></div>", "<div><h1>b</h1><p>only here</p><ul><li>9</li></ul></div>"))
