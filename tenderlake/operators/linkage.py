@@ -461,22 +461,25 @@ def contract_spending(contracts: DataFrame, ledger: DataFrame, current_fy: Colum
 def contract_transactions(contracts: DataFrame, ledger: DataFrame, current_fy: Column, n: int = 500) -> DataFrame:
     """Latest payments per contract.
 
-    The window becomes one row per (contract, year). For contracts of more than `n` payments counts by day, from narrow
-    columns of the ledger, tell from which day on they are among the latest. Whole rows are joined once and ranked once.
+    For contracts of more than `n` payments counts by day, from narrow columns of the ledger, tell from which day on they are
+    among the latest. Whole rows are joined once and ranked once, in one shuffle where a contract has one id.
     """
     windows = fiscal_windows(contracts, current_fy).select(
         "ctr_id", hyphenless("contract_id").alias("contract_id"), "first_fy", "last_fy")
     paid, keys = in_span(ledger, windows), ["contract_id", "fiscal_year"]
     busy = paid.groupBy("contract_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > n).select("contract_id")
 
-    def years(of: DataFrame) -> DataFrame:
-        return of.withColumn("fiscal_year", F.explode(F.sequence("first_fy", "last_fy"))).drop("first_fy", "last_fy")
-
-    large = years(windows.join(busy, "contract_id", "left_semi"))
+    large = windows.join(busy, "contract_id", "left_semi").withColumn(
+        "fiscal_year", F.explode(F.sequence("first_fy", "last_fy"))).drop("first_fy", "last_fy")
     days = large.join(paid.select(*keys, "issue_date"), keys).groupBy("ctr_id", "issue_date").agg(F.count("*").alias("_n"))
-    cut = years(windows.join(cut_days(days, ["ctr_id"], "issue_date", n), "ctr_id", "left"))
-    rows = cut.hint("merge").join(paid, keys).filter(since_cut("issue_date")).drop("_cut")
-    return ranked(rows, ["ctr_id"], newest_first(rows.drop("ctr_id")), n)
+    cut = windows.filter("first_fy is not null and last_fy is not null").join(cut_days(days, ["ctr_id"], "issue_date", n), "ctr_id", "left")
+    inside = F.col("fiscal_year").between(F.least("first_fy", "last_fy"), F.greatest("first_fy", "last_fy"))
+    rows = cut.hint("merge").join(paid, "contract_id").filter(inside & since_cut("issue_date")).select(
+        *keys, "ctr_id", *[c for c in paid.columns if c not in keys])
+    # A contract's rows lie where the join has put them, unless another row of the contract has another id.
+    several = windows.groupBy("ctr_id").agg(F.min("contract_id").alias("a"), F.max("contract_id").alias("b")).filter("a <> b")
+    groups = ["ctr_id"] if several.head(1) else ["contract_id", "ctr_id"]
+    return ranked(rows, groups, newest_first(rows.drop("ctr_id")), n)
 
 
 def contract_metadata(contracts: DataFrame, records: DataFrame, current_fy: Column) -> DataFrame:
