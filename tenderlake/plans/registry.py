@@ -315,7 +315,7 @@ def paged_delta_ingest(spark: SparkSession, folder: str) -> DataFrame:
         "ledger_pages", feeds.text_schema(columns), *paged.parquet_pages(lambda: sorted(glob.glob(f"{local}/drop=*/*.parquet"))))
     for part in (0, 1):
         rows.filter(F.col("fiscal_year") % 2 == part).write.parquet(f"{root}/drop={part}")
-        ledger_stream.ingest_stream(paged.stream_pages(spark, source), target, checkpoint)
+        ledger_stream.ingest_stream(paged.stream_pages(spark, source), target, checkpoint, write=ledger_stream.write_pages)
     return ledger_files.read_ledger(spark, target).groupBy("fiscal_year").agg(
         F.count("*").alias("tx_count"), exact_sum("check_amount").alias("total"))
 

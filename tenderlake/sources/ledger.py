@@ -111,17 +111,18 @@ def with_fiscal_year(df: DataFrame) -> DataFrame:
     return df.withColumn("fiscal_year", F.coalesce(given, own))
 
 
-def write_ledger(df: DataFrame, root: str, mode: str = "append", batch: str = BULK) -> None:
+def write_ledger(df: DataFrame, root: str, mode: str = "append", batch: str = BULK, rebalance: bool = True) -> None:
     """Text columns, Snappy, one folder per fiscal year and batch.
 
-    Rebalancing gives a year few files and still spreads one that holds most rows. `overwrite` replaces the folders that
-    the rows go to and no other, so writing a named batch again leaves one copy of it.
+    Rebalancing gives a year few files and still spreads one that holds most rows; without it each task writes a file for each
+    year it holds, and no row is shuffled. `overwrite` replaces the folders that the rows go to and no other, so writing a
+    named batch again leaves one copy of it.
     """
     text = [F.col(c) if c == "fiscal_year" else F.col(c).cast("string").alias(c) for c in df.columns if c != BATCH]
     rows = df.select(*text)
     _store_columns(df.sparkSession, root, T.StructType([f for f in rows.schema.fields if f.name != "fiscal_year"]))
-    out = rows.withColumn(BATCH, F.lit(batch)).hint("rebalance", "fiscal_year")
-    out.write.mode(mode).option("compression", "snappy").option("partitionOverwriteMode", "dynamic").partitionBy(
+    out = rows.withColumn(BATCH, F.lit(batch))
+    (out.hint("rebalance", "fiscal_year") if rebalance else out).write.mode(mode).option("compression", "snappy").option("partitionOverwriteMode", "dynamic").partitionBy(
         "fiscal_year", BATCH).parquet(root)
 
 

@@ -19,6 +19,8 @@ from tenderlake.sources.ledger import SCHEMA, with_fiscal_year, write_ledger
 NO_YEAR = 0
 # Batches of the monthly rollup that are folded into one.
 FOLD = 16
+# Partitions of a batch that a task gathers.
+GATHERED = 50
 
 
 def write_batch(batch: DataFrame, target: str, name: str) -> None:
@@ -26,6 +28,13 @@ def write_batch(batch: DataFrame, target: str, name: str) -> None:
     write_ledger(batch, target, "overwrite", name)
 
 
+def write_pages(batch: DataFrame, target: str, name: str) -> None:
+    """A batch of many small partitions, as a paged interface gives: tasks take GATHERED of them each, so that the rows are
+    written in few files without being shuffled. A small batch keeps a task for each core."""
+    parts, cores = batch.rdd.getNumPartitions(), batch.sparkSession.sparkContext.defaultParallelism
+    write_ledger(batch.coalesce(max(-(-parts // GATHERED), min(parts, cores))), target, "overwrite", name, rebalance=False)
+
+
 def ingest(spark: SparkSession, landing: str, target: str, checkpoint: str, fmt: str = "csv",
            schema=SCHEMA, timeout: int | None = None, write: Callable[[DataFrame, str, str], None] = write_batch) -> bool:
     """Append all new rows of a landing folder to the ledger, by the fiscal year of the row."""
