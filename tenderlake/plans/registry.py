@@ -27,6 +27,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Rows of a file of XML that is landed, some 30 MB.
 XML_ROWS = 200_000
+# Posts that a task writes.
+POSTS = 250
 # Reports that depend on today take a fixed day, so that they can be compared.
 AS_OF = "2025-06-30"
 CURRENT_FY = 2026
@@ -360,8 +362,9 @@ def dataset_listing(spark: SparkSession, folder: str) -> DataFrame:
 
 def post_files(spark: SparkSession, folder: str) -> DataFrame:
     """Posts written to a folder each and read as whole files."""
-    path = scratch_path(spark, "posts")
-    _raw_posts(Views(spark, folder)).write.partitionBy("slug").text(path)
+    path, raw = scratch_path(spark, "posts"), _raw_posts(Views(spark, folder))
+    # A post takes a file and a folder, so many more tasks than the bytes ask for write them.
+    raw.repartition(max(1, -(-raw.count() // POSTS)), "slug").write.partitionBy("slug").text(path)
     return posts.parse_posts(posts.read_post_files(spark, path)).select("slug", "title", "date", "author")
 
 
