@@ -364,7 +364,7 @@ def post_files(spark: SparkSession, folder: str) -> DataFrame:
     """Posts written to a folder each and read as whole files."""
     path, raw = scratch_path(spark, "posts"), _raw_posts(Views(spark, folder))
     # A post takes a file and a folder, so many more tasks than the bytes ask for write them.
-    raw.repartition(max(1, -(-raw.count() // POSTS)), "slug").write.partitionBy("slug").text(path)
+    posts.write_post_files(raw, path, max(1, -(-raw.count() // POSTS)))
     return posts.parse_posts(posts.read_post_files(spark, path)).select("slug", "title", "date", "author")
 
 
